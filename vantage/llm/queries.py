@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_codec, sharding, token_counts
+from . import language_id, lm_scoring, sentencepiece_codec, sharding, token_counts, toxicity
 from .common import read_table
 
 
+def op1_backoff_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), held_out_mod=7, held_out_rest=2)
+
+
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -23,7 +31,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(read_table(spark, sf_dir, "documents"), held_out_mod=4, held_out_rest=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_jump_shards, op4_sentencepiece, op5_token_counts)
+    f.__name__: f for f in (op1_backoff_score, op2_toxicity_chain, op3_jump_shards, op4_sentencepiece, op5_token_counts, op7_language_mixture)
 }
 ORACLE_SQL: dict[str, str] = {}

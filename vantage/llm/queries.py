@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lm_scoring, sentencepiece_codec, sharding, token_counts, toxicity
+from . import language_id, lm_scoring, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
 from .common import read_table
 
 
@@ -31,11 +31,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(read_table(spark, sf_dir, "documents"), n_words=5, threshold=0.8)
+
+
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(read_table(spark, sf_dir, "documents"), held_out_mod=4, held_out_rest=2)
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"), min_words=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_backoff_score, op2_toxicity_chain, op3_jump_shards, op4_sentencepiece, op5_token_counts, op7_language_mixture)
+    f.__name__: f for f in (op1_backoff_score, op2_toxicity_chain, op3_jump_shards, op4_sentencepiece, op5_token_counts, op6_bagminhash_classes, op7_language_mixture, op10_repeated_passages)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words: space and \t \n \v \f \r. ``bytes.split()`` cuts at the same six.
@@ -19,17 +19,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there, so that what follows survives lost executors."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; where that is unset, as in tests, a new one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager)
+    return spark.sparkContext.getCheckpointDir() or named
 
 
-def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
-    """UTF-8 bytes of all texts: one number from one aggregate."""
-    return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("n")).first()["n"]
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it from there, so that what follows survives lost executors."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a column that is worked out once, however often the body uses it (in loops, too)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def crc_mod(id_col: str, mod: int):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lm_scoring, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
+from . import decontamination, language_id, lm_scoring, near_dedup, quality_rules, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
 from .common import read_table
 
 
@@ -39,11 +39,23 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(read_table(spark, sf_dir, "documents"), held_out_mod=4, held_out_rest=2)
 
 
+def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_quality(read_table(spark, sf_dir, "documents"))
+
+
+def op9_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"), min_words=50)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_backoff_score, op2_toxicity_chain, op3_jump_shards, op4_sentencepiece, op5_token_counts, op6_bagminhash_classes, op7_language_mixture, op10_repeated_passages)
-}
+    f.__name__: f
+    for f in (
+        op1_backoff_score, op2_toxicity_chain, op3_jump_shards, op4_sentencepiece, op5_token_counts,
+        op6_bagminhash_classes, op7_language_mixture, op8_divergence_rules, op9_simhash_windows, op10_repeated_passages,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -170,8 +170,38 @@ def train_chain(
     return chain.fit(rows, found.column("fold").to_numpy(), np.column_stack([found.column(y).to_numpy() for y in names]))
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows_per_class: int, n_folds: int):
+    """The fitted chain as a broadcast, and its categories' names."""
+    toxic, poor = F.col("toxic") == 1, F.col("quality") == 0
+    categories = {"p_poor": poor, "p_toxic": toxic, "p_toxic_and_poor": toxic & poor}
+    chain = train_chain(docs, labels, categories, id_col, text_col, rows_per_class, F.col("toxic"), n_folds)
+    return docs.sparkSession.sparkContext.broadcast(chain), list(categories)
+
+
+def _judge(model: Chain, features: Features, texts: pa.Array, threshold: float) -> tuple[np.ndarray, pa.Array]:
+    """Probabilities, and whether each text is toxic."""
+    p = model.predict([features.cells(t) for t in texts.to_pylist()])
+    lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0)
+    return p, pa.compute.and_(pa.array(p[:, 1] >= threshold), pa.compute.greater(lengths, 0))
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 4000, n_folds: int = 5, threshold: float = 0.5,
+) -> DataFrame:
+    """The rows of ``docs`` that ``score_toxicity`` doesn't call toxic, all columns as they are: a map without a shuffle."""
+    shared, _ = _fitted(docs, labels, id_col, text_col, rows_per_class, n_folds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        features = Features(model.cells())
+        for batch in slices(batches, text_col):
+            yield batch.filter(pa.compute.invert(_judge(model, features, batch.column(text_col), threshold)[1]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 6000, n_folds: int = 5,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 4000, n_folds: int = 5,
     threshold: float = 0.5,
 ) -> DataFrame:
     """doc_id, p_poor, p_toxic, p_toxic_and_poor, toxic of every whole text.
@@ -185,17 +215,13 @@ def score_toxicity(
     called toxic. Without labels no document is toxic. Null labels aren't learnt from; of repeated labels of an id one
     is. Null ids and repeated documents are kept as they are. Empty table: no rows.
     """
-    categories = {"p_poor": F.col("quality") == 0, "p_toxic": F.col("toxic") == 1, "p_toxic_and_poor": (F.col("toxic") == 1) & (F.col("quality") == 0)}
-    chain = train_chain(docs, labels, categories, id_col, text_col, rows_per_class, F.col("toxic"), n_folds)
-    shared, names = docs.sparkSession.sparkContext.broadcast(chain), list(categories)
+    shared, names = _fitted(docs, labels, id_col, text_col, rows_per_class, n_folds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         features = Features(model.cells())
         for batch in slices(batches, "text"):
-            p = model.predict([features.cells(t) for t in batch.column("text").to_pylist()])
-            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0)
-            toxic = pa.compute.and_(pa.array(p[:, 1] >= threshold), pa.compute.greater(lengths, 0))
+            p, toxic = _judge(model, features, batch.column("text"), threshold)
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c) for c in p.T), toxic], ["doc_id", *names, "toxic"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

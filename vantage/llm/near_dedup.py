@@ -11,7 +11,8 @@ shingle and about m log m more.
 Join. Equal texts form a group first, by digest; one document of each stands for it. Bands of registers are hashed; in
 a bucket everything is compared with one centre instead of all with all, exactly, on whole texts; then components are
 taken. Where a bucket still has several classes, its next member is the centre, for the bucket's members of other
-classes, and so on until each bucket's open members are of one class or were compared with all others of the bucket.
+classes, and so on until the pairs between different classes are few, a small multiple of the members. Those are then
+compared at once. So each pair of a bucket is compared, or known to be of one class.
 """
 
 from __future__ import annotations
@@ -172,14 +173,26 @@ def _verify(pairs: DataFrame, texts: DataFrame, n_words: int, threshold: float)
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _compare(
+    pairs: DataFrame, tested: DataFrame | None, links: DataFrame | None, texts: DataFrame, n_words: int, threshold: float,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compare pairs that weren't: all pairs tested, all links found, and (node, label) by components of the links."""
+    new = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+    found = _verify(new, texts, n_words, threshold)
+    links = cut(found if links is None else found.unionByName(links))
+    return new if tested is None else new.unionByName(tested), links, components(links)
+
+
 def near_duplicate_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5,
+    few_pairs: int = 2,
 ) -> DataFrame:
     """doc_id, class_id of every document: class_id is the smallest id of the documents that chains of similarity join.
 
     Texts are similar if the weighted Jaccard similarity of their multisets of ``n_words``-word shingles (words lower-cased
     A-Z, split at white space) is ``threshold`` or more. A pair at 0.8 shares one of 32 bands of 5 registers with a chance
-    of 1 - 3e-6; what shares a band is compared on whole texts, so no unlike pair is linked.
+    of 1 - 3e-6; what shares a band is compared on whole texts, so no unlike pair is linked. ``few_pairs``: pairs between
+    classes per member from which on all are compared at once.
 
     Equal texts are one class, empty ones too. A null text is in a class of its own. Texts without words, equal ones
     apart, are like no other; texts of fewer than ``n_words`` words have one shingle. An id names one document: rows
@@ -196,31 +209,35 @@ def near_duplicate_classes(
     involved = members.select("node").distinct()
     texts = cut(docs.join(involved, docs["doc_id"] == involved["node"], "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    alike = F.least("size", "c.size") >= F.lit(threshold) * F.greatest("size", "c.size")
     tested = links = labels = None
-    open_members = members.withColumn("label", F.col("node"))
-    while True:
+    open_members, left = members.withColumn("label", F.col("node")), members.count()
+    enough = few_pairs * left
+    while left:
         # a bucket's centre is its smallest open member; what is of another class is compared with it
-        centres = open_members.groupBy("bucket").agg(F.min_by(F.struct("node", "size", "label"), "node").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+        centres = open_members.groupBy("bucket").agg(F.min_by(F.struct("node", "size", "label"), "node").alias("c"))
         pairs = (
-            open_members.join(centres, "bucket").where(F.col("label") != F.col("c.label"))
-            .where(F.least("size", "c.size") >= F.lit(threshold) * F.greatest("size", "c.size"))
+            open_members.join(centres, "bucket").where((F.col("label") != F.col("c.label")) & alike)
             .select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
         )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if tested is None or not pairs.isEmpty():
-            tested = pairs if tested is None else cut(tested.unionByName(pairs))
-            found = cut(_verify(pairs, texts, n_words, threshold))
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        after = open_members.join(centres.select("bucket", F.col("c.node").alias("node")), ["bucket", "node"], "left_anti").drop("label")
-        after = after.join(centres.select("bucket"), "bucket", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_members = cut(after.select("node", "size", "bucket", "label"))
-        mixed = open_members.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("bucket")
-        open_members = cut(open_members.join(mixed, "bucket", "left_semi"))
-        if open_members.isEmpty():
+        tested, links, labels = _compare(pairs, tested, links, texts, n_words, threshold)
+        rest = open_members.join(centres.select("bucket", F.col("c.node").alias("node")), ["bucket", "node"], "left_anti").drop("label")
+        rest = cut(rest.join(labels, "node", "left").select("node", "size", "bucket", F.coalesce("label", "node").alias("label")))
+        classes = rest.groupBy("bucket", "label").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("sq"))
+        mixed = classes.where("n * n > sq").withColumn("between", (F.col("n") * F.col("n") - F.col("sq")) / 2)
+        left = mixed.agg(F.coalesce(F.sum("between"), F.lit(0.0))).first()[0]
+        open_members = rest.join(mixed.select("bucket"), "bucket", "left_semi")
+        if 0 < left <= enough:
+            others = open_members.select("bucket", F.struct("node", "size", "label").alias("c"))
+            pairs = (
+                open_members.join(others, "bucket").where((F.col("c.node") < F.col("node")) & (F.col("label") != F.col("c.label")) & alike)
+                .select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+            )
+            _, _, labels = _compare(pairs, tested, links, texts, n_words, threshold)
             break
+        open_members = cut(open_members)
+    if labels is None:
+        labels = members.select("node", F.col("node").alias("label")).limit(0)
     of_digest = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").cast(kind).alias("class_id"))
     return signed.select("doc_id", "digest").join(of_digest, "digest", "left").select(
         "doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -33,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed Parquet table in that folder."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid4()}"
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.parquet(path)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a column that is worked out once, however often the body uses it (in loops, too)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -26,7 +26,8 @@ def picks(df: DataFrame, names: list[str], sizes: dict[str, int | None], by: lis
     Rows without a score are never flagged; equal scores are taken in the order of ``key``.
     """
     scores = F.inline(F.array(*(F.struct(F.lit(n).alias("strategy"), F.col(f"s_{n}").cast("double").alias("score")) for n in names)))
-    long = df.select("*", F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("_n"), scores)
+    counted = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))  # before the rows are multiplied
+    long = counted.select("*", scores)
     ranked = long.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "strategy").orderBy(F.col("score").desc_nulls_last(), key)))
     options = F.array(*(F.struct(F.lit(label).alias("k"), (F.lit(size) if size is not None else F.ceil(F.col("_n") / 10)).cast("int").alias("size")) for label, size in sizes.items()))
     every = F.array(F.struct(F.lit("all").alias("k"), F.lit(None).cast("int").alias("size")))

@@ -65,13 +65,13 @@ def population(rows: DataFrame) -> DataFrame:
 
 
 class World:
-    """The intermediate results that several queries share, each built when first asked for."""
+    """The intermediate results that several queries share. What several joins read is persisted; clear the cache when done."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cutoff: str | None = None):
         bound = (lambda df: df if cutoff is None else df.where(F.col("date") <= F.lit(cutoff).cast("date")))
-        self.activity, self.values = bound(activity(spark, sf_dir)), bound(values(spark, sf_dir))
+        self.activity, self.values = bound(activity(spark, sf_dir)).persist(), bound(values(spark, sf_dir)).persist()
         self.calendar = seasons(self.activity)
-        self.facts = facts(self.activity, self.calendar)
+        self.facts = facts(self.activity, self.calendar).persist()
         self.index = M.market_index(population(self.facts), self.values, "entity", "league")
         self.targets = M.targets(self.facts, self.values, "entity")
         self.customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("position_group"))

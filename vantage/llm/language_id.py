@@ -73,6 +73,8 @@ class MixtureModel:
 
     def infer(self, texts: list[str | None]) -> list[tuple[str, float, list[str], list[float]]]:
         """(language, its proportion, chosen languages, their proportions) of each text."""
+        if not self.languages:
+            return [("und", 0.0, [], [])] * len(texts)
         tokens = [(t or "").lower().split() for t in texts]
         self._index(tokens)
         known = self.known
@@ -81,7 +83,7 @@ class MixtureModel:
         lettered = ~np.isnan(self.rows[flat, 0]) if len(flat) else np.zeros(0, bool)
         flat, doc = flat[lettered], doc[lettered]
         out: list = [("und", 0.0, [], [])] * len(texts)
-        if not len(flat) or not self.languages:
+        if not len(flat):
             return out
         sizes = np.bincount(doc, minlength=len(texts))
         some = np.flatnonzero(sizes)

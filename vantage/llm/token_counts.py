@@ -14,6 +14,7 @@ distinct units are encoded in batches and remembered.
 from __future__ import annotations
 
 import json
+import os
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -81,30 +82,35 @@ class ResyncCounter:
 
 
 class UnitCounter:
-    """Counts the tokens of short texts unit by unit; remembers up to ``most_units`` units."""
+    """Counts the tokens of short texts unit by unit; remembers up to ``most_units`` units.
+
+    All units but a text's first begin with a space and are known by what follows it.
+    """
 
     def __init__(self, tokenizer, most_units: int = 400_000):
         self.tokenizer, self.most_units, self.known = tokenizer, most_units, {}
 
+    def _sizes(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def counts(self, texts: list[str]) -> list[int]:
         units = [self._units(t) for t in texts]
+        first = self._sizes([row[0] for row in units])
+        rest = [row[1:] for row in units]
         if len(self.known) > self.most_units:
             self.known = {}
         known = self.known
-        new = list({u for row in units for u in row if u not in known})
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            known.update(zip(part, map(len, self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        return [sum(map(known.__getitem__, row)) for row in units]
+        new = list(set().union(*rest) - known.keys())
+        known.update(zip(new, self._sizes([" " + u for u in new]), strict=True))
+        return [n + sum(map(known.__getitem__, row)) for n, row in zip(first, rest, strict=True)]
 
     @staticmethod
     def _units(text: str) -> list[str]:
-        if not text:
-            return []
-        if _AFTER_SPACE.search(text):
-            return _UNIT_START.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+        """The first unit, then the others without the space that they begin with."""
+        if not _AFTER_SPACE.search(text):
+            return text.split(" ")
+        first, *rest = _UNIT_START.split(text)
+        return [first, *(u[1:] for u in rest)]
 
 
 def load_tokenizer(serialized: bytes):
@@ -133,6 +139,7 @@ def count_tokens(
     shared = docs.sparkSession.sparkContext.broadcast(serialized)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are what runs in parallel
         tokenizer = load_tokenizer(shared.value)
         units, huge = UnitCounter(tokenizer), ResyncCounter(tokenizer, chunk_chars, overlap_chars, longest)
         for batch in slices(batches, "text"):

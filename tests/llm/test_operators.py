@@ -115,6 +115,16 @@ def test_repeated_passages(docs):
     assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("foreign", [(40, 40), (120, 60), (200, 200), (0, 150)])
+def test_repeated_passages_of_one_pair(spark, foreign):
+    """Two passages with other words between them, as many or not on both sides: each is found by itself."""
+    one, two = words(55), words(55)
+    texts = [words(20) + one + words(n) + two + words(20) for n in foreign]
+    rows = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    found = sorted((r.start_word, r.end_word, r.source_start, r.source_end, r.identity) for r in rows)
+    assert found == [(20, 75, 20, 75, 1.0), (75 + foreign[1], 130 + foreign[1], 75 + foreign[0], 130 + foreign[0], 1.0)]
+
+
 @pytest.mark.parametrize("most_listed", [20_000, 0])
 def test_contamination(docs, benchmark, most_listed):
     rows = decontamination.contaminated_documents(docs, benchmark, most_listed=most_listed).collect()

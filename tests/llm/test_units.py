@@ -101,3 +101,13 @@ def test_chain_learns_words_and_beginnings():
     p = chain.predict([features.cells(t) for t in ("word1 word2 nastyone", "word3 word4", "word5 nastyfied", "")])[:, 1]
     assert p[0] > 0.5 and p[2] > 0.3 and p[1] < 0.2 and p[3] < 0.2
     assert (toxicity.Chain().fit([], np.zeros(0, int), np.zeros((0, 2))).predict([set()]) < 0.01).all()
+
+
+def test_parts_of_runs():
+    a, b = [*"abcdefgh", *"12345", *"ijklmnop"], [*"abcdefgh", *"67", *"ijklmnop"]
+    assert len(substring_dedup.common_words(list("abcbdab"), list("bdcaba"))) == 4 and substring_dedup.common_words([], ["x"]) == []
+    runs = substring_dedup.runs_of(a, b, [(2, 2), (14, 11)], 5)
+    assert runs == [[0, 0, 8], [13, 10, 8]]
+    assert substring_dedup.parts(runs, 6, 0.8, 5) == [(0, 8, 0, 8, 1.0), (13, 21, 10, 18, 1.0)]
+    assert substring_dedup.parts(runs, 6, 0.7, 5) == [(0, 21, 0, 18, 16 / 21)]
+    assert substring_dedup.parts([], 6, 0.8, 5) == []

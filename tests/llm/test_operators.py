@@ -125,6 +125,18 @@ def test_repeated_passages_of_one_pair(spark, foreign):
     assert found == [(20, 75, 20, 75, 1.0), (75 + foreign[1], 130 + foreign[1], 75 + foreign[0], 130 + foreign[0], 1.0)]
 
 
+@pytest.mark.parametrize("lines", [2, 3])
+def test_repeated_passages_of_lines_from_elsewhere(spark, lines):
+    """A passage whose lines, and each two neighbours of them, occur first in different earlier documents."""
+    line = [words(60 // lines) for _ in range(lines)]
+    earlier = [words(20) + part + words(20) for part in line] + [words(20) + line[i] + line[i + 1] + words(20) for i in range(lines - 1) if lines > 2]
+    texts = [*earlier, words(30) + sum(line, []) + words(10), words(15) + sum(line, []) + words(25)]
+    rows = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    b, c = len(texts) - 2, len(texts) - 1
+    assert [(r.start_word, r.end_word, r.source_start, r.source_end) for r in rows if (r.doc_id, r.source_doc_id) == (c, b)] == [(15, 75, 30, 90)]
+    assert {(r.doc_id, r.source_doc_id) for r in rows} == {(c, b)}
+
+
 @pytest.mark.parametrize("most_listed", [20_000, 0])
 def test_contamination(docs, benchmark, most_listed):
     rows = decontamination.contaminated_documents(docs, benchmark, most_listed=most_listed).collect()

@@ -137,6 +137,19 @@ def test_repeated_passages_of_lines_from_elsewhere(spark, lines):
     assert {(r.doc_id, r.source_doc_id) for r in rows} == {(c, b)}
 
 
+def test_repeated_passages_with_edits(spark):
+    """Of passages of 60 words with 9 changed, three quarters are found; with 2 changed all are."""
+    rows, changed = [], {}
+    for i in range(120):
+        one = words(60)
+        places = draw.sample(range(60), n := 9 if i < 100 else 2)
+        other = [words(1)[0] if j in places else w for j, w in enumerate(one)]
+        rows += [(2 * i, " ".join(words(40) + one + words(60))), (2 * i + 1, " ".join(words(90) + other + words(20)))]
+        changed[2 * i + 1] = n
+    found = {r.doc_id for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(changed[d] == 9 for d in found) >= 75 and sum(changed[d] == 2 for d in found) == 20
+
+
 @pytest.mark.parametrize("most_listed", [20_000, 0])
 def test_contamination(docs, benchmark, most_listed):
     rows = decontamination.contaminated_documents(docs, benchmark, most_listed=most_listed).collect()

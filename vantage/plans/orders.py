@@ -3,6 +3,8 @@ activity, suppliers as clubs, regions as leagues, years as seasons."""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..operators import activity as A
 from ..operators import market as M
 from ..operators import scoring as S
 from ..operators.cleaning import clean_series, keep_first
+from ..sources.relations import stored
 
 KEY = ["entity", "season"]
 MIN_MINUTES = 20
@@ -65,15 +68,27 @@ def population(rows: DataFrame) -> DataFrame:
 
 
 class World:
-    """The intermediate results that several queries share. What several joins read is persisted; clear the cache when done."""
+    """The intermediate results that several queries share. What several of them read is stored once in the shared folder.
+
+    ``World.of`` gives the same object for the same session, folder and cut-off: for input that doesn't change meanwhile.
+    """
+
+    _known: dict[tuple, World] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str, cutoff: str | None = None) -> World:
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir, cutoff)
+        if key not in cls._known:
+            cls._known[key] = cls(spark, sf_dir, cutoff)
+        return cls._known[key]
 
     def __init__(self, spark: SparkSession, sf_dir: str, cutoff: str | None = None):
         bound = (lambda df: df if cutoff is None else df.where(F.col("date") <= F.lit(cutoff).cast("date")))
-        self.activity, self.values = bound(activity(spark, sf_dir)).persist(), bound(values(spark, sf_dir)).persist()
+        self.activity, self.values = stored(bound(activity(spark, sf_dir))), stored(bound(values(spark, sf_dir)))
         self.calendar = seasons(self.activity)
-        self.facts = facts(self.activity, self.calendar).persist()
-        self.index = M.market_index(population(self.facts), self.values, "entity", "league")
-        self.targets = M.targets(self.facts, self.values, "entity")
+        self.facts = stored(facts(self.activity, self.calendar))
+        self.index = stored(M.market_index(population(self.facts), self.values, "entity", "league"))
+        self.targets = stored(M.targets(self.facts, self.values, "entity"))
         self.customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("position_group"))
 
     def cutoffs(self) -> DataFrame:
@@ -85,6 +100,7 @@ class World:
     def outcomes(self) -> DataFrame:
         return M.outcomes(self.targets, self.values, "entity")
 
+    @cached_property
     def panel(self) -> DataFrame:
         """One row an entity and complete season with enough activity, a target and an index."""
         c, relative = F.col, lambda x: F.ln(F.col(x)) - F.col("market_index")
@@ -99,7 +115,7 @@ class World:
             .join(self.history(), KEY, "left").join(self.outcomes(), KEY, "left")
         )
         change = F.ln(c("future_value") / c("target_value"))
-        return rows.select(
+        return stored(rows.select(
             *KEY, "name", "position_group", "league", "club_id", "start_date", "end_date", "target_date", "target_value", (16 + c("entity") % 25).cast("double").alias("age"),
             "apps", "minutes", "goals", "league_minutes", "n_clubs_season", K.ratio(c("goals") * 90.0, c("minutes")).alias("goals_per90"),
             F.when(c("prev_seen"), (c("prev_club_id") != c("club_id")).cast("int")).alias("changed_club"), "prev_minutes", (c("minutes") - c("prev_minutes")).alias("minutes_delta"),
@@ -109,11 +125,17 @@ class World:
             c("last_update_log_change").alias("bt_last_update_log_change"), c("future_value").alias("outcome_future_value"), c("future_date").alias("outcome_future_date"),
             change.alias("outcome_log_change"), (change - (c("index_at_future") - c("index_at_target"))).alias("outcome_rel_change"),
             "last_app", "val_hist_date", "val_cutoff", "index_asof_date",
-        )
+        ))
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """The flagged season's rows with gaps, peers' bias, strategy scores, outcome flags and cells."""
+        fitted = with_fit(self.panel).where(F.col("season") == FLAGGED)
+        return stored(S.strategies(S.score_frame(S.add_segments(fitted))))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return World(spark, sf_dir).panel()
+    return World.of(spark, sf_dir).panel
 
 
 def with_fit(rows: DataFrame, feature: str = "minutes", y: str = "y") -> DataFrame:
@@ -122,10 +144,8 @@ def with_fit(rows: DataFrame, feature: str = "minutes", y: str = "y") -> DataFra
     return rows.crossJoin(F.broadcast(fit)).withColumn("y_hat", F.col("intercept") + F.col("slope") * F.col(feature))  # one row
 
 
-def scored(spark: SparkSession, sf_dir: str, season: int = FLAGGED) -> DataFrame:
-    """One season's rows with gaps, peers' bias, strategy scores, outcome flags and cells."""
-    fitted = with_fit(panel(spark, sf_dir)).where(F.col("season") == season)
-    return S.strategies(S.score_frame(S.add_segments(fitted)))
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return World.of(spark, sf_dir).scored
 
 
 STRATEGIES = ["all", "model_raw", "model_debiased", "young_regulars", "mean_reversion"]

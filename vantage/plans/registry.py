@@ -115,12 +115,12 @@ def range_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.world("SELECT league, season, start_date, end_date, n_games, n_clubs, complete FROM cal"))
 def season_calendar_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return World(spark, sf_dir).calendar.select("league", "season", "start_date", "end_date", "n_games", "n_clubs", "complete")
+    return World.of(spark, sf_dir).calendar.select("league", "season", "start_date", "end_date", "n_games", "n_clubs", "complete")
 
 
 @query(O.world("SELECT entity, season, league, club_id FROM aff"))
 def main_affiliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.main_affiliation(World(spark, sf_dir).activity, KEY, ["league", "club_id"], "minutes").select(*KEY, "league", "club_id")
+    return A.main_affiliation(World.of(spark, sf_dir).activity, KEY, ["league", "club_id"], "minutes").select(*KEY, "league", "club_id")
 
 
 FACTS = ["entity", "season", "league", "club_id", "apps", "minutes", "goals", "league_minutes", "n_clubs_season", "last_app"]
@@ -128,7 +128,7 @@ FACTS = ["entity", "season", "league", "club_id", "apps", "minutes", "goals", "l
 
 @query(O.world(f"SELECT {', '.join(FACTS)} FROM facts"))
 def bounded_activity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return World(spark, sf_dir).facts.select(*FACTS)
+    return World.of(spark, sf_dir).facts.select(*FACTS)
 
 
 @query("""SELECT entity, season, category FROM (SELECT entity, season, category, row_number() OVER (PARTITION BY entity, season ORDER BY n DESC, category IN ('5-LOW', '4-NOT SPECIFIED'), category) AS rn
@@ -177,7 +177,7 @@ def membership_flag_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM act a LEFT JOIN (SELECT c_custkey, c_mktsegment, CASE WHEN c_acctbal > 0 THEN 16 + c_custkey % 25 END AS age FROM customer) ON c_custkey = entity GROUP BY 1, 2"""))
 def weighted_avg_null_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), "c_mktsegment", F.when(F.col("c_acctbal") > 0, 16 + F.col("c_custkey") % 25).alias("age"))
-    rows = World(spark, sf_dir).activity.join(people, "entity", "left")
+    rows = World.of(spark, sf_dir).activity.join(people, "entity", "left")
     return rows.groupBy("club_id", "season").agg(
         F.countDistinct("entity").alias("used"), F.round(G.weighted_mean(F.col("age"), F.col("minutes")), 4).alias("mean_age"),
         F.round(G.share(F.col("c_mktsegment") != "BUILDING", F.col("minutes")), 4).alias("foreign_share"),
@@ -205,7 +205,7 @@ def flow_in_out_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.world("SELECT season, asof_date, league, round(idx, 4) AS idx, n_entities FROM idx"))
 def market_index_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return World(spark, sf_dir).index.select("season", "asof_date", "league", *r4("idx"), "n_entities")
+    return World.of(spark, sf_dir).index.select("season", "asof_date", "league", *r4("idx"), "n_entities")
 
 
 def _asof(strict: bool) -> str:
@@ -239,36 +239,36 @@ def asof_latest_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.world("SELECT entity, season, round(target_value, 2) AS target_value, target_date FROM tgt"))
 def asof_nearest_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return World(spark, sf_dir).targets.select(*KEY, F.round("target_value", 2).alias("target_value"), "target_date")
+    return World.of(spark, sf_dir).targets.select(*KEY, F.round("target_value", 2).alias("target_value"), "target_date")
 
 
 @query(O.world("SELECT entity, season, round(last_update_log_change, 4) + 0.0 AS last_update_log_change, round(future_value, 2) AS future_value, future_date FROM later"))
 def outcome_after_12m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return World(spark, sf_dir).outcomes().select(*KEY, *r4("last_update_log_change"), F.round("future_value", 2).alias("future_value"), "future_date")
+    return World.of(spark, sf_dir).outcomes().select(*KEY, *r4("last_update_log_change"), F.round("future_value", 2).alias("future_value"), "future_date")
 
 
 @query(O.world("SELECT entity, season, round(val_last, 2) AS val_last, val_hist_date, round(val_peak, 2) AS val_peak, round(val_season_start, 2) AS val_season_start, round(val_12m, 2) AS val_12m, val_cutoff FROM hist"))
 def value_history_four_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = lambda n: F.round(n, 2).alias(n)
-    return World(spark, sf_dir).history().select(*KEY, two("val_last"), "val_hist_date", two("val_peak"), two("val_season_start"), two("val_12m"), "val_cutoff")
+    return World.of(spark, sf_dir).history().select(*KEY, two("val_last"), "val_hist_date", two("val_peak"), two("val_season_start"), two("val_12m"), "val_cutoff")
 
 
 @query(O.world("SELECT f.entity, f.season, p.minutes AS prev_minutes, f.minutes - p.minutes AS minutes_delta, CAST(p.club_id <> f.club_id AS INT) AS changed_club FROM facts f LEFT JOIN facts p ON p.entity = f.entity AND p.season = f.season - 1"))
 def prev_season_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = World(spark, sf_dir).facts
+    rows = World.of(spark, sf_dir).facts
     both = rows.join(A.previous_season(rows, "entity", "season", ["minutes", "club_id"]), KEY, "left")
     return both.select(*KEY, "prev_minutes", (F.col("minutes") - F.col("prev_minutes")).alias("minutes_delta"), (F.col("prev_club_id") != F.col("club_id")).cast("int").alias("changed_club"))
 
 
 @query(O.world("SELECT entity, season, l3_seasons, l3_minutes FROM l3"))
 def trailing_three_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.trailing(World(spark, sf_dir).facts, "entity", "season", {"minutes": "l3_minutes"}, "l3_seasons").select(*KEY, "l3_seasons", "l3_minutes")
+    return A.trailing(World.of(spark, sf_dir).facts, "entity", "season", {"minutes": "l3_minutes"}, "l3_seasons").select(*KEY, "l3_seasons", "l3_minutes")
 
 
 @query(O.world("""SELECT g.season, round(g.idx, 4) AS idx, round(a.idx, 4) AS idx_1, round(b.idx, 4) AS idx_2 FROM (SELECT * FROM idx WHERE league = '_ALL') g
     LEFT JOIN idx a ON a.season = g.season + 1 AND a.league = '_ALL' LEFT JOIN idx b ON b.season = g.season + 2 AND b.league = '_ALL'"""))
 def index_shifted_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = World(spark, sf_dir).index
+    index = World.of(spark, sf_dir).index
     at = [M.index_at(index, n, k) for n, k in (("idx", 0), ("idx_1", 1), ("idx_2", 2))]
     return at[0].join(at[1], "season", "left").join(at[2], "season", "left").select("season", *r4("idx", "idx_1", "idx_2"))
 
@@ -303,7 +303,7 @@ COMPARED = ["apps", "minutes", "goals", "club_id", "prev_minutes", "l3_minutes",
     f"SELECT '{f}' AS feature, count(*) FILTER (NOT coalesce(abs(a.{f} - b.{f}) <= 1e-9 * greatest(abs(a.{f}), abs(b.{f}), 1e-300), a.{f} IS NULL AND b.{f} IS NULL)) AS n_diff FROM panel a JOIN then_panel b ON b.entity = a.entity AND b.season = a.season" for f in COMPARED
 ) + " UNION ALL SELECT '_only_now', count(*) FROM panel a WHERE NOT EXISTS (SELECT 1 FROM then_panel b WHERE b.entity = a.entity AND b.season = a.season)", THEN))
 def time_travel_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now, then = panel(spark, sf_dir), World(spark, sf_dir, THEN).panel()
+    now, then = panel(spark, sf_dir), World.of(spark, sf_dir, THEN).panel
     gone = D.only_in(now, then, KEY).agg(F.count(F.lit(1)).alias("n_diff")).select(F.lit("_only_now").alias("feature"), "n_diff")
     return D.panel_diff(now, then, KEY, COMPARED).unionByName(gone)
 
@@ -324,7 +324,7 @@ METRIC_SQL = """count(*) AS n, round(sqrt(avg((y_hat - y) * (y_hat - y))), 4) AS
 
 
 def _metrics(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, "n", *r4(*[m for m in METRICS if not m.endswith("_eur")]), *(F.round(m, 1).alias(m) for m in METRICS if m.endswith("_eur")))
+    return df.select(*keys, "n", *((F.round(m, 1).alias(m) if m.endswith("_eur") else r4(m)[0]) for m in METRICS))
 
 
 @query(O.world(f"SELECT {METRIC_SQL.format(v='exp(y_hat + market_index)')} FROM (SELECT *, (SELECT avg(y) FROM panel WHERE season <= 1998) AS y_hat FROM panel WHERE season = 1999)"))
@@ -447,7 +447,7 @@ def pivot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def headline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).persist()
+    rows = scored(spark, sf_dir)
     results = B.evaluate(B.universes(rows, [0.0]), STRATEGIES, SIZES, ["floor"], "entity")
     boot = R.bootstrap_picks(rows, {"model_raw": BOOT_K}, {"model_raw": "log_gap"}, "entity", N_BOOT).withColumn("k", F.lit("top_100"))
     return B.headline(results, boot, ["strategy", "k"]).select("strategy", "k", "hit_raw", "ci_low", "ci_high", "ci_kind", "lift_raw", "matched_lift_raw", "matched_low", "matched_high")
@@ -456,7 +456,7 @@ def headline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def walk_forward_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two flag seasons, each scored by a ridge fitted on the seasons before it only."""
-    rows = panel(spark, sf_dir).persist()
+    rows = panel(spark, sf_dir)
     out = []
     for season in (FLAGGED - 1, FLAGGED):
         _, fitted, _ = L.fit_and_score("linear", rows.where(F.col("season") < season), rows.where(F.col("season") == season), [*FEATURES, "league", "position_group"])
@@ -475,7 +475,7 @@ def category_levels_other(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    rows = panel(spark, sf_dir).persist()
+    rows = panel(spark, sf_dir)
     return rows.where(F.col("season") <= TRAIN_LAST), rows.where(F.col("season") == FLAGGED), [*FEATURES, "league", "position_group"]
 
 
@@ -591,7 +591,7 @@ def search_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.scored("SELECT entity, name, strftime(end_date, '%Y-%m-%d') AS end_date, league, round(target_value, 1) AS target_value, round(pred_value, 1) AS pred_value FROM scored WHERE entity = (SELECT min(entity) FROM scored)"))
 def entity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).persist()
+    rows = scored(spark, sf_dir)
     one = Q.lookup(rows, "entity", rows.agg(F.min("entity")).first()[0])
     return Q.record(one.select("entity", "name", "end_date", "league", F.round("target_value", 1).alias("target_value"), F.round("pred_value", 1).alias("pred_value")))
 

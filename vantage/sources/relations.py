@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,19 @@ def read_relations(spark: SparkSession, folder: str, cutoff=None) -> dict[str, D
     return {name: read_relation(spark, folder, name, cutoff) for name in RELATIONS}
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder of spark.checkpoint.dir and read from there: what follows has a short plan
+    and survives lost executors. Where that setting is unset, as in tests, a new folder of our own is taken."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder}/stored-{uuid4()}"
+    df.write.parquet(path, compression="zstd")
+    return spark.read.parquet(path)
+
+
 def write_panel(panel: DataFrame, path: str, overwrite: bool = False) -> None:
     """Parquet by season, so that a season's readers touch its files only. Refuses to replace a result unless told to."""
     panel.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("season").parquet(path, compression="zstd")

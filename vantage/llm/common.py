@@ -41,6 +41,36 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def hot_keys(counts: DataFrame, key: str, n: str, most: int = 1000) -> DataFrame:
+    """The keys of ``counts`` (a row a key) that hold more than one in ``most`` of all rows: so at most ``most`` keys, whatever the size."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return counts.where(F.col(n) * most > F.lit(max(total, 10 * most))).select(key)
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, salts: int = 32) -> DataFrame:
+    """``big`` joined with ``small`` (a row a key) on ``key``: rows of the ``hot`` keys, a bounded list, are dealt to ``salts`` tasks each
+    by their other columns."""
+    salt = F.pmod(F.xxhash64(*(c for c in big.columns if c != key)), F.lit(salts)).cast("int")
+    hot = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    spread = big.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    copies = small.join(hot, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return spread.join(copies, [key, "_salt"]).drop("_salt")
+
+
+def likely_among(df: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """Rows of ``df`` whose ``key`` has its bit set in a bitmap of the keys of ``ids``: all that are among them, and few others.
+
+    The bitmap is a table of ``bits`` / 32,768 rows of 4 KB, which is what is broadcast, however many ids there are. So a
+    join that needs few rows of ``df`` doesn't shuffle the others. (An inner join must follow: a semi join is pushed below.)
+    """
+    bit = (F.pmod(F.xxhash64(key), F.lit(bits)) + 1).cast("bigint")
+    maps = ids.select(bit.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits"))
+    at = F.bitmap_bit_position("_bit")
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn("_bit", bit).withColumn("_map", F.bitmap_bucket_number("_bit")).join(F.broadcast(maps), "_map")
+    return found.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0).select(df.columns)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a column that is worked out once, however often the body uses it (in loops, too)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

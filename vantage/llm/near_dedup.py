@@ -8,25 +8,27 @@ rate, and a piece that w cuts is halved point by point until a point's half lies
 tree, Ertl 2018). Points come in the order of time and stop where all registers are full, so a text costs one draw a
 shingle and about m log m more.
 
-Join. Equal texts form a group first, by digest; one document of each stands for it. Bands of registers are hashed; in
-a bucket everything is compared with one centre instead of all with all: first by a byte of each register, which drops
-pairs whose estimate is over 4.5 deviations too low, then exactly, on whole texts. Then components are taken. Where a bucket still has several classes, its next member is the centre, for the bucket's members of other
-classes, and so on until the pairs between different classes are few, a small multiple of the members. Those are then
-compared at once. So each pair of a bucket is compared, or known to be of one class.
+Join. Equal texts are one node, named by their digest, and only buckets of several nodes count. There are two passes.
+(1) Each bucket is dealt at random into parts of bounded size; in its part each node is paired with the few earlier ones
+that agree with it on most registers: so many pairs a node and bucket, however large the bucket. The pairs are verified on
+whole texts, and components of the links are taken. (2) Where a bucket then holds several classes, all nodes outside its
+largest class are set against all nodes of other classes, in blocks. So each pair of a bucket is compared, or known to
+be of one class. In both passes a byte of each register stands for the text first: it drops pairs whose estimate is over
+4.5 deviations too low.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, hot_keys, likely_among, salted_join, slices, written
 from .components import components
 from .lm_scoring import words_of
 
@@ -144,33 +146,83 @@ class Signer:
 
 
 def _signatures(docs: DataFrame, n_words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, digest, size, bands, sketch of docs (doc_id, text)."""
+    """node, size, bands, sketch of docs (text); without bands where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(n_words, bands, rows)
         for batch in slices(batches, "text", 2 << 20):
             h, sizes, sketch = signer.sign(batch.column("text").to_pylist())
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("digest"), pa.array(sizes), pa.array(h, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "digest", "size", "bands", "sketch"],
-            )
+            yield pa.record_batch([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(h, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["node", "size", "bands", "sketch"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text").mapInArrow(run, f"doc_id {kind}, digest string, size bigint, bands array<bigint>, sketch binary")
+    return docs.select("node", "text").mapInArrow(run, "node binary, size bigint, bands array<bigint>, sketch binary")
 
 
-def _promising(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (a, b) whose sketches agree on a share ``least`` of the registers: sketches are a twentieth of the texts."""
+def _agreement(sketches: np.ndarray, others: np.ndarray, sizes: np.ndarray, other_sizes: np.ndarray, threshold: float, step: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """Of ``step`` rows at a time, the share of registers on which they agree with each of the others; -1 where the sizes are too unlike."""
+    for i in range(0, len(sketches), step):
+        share = (sketches[i : i + step, None, :] == others[None]).mean(2)
+        a, b = sizes[i : i + step, None], other_sizes[None]
+        share[np.minimum(a, b) < threshold * np.maximum(a, b)] = -1
+        yield i, share
+
+
+def _table_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    n = table.num_rows
+    sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
+    return sketches, table.column("size").to_numpy(), table.column("node").combine_chunks()
+
+
+def _groups(*columns: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of the rows of each distinct combination."""
+    order = np.lexsort(columns[::-1])
+    changed = np.zeros(len(order), bool)
+    for c in columns:
+        changed[1:] |= c[order][1:] != c[order][:-1]
+    return iter(np.split(order, np.flatnonzero(changed))) if len(order) else iter(())
+
+
+def _nearest(threshold: float, least: float, partners: int) -> Callable[[pa.Table], pa.Table]:
+    """The first pass in some parts of buckets: each node with the earlier ones that it agrees with most, the nearest of as good ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sketches, sizes, nodes = _table_of(table)
+        a, b = [], []
+        for at in _groups(table.column("bucket").to_numpy(), table.column("part").to_numpy()):
+            if len(at) < 2:
+                continue
+            for i, share in _agreement(sketches[at], sketches[at], sizes[at], sizes[at], threshold):
+                x, y = np.arange(i, i + len(share))[:, None], np.arange(len(at))[None]
+                share = np.where((y < x) & (share >= least), share + y * 1e-9, -1.0)
+                best = np.argpartition(-share, min(partners, len(at)) - 1, 1)[:, :partners]
+                r, c = np.nonzero(np.take_along_axis(share, best, 1) >= 0)
+                a.append(at[best[r, c]])
+                b.append(at[r + i])
+        return _pairs(nodes, a, b)
+
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
-                yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    full = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+def _crossing(threshold: float, least: float) -> Callable[[pa.Table], pa.Table]:
+    """The second pass in some blocks: nodes outside the bucket's largest class (``minor``) with all of other classes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sketches, sizes, nodes = _table_of(table)
+        minor, label = table.column("minor").to_numpy(), table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        a, b = [], []
+        for at in _groups(*(table.column(c).to_numpy() for c in ("bucket", "q", "p"))):
+            x, y = at[minor[at]], at[~minor[at]]
+            for i, share in _agreement(sketches[x], sketches[y], sizes[x], sizes[y], threshold) if len(x) and len(y) else ():
+                r, c = np.nonzero((share >= least) & (label[x[i : i + len(share)], None] != label[y][None]))
+                a.append(x[r + i])
+                b.append(y[c])
+        return _pairs(nodes, a, b)
+
+    return run
+
+
+def _pairs(nodes: pa.Array, a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
+    take = lambda places: nodes.take(pa.array(np.concatenate(places) if places else np.zeros(0, np.int64)))
+    return pa.table([take(a), take(b)], ["a", "b"])
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n_words: int, threshold: float) -> DataFrame:
@@ -180,86 +232,99 @@ def _verify(pairs: DataFrame, texts: DataFrame, n_words: int, threshold: float)
         last_id, last = None, None
         for batch in batches:
             kept = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if a != last_id:
-                    last_id, last = a, shingles(words_of(x), n_words)
-                kept.append(similarity(last, shingles(words_of(y), n_words)) >= threshold)
+            for b, x, y in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b")), strict=True):
+                if b != last_id:
+                    last_id, last = b, shingles(words_of(y), n_words)
+                kept.append(similarity(last, shingles(words_of(x), n_words)) >= threshold)
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").repartition(tasks, "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+
 
+def node_of(text: Column) -> Column:
+    """What names a text: its MD5 digest."""
+    return F.unhex(F.md5(text.cast("binary")))
 
-def _compare(
-    pairs: DataFrame, tested: DataFrame | None, links: DataFrame | None, texts: DataFrame, sketches: DataFrame, n_words: int, threshold: float, least: float,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compare pairs that weren't: all pairs tested, all links found, and (node, label) by components of the links."""
-    new = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-    found = _verify(_promising(new, sketches, least), texts, n_words, threshold)
-    links = cut(found if links is None else found.unionByName(links))
-    return new if tested is None else new.unionByName(tested), links, components(links)
+
+def text_classes(
+    docs: DataFrame, text_col: str = "text", n_words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, partners: int = 2, part_rows: int = 4096,
+    cell_rows: int = 20_000,
+) -> tuple[DataFrame, DataFrame]:
+    """(node, copies) of all distinct texts, and (node, label) of those that are similar to another; equal labels make a class.
+
+    ``partners``: pairs a node and bucket in the first pass; ``part_rows``: nodes in a part or block of a bucket;
+    ``cell_rows``: rows of parts that a task holds at a time. These change the work, not the classes.
+    """
+    texts = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).where("text is not null")
+    one = [F.first(c).alias(c) for c in ("size", "bands", "sketch")]  # copies have the same
+    signed = written(_signatures(texts, n_words, bands, rows).groupBy("node").agg(F.count(F.lit(1)).alias("copies"), *one))
+    nodes = signed.select("node", "copies")
+    # eight bytes of the digest go through the big shuffles; nodes that share them are each other's candidates, no more
+    short = F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("bigint").alias("short")
+    banded = signed.where("bands is not null").select(F.explode("bands").alias("bucket"), short)
+    crowded = cut(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = salted_join(banded, crowded, "bucket", hot_keys(crowded, "bucket", "n"))
+    involved = cut(members.join(signed.select("node", "size", short), "short").drop("short"))
+    ids = cut(involved.select("node").distinct())
+    sketches = signed.join(ids, "node", "left_semi").select("node", "sketch")
+    wanted = written(likely_among(texts, "node", ids).join(ids, "node").groupBy("node").agg(F.first("text").alias("text")))
+    cells = max(1, -(-involved.count() // cell_rows))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df, f: df.repartition(tasks, "cell").groupBy("cell").applyInArrow(f, "a binary, b binary")  # noqa: E731  (few bytes, much work: no merging of partitions)
+    least = threshold - 4.5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+
+    # first pass
+    parts = involved.join(sketches, "node").withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / part_rows)).cast("int"))
+    near = parts.select("bucket", "part", "node", "size", "sketch", F.pmod(F.xxhash64("bucket", "part"), F.lit(cells)).cast("int").alias("cell"))
+    links = cut(_verify(dealt(near, _nearest(threshold, least, partners)), wanted, n_words, threshold))
+    labels = components(links)
+
+    # second pass
+    known = cut(involved.select("bucket", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    classes = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = cut(
+        classes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        .select("bucket", "n", F.col("top.label").alias("major"), F.ceil((F.col("n") - F.col("top.c")) / part_rows).cast("int").alias("qs"), F.ceil(F.col("n") / part_rows).cast("int").alias("ps"))
+    )
+    rest = salted_join(known, mixed, "bucket", hot_keys(mixed, "bucket", "n")).join(sketches, "node").select(
+        "bucket", "node", "size", "sketch", "label", (F.col("label") != F.col("major")).alias("outside"), "qs", "ps",
+        F.pmod(F.xxhash64("node", "bucket"), F.col("qs")).cast("int").alias("q"), F.pmod(F.xxhash64("bucket", "node"), F.col("ps")).cast("int").alias("p"),
+    )
+    common = ["bucket", "node", "size", "sketch", "label"]
+    ones = rest.where("outside").select(*common, F.lit(True).alias("minor"), "q", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"))
+    all_ = rest.select(*common, F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "p")
+    blocks = ones.unionByName(all_).withColumn("cell", F.pmod(F.xxhash64("bucket", "q", "p"), F.lit(cells)).cast("int"))
+    further = cut(_verify(dealt(blocks, _crossing(threshold, least)), wanted, n_words, threshold))
+    if not further.isEmpty():
+        labels = components(links.unionByName(further))
+    return nodes, labels
 
 
 def near_duplicate_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5,
-    few_pairs: int = 2,
 ) -> DataFrame:
     """doc_id, class_id of every document: class_id is the smallest id of the documents that chains of similarity join.
 
     Texts are similar if the weighted Jaccard similarity of their multisets of ``n_words``-word shingles (words lower-cased
     A-Z, split at white space) is ``threshold`` or more. A pair at 0.8 shares one of 32 bands of 5 registers with a chance
-    of 1 - 3e-6, and passes the sketches with about the same; links are those of whole texts, so no unlike pair is linked. ``few_pairs``: pairs between
-    classes per member from which on all are compared at once.
+    of 1 - 3e-6, and passes the sketches with about the same; links are those of whole texts, so no unlike pair is linked.
 
     Equal texts are one class, empty ones too. A null text is in a class of its own. Texts without words, equal ones
-    apart, are like no other; texts of fewer than ``n_words`` words have one shingle. An id names one document: rows
-    that share it share a class. A row without id gets its text's class, null if only such rows have the text. Empty
-    table: no rows. Other columns are ignored.
+    apart, are like no other; texts of fewer than ``n_words`` words have one shingle. Each row is judged by its own text,
+    whether or not others share its id. A row without id gets its text's class, null if only such rows have the class.
+    Empty table: no rows. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(_signatures(docs, n_words, bands, rows))
-    nodes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    banded = signed.join(nodes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
-    banded = banded.where("bands is not null").select(F.col("doc_id").alias("node"), "size", F.explode("bands").alias("bucket"))
-    crowded = banded.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = cut(banded.join(crowded, "bucket", "left_semi"))
-    involved = members.select("node").distinct()
-    texts = cut(docs.join(involved, docs["doc_id"] == involved["node"], "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]))
-    sketches = cut(signed.select(F.col("doc_id").alias("node"), "sketch").join(involved, "node", "left_semi").dropDuplicates(["node"]))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    m = bands * rows
-    least = threshold - 4.5 * (threshold * (1 - threshold) / m) ** 0.5
-    alike = F.least("size", "c.size") >= F.lit(threshold) * F.greatest("size", "c.size")
-    tested = links = labels = None
-    open_members, left = members.withColumn("label", F.col("node")), members.count()
-    enough = few_pairs * left
-    while left:
-        # a bucket's centre is its smallest open member; what is of another class is compared with it
-        centres = open_members.groupBy("bucket").agg(F.min_by(F.struct("node", "size", "label"), "node").alias("c"))
-        pairs = (
-            open_members.join(centres, "bucket").where((F.col("label") != F.col("c.label")) & alike)
-            .select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-        )
-        tested, links, labels = _compare(pairs, tested, links, texts, sketches, n_words, threshold, least)
-        rest = open_members.join(centres.select("bucket", F.col("c.node").alias("node")), ["bucket", "node"], "left_anti").drop("label")
-        rest = cut(rest.join(labels, "node", "left").select("node", "size", "bucket", F.coalesce("label", "node").alias("label")))
-        classes = rest.groupBy("bucket", "label").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("sq"))
-        mixed = classes.where("n * n > sq").withColumn("between", (F.col("n") * F.col("n") - F.col("sq")) / 2)
-        left = mixed.agg(F.coalesce(F.sum("between"), F.lit(0.0))).first()[0]
-        open_members = rest.join(mixed.select("bucket"), "bucket", "left_semi")
-        if 0 < left <= enough:
-            others = open_members.select("bucket", F.struct("node", "size", "label").alias("c"))
-            pairs = (
-                open_members.join(others, "bucket").where((F.col("c.node") < F.col("node")) & (F.col("label") != F.col("c.label")) & alike)
-                .select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-            )
-            _, _, labels = _compare(pairs, tested, links, texts, sketches, n_words, threshold, least)
-            break
-        open_members = cut(open_members)
-    if labels is None:
-        labels = members.select("node", F.col("node").alias("label")).limit(0)
-    of_digest = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").cast(kind).alias("class_id"))
-    return signed.select("doc_id", "digest").join(of_digest, "digest", "left").select(
-        "doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
-    )
+    nodes, labels = text_classes(docs, "text", n_words, threshold, bands, rows)
+    rows_ = docs.select("doc_id", node_of(F.col("text")).alias("node"))
+    least = rows_.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    of_node = least.join(labels, "node", "left")
+    of_label = of_node.where("label is not null").groupBy("label").agg(F.min("least").alias("of_label"), F.count(F.lit(1)).alias("n"))
+    in_class = salted_join(of_node.where("label is not null"), of_label, "label", hot_keys(of_label, "label", "n")).select("node", F.col("of_label").alias("class_id"))
+    of_node = least.join(in_class, "node", "left").select("node", F.coalesce("class_id", "least").cast(kind).alias("class_id"))
+    judged = salted_join(rows_.where("node is not null"), of_node, "node", hot_keys(nodes, "node", "copies")).select("doc_id", "class_id")
+    return judged.unionByName(rows_.where("node is null").select("doc_id", F.col("doc_id").alias("class_id")))

@@ -12,7 +12,7 @@ Join. Equal texts are one node, named by their digest, and only buckets of sever
 (1) Each bucket is dealt at random into parts of bounded size; in its part each node is paired with the few earlier ones
 that agree with it on most registers: so many pairs a node and bucket, however large the bucket. The pairs are verified on
 whole texts, and components of the links are taken. (2) Where a bucket then holds several classes, all nodes outside its
-largest class are set against all nodes of other classes, in blocks. So each pair of a bucket is compared, or known to
+largest class are set against all nodes of other classes, in blocks that have the texts, so that only links leave them. So each pair of a bucket is compared, or known to
 be of one class. In both passes a byte of each register stands for the text first: it drops pairs whose estimate is over
 4.5 deviations too low.
 """
@@ -202,19 +202,45 @@ def _nearest(threshold: float, least: float, partners: int) -> Callable[[pa.Tabl
     return run
 
 
-def _crossing(threshold: float, least: float) -> Callable[[pa.Table], pa.Table]:
-    """The second pass in some blocks: nodes outside the bucket's largest class (``minor``) with all of other classes."""
+def _crossing(threshold: float, least: float, n_words: int) -> Callable[[pa.Table], pa.Table]:
+    """The second pass in some blocks: nodes outside the bucket's largest class (``minor``) with all of other classes.
+
+    A pair is compared in the first band that it shares, by its shingles' hashes, and one link of two classes is enough.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         sketches, sizes, nodes = _table_of(table)
         minor, label = table.column("minor").to_numpy(), table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-        a, b = [], []
-        for at in _groups(*(table.column(c).to_numpy() for c in ("bucket", "q", "p"))):
+        bands = table.column("bands").combine_chunks().values.to_numpy().reshape(table.num_rows, -1)
+        bucket, text = table.column("bucket").to_numpy(), table.column("text").combine_chunks()
+        signer, a, b, known = Signer(n_words), [], [], set()
+        for at in _groups(bucket, table.column("q").to_numpy(), table.column("p").to_numpy()):
             x, y = at[minor[at]], at[~minor[at]]
-            for i, share in _agreement(sketches[x], sketches[y], sizes[x], sizes[y], threshold) if len(x) and len(y) else ():
+            if not len(x) or not len(y):
+                continue
+            band, starts, codes, counts = int((bands[x[0]] == bucket[x[0]]).argmax()), {}, {}, {}
+            for i, share in _agreement(sketches[x], sketches[y], sizes[x], sizes[y], threshold):
                 r, c = np.nonzero((share >= least) & (label[x[i : i + len(share)], None] != label[y][None]))
-                a.append(x[r + i])
-                b.append(y[c])
+                first = (bands[x[r + i]] == bands[y[c]]).argmax(1) == band
+                r, c = x[r[first] + i], y[c[first]]
+                new = [u for u in set(r.tolist()).union(c.tolist()) if u not in codes]
+                if new:
+                    doc, code, count = signer._elements(text.take(pa.array(new)).to_pylist())
+                    edges = np.searchsorted(doc, np.arange(len(new) + 1))
+                    for j, u in enumerate(new):
+                        codes[u], counts[u] = code[edges[j] : edges[j + 1]], count[edges[j] : edges[j + 1]]
+                for u in np.unique(r).tolist():
+                    others = c[r == u]
+                    flat, weight = np.concatenate([codes[v] for v in others.tolist()]), np.concatenate([counts[v] for v in others.tolist()])
+                    place = np.minimum(np.searchsorted(codes[u], flat), len(codes[u]) - 1)
+                    common = np.where(codes[u][place] == flat, np.minimum(counts[u][place], weight), 0)
+                    owner = np.repeat(np.arange(len(others)), [len(codes[v]) for v in others.tolist()])
+                    shared = np.bincount(owner, common, len(others))
+                    for v in others[shared >= threshold * (sizes[u] + sizes[others] - shared) - 1e-6].tolist():
+                        if (pair := (label[u], label[v])) not in known:
+                            known.add(pair)
+                            a.append([u])
+                            b.append([v])
         return _pairs(nodes, a, b)
 
     return run
@@ -251,12 +277,12 @@ def node_of(text: Column) -> Column:
 
 def text_classes(
     docs: DataFrame, text_col: str = "text", n_words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, partners: int = 2, part_rows: int = 4096,
-    cell_rows: int = 20_000,
+    block_rows: int = 1024, cell_rows: int = 20_000, cell_bytes: int = 16 << 20,
 ) -> tuple[DataFrame, DataFrame]:
     """(node, copies) of all distinct texts, and (node, label) of those that are similar to another; equal labels make a class.
 
-    ``partners``: pairs a node and bucket in the first pass; ``part_rows``: nodes in a part or block of a bucket;
-    ``cell_rows``: rows of parts that a task holds at a time. These change the work, not the classes.
+    ``partners``: pairs a node and bucket in the first pass; ``part_rows``, ``block_rows``: nodes in a part (first pass) or
+    on each side of a block (second pass) of a bucket; ``cell_rows``, ``cell_bytes``: what a task holds at a time, about. These change the work, not the classes.
     """
     texts = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).where("text is not null")
     one = [F.first(c).alias(c) for c in ("size", "bands", "sketch")]  # copies have the same
@@ -270,7 +296,7 @@ def text_classes(
     involved = cut(members.join(signed.select("node", "size", short), "short").drop("short"))
     ids = cut(involved.select("node").distinct())
     sketches = signed.join(ids, "node", "left_semi").select("node", "sketch")
-    wanted = written(likely_among(texts, "node", ids).join(ids, "node").groupBy("node").agg(F.first("text").alias("text")))
+    wanted = written(likely_among(texts, "node", ids).groupBy("node").agg(F.first("text").alias("text")).join(ids, "node"))
     cells = max(1, -(-involved.count() // cell_rows))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lambda df, f: df.repartition(tasks, "cell").groupBy("cell").applyInArrow(f, "a binary, b binary")  # noqa: E731  (few bytes, much work: no merging of partitions)
@@ -287,17 +313,20 @@ def text_classes(
     classes = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = cut(
         classes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        .select("bucket", "n", F.col("top.label").alias("major"), F.ceil((F.col("n") - F.col("top.c")) / part_rows).cast("int").alias("qs"), F.ceil(F.col("n") / part_rows).cast("int").alias("ps"))
+        .select("bucket", "n", F.col("top.label").alias("major"), F.ceil((F.col("n") - F.col("top.c")) / block_rows).cast("int").alias("qs"), F.ceil(F.col("n") / block_rows).cast("int").alias("ps"))
     )
-    rest = salted_join(known, mixed, "bucket", hot_keys(mixed, "bucket", "n")).join(sketches, "node").select(
-        "bucket", "node", "size", "sketch", "label", (F.col("label") != F.col("major")).alias("outside"), "qs", "ps",
+    rest = salted_join(known, mixed, "bucket", hot_keys(mixed, "bucket", "n")).join(signed.join(ids, "node").select("node", "sketch", "bands"), "node").join(wanted, "node").select(
+        "bucket", "node", "size", "sketch", "bands", "text", "label", (F.col("label") != F.col("major")).alias("outside"), "qs", "ps",
         F.pmod(F.xxhash64("node", "bucket"), F.col("qs")).cast("int").alias("q"), F.pmod(F.xxhash64("bucket", "node"), F.col("ps")).cast("int").alias("p"),
     )
-    common = ["bucket", "node", "size", "sketch", "label"]
+    common = ["bucket", "node", "size", "sketch", "bands", "text", "label"]
+    rest = cut(rest)
+    held = rest.agg(F.coalesce(F.sum((F.octet_length("text") + 500) * (F.col("qs") + F.when(F.col("outside"), F.col("ps")).otherwise(0))), F.lit(0))).first()[0]
+    cells = max(1, -(-held // cell_bytes))
     ones = rest.where("outside").select(*common, F.lit(True).alias("minor"), "q", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"))
     all_ = rest.select(*common, F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "p")
     blocks = ones.unionByName(all_).withColumn("cell", F.pmod(F.xxhash64("bucket", "q", "p"), F.lit(cells)).cast("int"))
-    further = cut(_verify(dealt(blocks, _crossing(threshold, least)), wanted, n_words, threshold))
+    further = cut(_verify(dealt(blocks, _crossing(threshold, least, n_words)), wanted, n_words, threshold))
     if not further.isEmpty():
         labels = components(links.unionByName(further))
     return nodes, labels

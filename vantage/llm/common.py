@@ -71,6 +71,15 @@ def likely_among(df: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 26) -
     return found.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0).select(df.columns)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` hasn't."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a column that is worked out once, however often the body uses it (in loops, too)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

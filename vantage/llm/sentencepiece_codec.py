@@ -4,8 +4,8 @@ The model is a protobuf message. The few fields that matter are read from its wi
 kinds, the algorithm (unigram or BPE), byte fallback and the normaliser's rules. From these a tokenizers pipeline is
 put together: normaliser (precompiled character map if there is one, metaspace marker), model (unigram scores, or BPE
 merges in the order of the scores), byte fallback, and the decoder that undoes them. Texts go through it unit by unit
-in batches that the library encodes on its own threads. Each new unit is also encoded by the sentencepiece library;
-where the two differ, sentencepiece's ids are returned, and ``parity`` says so.
+in batches that the library encodes on its own threads. Its ids are the result. Each new unit is also encoded by the
+sentencepiece library as a check: ``parity`` says whether all of a text's units gave the same ids there.
 """
 
 from __future__ import annotations
@@ -150,15 +150,15 @@ class Codec:
         self.good, self.back = np.zeros(0, bool), np.zeros(0, bool)
 
     def _learn(self, units: list[str]) -> None:
-        """Encode new units by both libraries, and decode them."""
+        """Encode new units, decode them, and encode them by the other library for the check."""
         ours = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         theirs = self.reference.encode(units, num_threads=1)
-        decoded = self.tokenizer.decode_batch(theirs, skip_special_tokens=False)
+        decoded = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
         self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
-        sizes = np.fromiter(map(len, theirs), np.int64, len(units))
+        sizes = np.fromiter(map(len, ours), np.int64, len(units))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(theirs), np.int32, int(sizes.sum()))])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ours), np.int32, int(sizes.sum()))])
         self.good = np.concatenate([self.good, [a == b for a, b in zip(ours, theirs, strict=True)]])
         self.back = np.concatenate([self.back, [a == b for a, b in zip(decoded, units, strict=True)]])
 

@@ -3,7 +3,8 @@
 Training counts character trigrams of words by language, hashed into a fixed number of cells. A word's likelihood in a
 language is the product over its trigrams. A text is a mixture: each word comes from one of its languages.
 Expectation maximisation estimates the proportions; then single languages, pairs and triples of the likeliest ones are
-compared by log-likelihood minus a penalty for each further language, and the best set's largest language is the answer.
+compared by log-likelihood minus a penalty for each further language, and so on as long as a further language is better
+for the text. The best set's largest language is the answer.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ def trigram_cells(words: list[str], n_cells: int) -> tuple[np.ndarray, np.ndarra
 
 
 class MixtureModel:
-    def __init__(self, languages: list[str], log_prob: np.ndarray, penalty: float, most: int, steps: int = 15, most_words: int = 300_000):
-        self.languages, self.log_prob, self.penalty, self.most, self.steps, self.most_words = languages, log_prob, penalty, most, steps, most_words
+    def __init__(self, languages: list[str], log_prob: np.ndarray, penalty: float, steps: int = 15, most_words: int = 300_000):
+        self.languages, self.log_prob, self.penalty, self.steps, self.most_words = languages, log_prob, penalty, steps, most_words
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(languages)), np.float32)
 
@@ -102,8 +103,9 @@ class MixtureModel:
         chosen[np.arange(n), first] = 1
         value, result = single[np.arange(n), first], chosen.copy()
         cost = self.penalty * np.log(np.maximum(sizes, 2))
-        for size in range(2, min(self.most, k) + 1):
-            worth = np.flatnonzero(share[np.arange(n), order[:, size - 1]] > 0.01)
+        rising = np.ones(n, bool)
+        for size in range(2, k + 1):
+            worth = np.flatnonzero(rising & (share[np.arange(n), order[:, size - 1]] > 0.01))
             if not len(worth):
                 break
             sub = np.zeros(n, bool)
@@ -116,6 +118,8 @@ class MixtureModel:
             got, total = self._fit(like[held], np.flatnonzero(np.diff(sub_doc, prepend=-1)), sub_doc, sizes[worth], allowed)
             total -= cost[worth] * (size - 1)
             better = total > value[worth]
+            # a pair can be worse than the likeliest language although three are better: only from two on a fall ends the search
+            rising[worth] = better | (size == 2)
             value[worth[better]], result[worth[better]] = total[better], got[better]
         for i, r in zip(some.tolist(), result, strict=True):
             top = np.argsort(-r, kind="stable")
@@ -158,7 +162,7 @@ def train(
 
 def identify_languages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_mod: int = 4, held_out_rest: int = 2,
-    docs_per_language: int = 1500, n_cells: int = 1 << 16, smoothing: float = 0.05, penalty: float = 3.0, most_languages: int = 3,
+    docs_per_language: int = 1500, n_cells: int = 1 << 16, smoothing: float = 0.05, penalty: float = 3.0,
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score, languages, proportions of every whole text.
 
@@ -173,7 +177,7 @@ def identify_languages(
     shared = docs.sparkSession.sparkContext.broadcast((languages, log_prob.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = MixtureModel(*shared.value, penalty, most_languages)
+        model = MixtureModel(*shared.value, penalty)
         for batch in slices(batches, "text", 2 << 20):
             lang, score, names, shares = zip(*model.infer(batch.column("text").to_pylist()), strict=True)
             yield pa.record_batch(

@@ -103,10 +103,10 @@ class Chain:
     def fit(self, rows: list[np.ndarray], fold: np.ndarray, labels: np.ndarray) -> Chain:
         """rows: each text's cells; fold: of each text; labels: texts x categories."""
         n = len(rows)
-        row, cell = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        known, cell, having = np.unique(cell, return_inverse=True, return_counts=True)  # cells of one or two texts tell nothing
-        often = having >= 3
-        row, cell, known = row[often[cell]], (np.cumsum(often) - 1)[cell[often[cell]]], known[often]
+        row, cell = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        often = np.bincount(cell, minlength=N_CELLS) >= 3  # cells of one or two texts tell nothing
+        kept, known = often[cell], np.flatnonzero(often)
+        row, cell = row[kept], (np.cumsum(often) - 1).astype(np.int32)[cell[kept]]
         dense = np.zeros((n, 0))
         for y in labels.T.astype(float):
             held = np.zeros(n)
@@ -142,7 +142,8 @@ def train_chain(
 ) -> Chain:
     """Fit the chain on about ``rows_per_class`` labelled documents of each class, picked by hash of the id."""
     labels = labels.select(F.col("doc_id"), *(c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())), class_col.cast("int").alias("cls"))
-    labels = labels.dropna().dropDuplicates(["doc_id"])
+    ys = [f"y{i}" for i in range(len(categories))]
+    labels = labels.dropna().groupBy("doc_id").agg(*(F.max(c).alias(c) for c in [*ys, "cls"]))  # where labels of an id differ, the worse holds
     sizes = {r["cls"]: r["count"] for r in labels.groupBy("cls").count().collect()}  # a row a class
     names = [f"y{i}" for i in range(len(categories))]
     chain = Chain(n_folds)
@@ -150,8 +151,9 @@ def train_chain(
         return chain.fit([], np.zeros(0, int), np.zeros((0, len(names))))
     share = F.create_map(*(x for cls, n in sizes.items() for x in (F.lit(cls), F.lit(min(1.0, rows_per_class / n)))))
     picked = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 20)) < share[F.col("cls")] * (1 << 20)).drop("cls")
-    # a bounded sample: about rows_per_class rows of each class
+    # a bounded sample: about rows_per_class rows of each class, one text an id
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).dropna().join(F.broadcast(picked), "doc_id")
+    sample = sample.groupBy("doc_id", *ys).agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -166,7 +168,7 @@ def train_chain(
     found = sample.mapInArrow(extract, f"doc_id {kind}, fold int, cells array<int>, " + ", ".join(f"{y} int" for y in names)).toArrow().sort_by("doc_id")
     cells = found.column("cells").combine_chunks()
     edges = cells.offsets.to_numpy()
-    rows = np.split(cells.values.to_numpy().astype(np.int64), edges[1:-1]) if found.num_rows else []
+    rows = np.split(cells.values.to_numpy(), edges[1:-1]) if found.num_rows else []
     return chain.fit(rows, found.column("fold").to_numpy(), np.column_stack([found.column(y).to_numpy() for y in names]))
 
 
@@ -212,8 +214,8 @@ def score_toxicity(
     map: no shuffle.
 
     toxic: p_toxic >= ``threshold``. Null and empty texts have no words, get the chain's base rates, and are never
-    called toxic. Without labels no document is toxic. Null labels aren't learnt from; of repeated labels of an id one
-    is. Null ids and repeated documents are kept as they are. Empty table: no rows.
+    called toxic. Without labels no document is toxic. Null labels aren't learnt from; of repeated labels of an id that
+    differ, the worse are; of rows that share an id, the least text. Null ids and repeated documents are kept as they are. Empty table: no rows.
     """
     shared, names = _fitted(docs, labels, id_col, text_col, rows_per_class, n_folds)
 

@@ -90,6 +90,13 @@ def crc_mod(id_col: str, mod: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.RecordBatch]:
+    """Re-cut Arrow batches to at most ``n`` rows: what becomes Python objects at a time stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, n):
+            yield batch.slice(start, n)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Re-cut Arrow batches so that each holds about ``most_bytes`` of text, and one row at least."""
     for batch in batches:

@@ -57,7 +57,7 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class Signer:
-    def __init__(self, n_words: int = 5, bands: int = 32, rows: int = 5, most_words: int = 400_000):
+    def __init__(self, n_words: int = 5, bands: int = 32, rows: int = 5, most_words: int = 100_000):
         self.n_words, self.bands, self.rows, self.m, self.most_words = n_words, bands, rows, bands * rows, most_words
         self.known: dict[bytes, int] = {}
 
@@ -256,7 +256,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, n_words: int, threshold: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last = None, None
-        for batch in batches:
+        for batch in slices(batches, "text_a", 1 << 20):
             kept = []
             for b, x, y in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b")), strict=True):
                 if b != last_id:

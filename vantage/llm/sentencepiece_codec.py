@@ -128,7 +128,7 @@ def build_tokenizer(model: dict):
 class Codec:
     """Encodes texts; remembers up to ``most_units`` units between batches."""
 
-    def __init__(self, model_bytes: bytes, most_units: int = 300_000):
+    def __init__(self, model_bytes: bytes, most_units: int = 150_000):
         import sentencepiece
 
         self.model = parse_model(model_bytes)

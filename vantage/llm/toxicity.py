@@ -30,7 +30,7 @@ def token_features(token: str) -> tuple[int, ...]:
 class Features:
     """The distinct cells of a text, if wanted only those that matter; remembers tokens."""
 
-    def __init__(self, wanted: frozenset[int] | None = None, most_tokens: int = 400_000):
+    def __init__(self, wanted: frozenset[int] | None = None, most_tokens: int = 100_000):
         self.wanted, self.most_tokens, self.known = wanted, most_tokens, {}
 
     def cells(self, text: str | None) -> set[int]:

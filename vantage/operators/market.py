@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import config as C
@@ -32,17 +32,25 @@ def targets(seasons: DataFrame, series: DataFrame, entity: str, season: str = "s
 
 
 def value_history(cutoffs: DataFrame, series: DataFrame, entity: str, season: str = "season", start: str = "start_date", cutoff: str = "cutoff", ts: str = "date", value: str = "value") -> DataFrame:
-    """Last, highest, at the season's start and a year before the cut-off: four as-of values in one pass over values up to the cut-off."""
-    right = series.select(F.col(entity).alias("_e"), F.col(ts).alias("_ts"), F.col(value).alias("_v"))
-    joined = cutoffs.select(entity, season, start, cutoff).join(right, (F.col(entity) == F.col("_e")) & (F.col("_ts") <= F.col(cutoff)))
-    def latest(when: Column) -> Column:
-        return F.max(F.when(when, F.struct("_ts", "_v")))["_v"]
-
-    return joined.groupBy(entity, season).agg(
-        latest(F.lit(True)).alias("val_last"), F.max("_ts").alias("val_hist_date"), F.max("_v").alias("val_peak"),
-        latest(F.col("_ts") <= F.col(start)).alias("val_season_start"), latest(F.col("_ts") <= F.date_sub(F.col(cutoff), 365)).alias("val_12m"),
-        F.first(cutoff).alias("val_cutoff"),
-    )
+    """Last, highest, at the season's start and a year before the cut-off: four as-of values of the values up to the cut-off.
+
+    Each cut-off asks at three points in time. Points and values are sorted by time within the entity, once, and the last
+    and the highest value so far are carried along: linear in the length of a series. No value up to the cut-off: no row.
+    """
+    point = lambda name, at: F.struct(F.lit(name).alias("name"), at.alias("at"))
+    points = F.array(point("last", F.col(cutoff)), point("start", F.least(start, cutoff)), point("year", F.date_sub(cutoff, 365)))
+    asked = cutoffs.select(F.col(entity).alias("_e"), F.struct(entity, season, cutoff).alias("_probe"), F.explode(points).alias("_p"))
+    found = F.struct(F.col(ts).alias("ts"), F.col(value).alias("v"))
+    rows = series.where(F.col(ts).isNotNull()).select(F.col(entity).alias("_e"), F.col(ts).alias("_t"), F.lit(0).alias("_tag"), found.alias("_row"))
+    none = F.lit(None)
+    probes = asked.select("_e", F.col("_p.at").alias("_t"), F.lit(1).alias("_tag"), none.cast(rows.schema["_row"].dataType).alias("_row"), "_probe", F.col("_p.name").alias("_name"))
+    rows = rows.withColumns({"_probe": none.cast(probes.schema["_probe"].dataType), "_name": none.cast("string")})
+    so_far = Window.partitionBy("_e").orderBy("_t", "_tag", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = rows.unionByName(probes).withColumns({"_last": F.last("_row", ignorenulls=True).over(so_far), "_peak": F.max("_row.v").over(so_far)}).where("_probe is not null and _last is not null")
+    of = lambda name, c: F.max(F.when(F.col("_name") == name, F.col(c)))
+    return carried.groupBy("_probe").agg(
+        of("last", "_last.v").alias("val_last"), of("last", "_last.ts").alias("val_hist_date"), of("last", "_peak").alias("val_peak"), of("start", "_last.v").alias("val_season_start"), of("year", "_last.v").alias("val_12m"),
+    ).select(f"_probe.{entity}", f"_probe.{season}", "val_last", "val_hist_date", "val_peak", "val_season_start", "val_12m", F.col(f"_probe.{cutoff}").alias("val_cutoff"))
 
 
 def outcomes(target: DataFrame, series: DataFrame, entity: str, season: str = "season", ts: str = "date", value: str = "value", within_days: int = C.FUTURE_WINDOW_DAYS) -> DataFrame:

@@ -79,3 +79,11 @@ def value_range(df: DataFrame, table: DataFrame, pred: str = "pred_value", bands
     at = lambda x: F.col(pred) * F.exp(F.coalesce(f"_{x}", f"_all_{x}"))
     out = joined.withColumns({"low_80": at("q10"), "low_50": at("q25"), "high_50": at("q75"), "high_80": at("q90")})
     return out.drop("_band", *(f"_{x}" for x in q), *(f"_all_{x}" for x in q))
+
+
+def best_and_runner_up(table: DataFrame, model: str = "model", measure: str = "rmse") -> DataFrame:
+    """(place, model, measure, gap): the best two rows by the smallest measure, ties by name, and how far each is from the best."""
+    order = F.struct(F.col(measure).alias("m"), F.col(model).alias("model"))
+    top = table.where(F.col(measure).isNotNull()).agg(F.slice(F.array_sort(F.collect_list(order)), 1, 2).alias("top"))  # a row a model
+    two = top.select(F.posexplode("top").alias("i", "t"), F.col("top")[0]["m"].alias("best"))
+    return two.select((F.col("i") + 1).alias("place"), F.col("t.model").alias(model), F.col("t.m").alias(measure), (F.col("t.m") - F.col("best")).alias("gap"))

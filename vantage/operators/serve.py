@@ -82,3 +82,21 @@ def with_missing(rows: DataFrame, features: list[str], allowed: Iterable[str]) -
     if unknown:
         raise ValueError(f"unknown features {unknown}")
     return rows.withColumns({f: F.lit(None).cast("string" if f in C.CATEGORICAL else "double") for f in features if f not in rows.columns})
+
+
+def reliability(metrics: DataFrame, results: DataFrame, strategy: str = "model_debiased", k: str = "top_decile") -> DataFrame:
+    """One row of what a report may say about the model: its typical error in per cent, the picks' hit rate and the base rate."""
+    rate = lambda s, size: F.max(F.when((F.col("strategy") == s) & (F.col("k") == size), F.col("hit_raw")))
+    rates = results.agg(rate(strategy, k).alias("hit_rate"), rate("all", "all").alias("base_rate"))
+    return metrics.select((F.col("median_pct_error") * 100).alias("typical_error_pct")).crossJoin(F.broadcast(rates))  # one row each
+
+
+def summary(reports: dict[str, DataFrame]) -> DataFrame:
+    """(report, record): the rows of several reports as JSON records, told apart by name."""
+    parts = [df.select(F.lit(name).alias("report"), F.to_json(F.struct(*df.columns)).alias("record")) for name, df in reports.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def panel_summary(panel: DataFrame, by: str = "season", value: str = "target_value", index: str = "market_index") -> DataFrame:
+    """Rows, median value and market index of each season."""
+    return panel.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.percentile(value, F.lit(0.5)).alias("median_value"), F.max(index).alias("market_index"))

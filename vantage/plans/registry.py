@@ -339,6 +339,26 @@ def baseline_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(L.metrics_of(L.last_value_baseline(rows.where(F.col("season") <= TRAIN_LAST), rows.where(F.col("season") == FLAGGED))))
 
 
+@query(O.world("SELECT season, count(*) AS rows, round(quantile_cont(target_value, 0.5), 1) AS median_value, round(max(market_index), 4) + 0.0 AS market_index FROM panel GROUP BY season"))
+def panel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.panel_summary(panel(spark, sf_dir)).select("season", "rows", F.round("median_value", 1).alias("median_value"), *r4("market_index"))
+
+
+MODELS = {"mean": "(SELECT avg(y) FROM panel WHERE season <= 1998)", "last_value": "coalesce(val_last_rel, (SELECT avg(y) FROM panel WHERE season <= 1998))", "least_squares": "y_hat"}
+
+
+@query(O.scored("").rstrip() + ", models AS (" + " UNION ALL ".join(f"SELECT '{n}' AS model, sqrt(avg(({e} - y) * ({e} - y))) AS rmse FROM scored" for n, e in MODELS.items()) + """),
+    top AS (SELECT row_number() OVER (ORDER BY rmse, model) AS place, model, rmse, rmse - min(rmse) OVER () AS gap FROM models)
+SELECT place, model, round(rmse, 4) AS rmse, round(gap, 4) + 0.0 AS gap FROM top WHERE place <= 2""")
+def best_and_runner_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, valid = panel(spark, sf_dir), scored(spark, sf_dir)
+    train, plain = rows.where(F.col("season") <= TRAIN_LAST), rows.where(F.col("season") == FLAGGED)
+    fits = {"mean": L.mean_baseline(train, plain), "last_value": L.last_value_baseline(train, plain), "least_squares": valid}
+    parts = [df.agg(F.sqrt(F.avg((F.col("y_hat") - F.col("y")) ** 2)).alias("rmse")).withColumn("model", F.lit(n)) for n, df in fits.items()]
+    best = S.best_and_runner_up(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return best.select("place", "model", *r4("rmse", "gap"))
+
+
 GAPS = ["y_hat", "pred_value", "log_gap", "score_raw", "cell_bias", "log_gap_debiased", "score_debiased"]
 
 
@@ -414,7 +434,19 @@ def rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("strategy", "outcome", "n", *r4("ic", "ci_low", "ci_high"))
 
 
-N_BOOT, BOOT_K = 20, 100
+@query(O.rated("""SELECT (SELECT round((exp(quantile_cont(abs(y_hat - y), 0.5)) - 1) * 100, 4) FROM scored) AS typical_error_pct,
+    round(max(hit_raw) FILTER (strategy = 'model_debiased' AND k = 'top_decile'), 4) AS hit_rate, round(max(hit_raw) FILTER (strategy = 'all'), 4) AS base_rate FROM evaluated""", evaluated=True))
+def reliability_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metrics = scored(spark, sf_dir).agg(*S.error_metrics(F.col("y"), F.col("y_hat"), F.col("target_value"), F.col("pred_value")))
+    return Q.reliability(metrics, _evaluated(spark, sf_dir, [0.0])).select(*r4("typical_error_pct", "hit_rate", "base_rate"))
+
+
+@query()
+def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.summary({f.__name__: f(spark, sf_dir) for f in (strategy_table, floor_table, missingness_ztest, rank_ic, bootstrap_ci, error_breakdown_by_segment)})
+
+
+N_BOOT, BOOT_K = 2000, 100
 DRAWS = """, numbered AS (SELECT *, row_number() OVER (ORDER BY entity) - 1 AS idx FROM scored), size AS (SELECT count(*) AS n FROM numbered),
 draws AS (SELECT b, j, CAST(('0x' || substr(md5('42-' || b || '-' || j), 1, 8)) AS BIGINT) % n AS pick FROM size, range(0, {n}) t(b), range(0, (SELECT n FROM size)) u(j)),
 drawn AS (SELECT d.b, d.j, r.* FROM draws d JOIN numbered r ON r.idx = d.pick)"""
@@ -511,7 +543,7 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid, _ = _split(spark, sf_dir)
     numeric = list(FEATURES)
     model, _, _ = L.fit_and_score("linear", train, valid, numeric)
-    return L.permutation_importance(model, L.prepared(valid, numeric, []), numeric[:4], "entity", repeats=2)
+    return L.permutation_importance(model, L.prepared(valid, numeric, []), numeric, "entity")
 
 
 def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,55 @@ def test_near_duplicate_group_without_centre(spark):
     assert near >= 0.8 and set(got.values()) == {0}
 
 
+def test_near_duplicates_equal_brute_force(spark):
+    """Families of edited copies, some of them unlike each other, texts that share a passage, exact copies, shared ids, clashing columns."""
+    rows, common = [], words(60)
+    for _ in range(12):
+        base = words(90)
+        for _ in range(9):
+            edited = [words(1)[0] if draw.random() < draw.choice([0, 0.01, 0.03]) else w for w in base]
+            rows.append((len(rows), " ".join(edited)))
+    rows += [(len(rows) + i, " ".join(common + words(30))) for i in range(60)]
+    rows += [(len(rows) + i, rows[0][1]) for i in range(50)]
+    rows += [(rows[5][0], rows[20][1]), (None, rows[30][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("node", "bucket", "label", "n", "copies", "part", "cell")})
+    texts = sorted({t for _, t in rows})
+    sets = [shingles(t.split(), 5) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(sets[i], sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    of = dict(zip(texts, root, strict=True))
+    least = {r: min(i for i, t in rows if i is not None and of[t] == r) for r in set(root)}
+    got = sorted((str(r.doc_id), r.class_id) for r in near_dedup.near_duplicate_classes(df).collect())
+    assert got == sorted((str(i), least[of[t]]) for i, t in rows)
+    small = near_dedup.text_classes(df, part_rows=5, block_rows=3, cell_rows=50, cell_bytes=4000)[1]
+    classes = {}
+    for r in small.collect():
+        classes.setdefault(bytes(r.label), set()).add(bytes(r.node))
+    import hashlib
+
+    want = {}
+    for t in texts:
+        want.setdefault(of[t], set()).add(hashlib.md5(t.encode()).digest())
+    assert sorted(map(sorted, classes.values())) == sorted(sorted(c) for c in want.values() if len(c) > 1)
+
+
+def test_repeated_passages_with_earlier_fragments(spark):
+    """Earlier documents each hold a part of a passage that two later ones share whole; rows that share an id."""
+    passage = words(60)
+    texts = [words(10) + passage[i * 4 : i * 4 + 14] + words(10) for i in range(11)] + [words(30) + passage + words(10), words(5) + passage + words(25)]
+    rows = [(90 + i, " ".join(t)) for i, t in enumerate(texts)] + [(102, " ".join(words(80))), (300, " ".join(words(70))), (300, " ".join(passage))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeated_passages(df)
+    assert {(r.doc_id, r.start_word, r.end_word, r.source_doc_id) for r in found.collect()} >= {(102, 5, 65, 101), (300, 0, 60, 101)}
+    left = substring_dedup.remove_passages(df.withColumns({"_spans": F.lit(1), "_id": F.lit(2)}), found).collect()
+    sizes = {(r.doc_id, len(r.text.split())) for r in left if r.doc_id > 101}
+    assert len(left) == len(rows) - 1 and sizes == {(102, 30), (102, 80), (300, 70)}, found.collect()
+
+
 def test_repeated_passages(docs):
     rows = substring_dedup.repeated_passages(docs).collect()
     found = {(r.doc_id, r.source_doc_id): (r.start_word, r.end_word) for r in rows}
@@ -158,6 +207,26 @@ def test_contamination(docs, benchmark, most_listed):
     assert decontamination.contaminated_documents(docs.limit(0), benchmark).count() == 0
 
 
+def test_contamination_equals_brute_force(spark):
+    """All windows of an item's length against all items, without anchors and fingerprints."""
+    items = [words(draw.randint(12, 40)) for _ in range(12)]
+    texts = []
+    for i in range(40):
+        item = items[i % 12]
+        edited = [words(1)[0] if draw.random() < draw.choice([0, 0.02, 0.06]) else w for w in item]
+        texts.append(words(draw.randint(0, 30)) + (edited if i % 3 else item[: len(item) // 2]) + words(draw.randint(0, 30)))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        for j, item in enumerate(items):
+            best = max((similarity(shingles(t[s : s + len(item)], 5), shingles(item, 5)) for s in range(len(t) - len(item) + 1)), default=0)
+            if best >= 0.8:
+                want[i, j] = best
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated_documents(docs, bench).collect()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want) and len(want) > 10
+
+
 def test_quality(docs):
     rows = {r.doc_id: r for r in quality_rules.judge_quality(docs).collect()}
     for i, t in enumerate(TEXTS):
@@ -196,7 +265,7 @@ def test_toxicity(docs, labels):
 def test_pipeline_stages(spark, docs, labels, benchmark, tmp_path):
     import corpus_pipeline
 
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs.withColumns({c: F.lit("x") for c in ("_nth", "_node", "_spans", "_id", "_key")}).write.parquet(str(tmp_path / "documents.parquet"))
     labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}

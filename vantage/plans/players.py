@@ -11,7 +11,7 @@ from ..operators import activity as A
 from ..operators import groups as G
 from ..operators import market as M
 from ..operators.cleaning import clean_all
-from ..sources.relations import read_relations
+from ..sources.relations import read_relations, stored
 
 KEY = ["player_id", "season"]
 CLUB = ["club_id", "season", "league"]
@@ -103,7 +103,7 @@ def own_fees(t: dict[str, DataFrame], main: DataFrame) -> DataFrame:
 
 def player_seasons(t: dict[str, DataFrame], seasons: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entity-season facts, and the tagged appearances."""
-    app = tagged_appearances(t).persist()
+    app = stored(tagged_appearances(t))
     main = main_seasons(app, seasons)
     rows = main.join(season_stats(app, main), KEY).join(lineup_stats(t, app, main), KEY, "left")
     filled = {c: F.coalesce(c, F.lit(0)) for c in ("starts", "captain_games")}
@@ -115,24 +115,24 @@ def build_panel(
 ) -> DataFrame:
     """One row a player and season, from a folder of CSVs or from relations; with ``cutoff`` as if read on that day.
 
-    What several joins read (calendar, tagged appearances, entity seasons, values) is persisted; clear the cache when done.
+    What several joins read (calendar, appearances, seasons, values, index, targets, clubs) is stored once in the shared folder.
 
     Group facts are joined on club, season and league, so that a club in two leagues doesn't multiply rows.
     """
     raw = read_relations(spark, source, cutoff) if isinstance(source, str) else source
     t = clean_all(raw)
-    seasons = calendar(t).persist()
+    seasons = stored(calendar(t))
     facts, app = player_seasons(t, seasons)
-    facts = facts.persist()
-    values = t["player_valuations"].persist()
+    facts = stored(facts)
+    values = stored(t["player_valuations"])
     population = facts.where(F.col("minutes") >= C.MIN_MINUTES).select("player_id", (F.col("season") + 1).alias("season"), "league")
     population = population.withColumn("asof_date", F.make_date(F.col("season").cast("int"), F.lit(7), F.lit(1)))
-    index = M.market_index(population, values, "player_id", "league")
-    target = M.targets(facts, values, "player_id")
+    index = stored(M.market_index(population, values, "player_id", "league"))
+    target = stored(M.targets(facts, values, "player_id"))
     cutoffs = target.join(facts.select(*KEY, "start_date", "end_date"), KEY).withColumn("cutoff", F.least("end_date", F.date_sub("target_date", 1)))
     history = M.value_history(cutoffs, values, "player_id")
     later = M.outcomes(target, values, "player_id")
-    club = club_results(t, seasons)
+    club = stored(club_results(t, seasons))
 
     carried = ["club_id", "league", "minutes", "apps", "ga"]
     rows = (

@@ -121,15 +121,17 @@ def contaminated_documents(
     )
     windows = windows.select("*", simhash(F.col("window_shingles")).alias("fingerprint"))
     masks = [sum(1 << b for b in bits) for r in range(BLOCK_RADIUS + 1) for bits in combinations(range(BLOCK_BITS), r)]
-    index = items.select("item_id", "n", F.col("shingles").alias("item_shingles"), simhash(F.col("shingles")).alias("item_fingerprint"))
+    index = items.select("item_id", "n", simhash(F.col("shingles")).alias("item_fingerprint"))
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
     index = index.select("*", blocks).select("*", F.explode(F.array(*map(F.lit, masks))).alias("mask")).select(
-        "item_id", "n", "item_shingles", "item_fingerprint", "block", _block(F.col("item_fingerprint"), F.col("block")).bitwiseXOR(F.col("mask")).alias("value")
+        "item_id", "n", "item_fingerprint", "block", _block(F.col("item_fingerprint"), F.col("block")).bitwiseXOR(F.col("mask")).alias("value")
     )
-    pairs = (
+    near = (
         windows.select("*", blocks).withColumn("value", _block(F.col("fingerprint"), F.col("block"))).join(index, ["n", "block", "value"])
         .withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint")))).where(F.col("distance") <= RADIUS)
     )
+    # the index has an item's number 296 times, its shingles come once
+    pairs = near.join(items.select("item_id", F.col("shingles").alias("item_shingles")), "item_id")
     shared = F.size(F.array_intersect("window_shingles", "item_shingles"))
     scored = pairs.withColumn("similarity", shared / F.size(F.array_union("window_shingles", "item_shingles"))).where(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("similarity", "start", "distance"), F.struct("similarity", (-F.col("start")).alias("s"))).alias("b")

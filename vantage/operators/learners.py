@@ -157,6 +157,7 @@ def tree_contributions(model, df: DataFrame, vector: str, n_features: int, keep:
     Each split hands the change of the node's expected value to its feature (Saabas). The ensemble's nodes, a few thousand
     numbers, are broadcast; rows are worked on in Arrow batches.
     """
+    import numpy as np
     import pandas as pd
 
     nodes = [_nodes(t) for t in model.trees]
@@ -169,21 +170,21 @@ def tree_contributions(model, df: DataFrame, vector: str, n_features: int, keep:
     def run(batches):
         trees, scale = shared.value
         for batch in batches:
-            x = [v.toArray() if hasattr(v, "toArray") else v for v in batch["_v"]]
-            rows = []
-            for v in x:
-                parts, base = [0.0] * n_features, 0.0
-                for tree, w in zip(trees, scale, strict=True):
-                    i = 0
-                    base += w * tree[0][0]
-                    while tree[i][1] >= 0:
-                        _, feature, threshold, left, left_right = tree[i]
-                        goes_left = v[feature] in threshold if isinstance(threshold, frozenset) else v[feature] <= threshold
-                        j = left if goes_left else left_right
-                        parts[feature] += w * (tree[j][0] - tree[i][0])
-                        i = j
-                rows.append([*parts, base])
-            yield pd.concat([batch[keep].reset_index(drop=True), pd.DataFrame(rows, columns=[*names, "base_value"])], axis=1)
+            x = np.stack(batch["_v"].to_numpy()) if len(batch) else np.zeros((0, n_features))
+            parts = np.zeros((len(x), n_features + 1))
+            for tree, w in zip(trees, scale, strict=True):
+                parts[:, -1] += w * tree[0][0]
+                waiting = [(0, np.arange(len(x)))]  # a node and the rows that reach it
+                while waiting:
+                    i, at = waiting.pop()
+                    value, feature, threshold, left, right = tree[i]
+                    if feature < 0 or not len(at):
+                        continue
+                    goes_left = np.isin(x[at, feature], list(threshold)) if isinstance(threshold, frozenset) else x[at, feature] <= threshold
+                    for j, rows in ((left, at[goes_left]), (right, at[~goes_left])):
+                        parts[rows, feature] += w * (tree[j][0] - value)
+                        waiting.append((j, rows))
+            yield pd.concat([batch[keep].reset_index(drop=True), pd.DataFrame(parts, columns=[*names, "base_value"])], axis=1)
 
     from pyspark.ml.functions import vector_to_array
 

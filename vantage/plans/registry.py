@@ -452,11 +452,14 @@ draws AS (SELECT b, j, CAST(('0x' || substr(md5('42-' || b || '-' || j), 1, 8))
 drawn AS (SELECT d.b, d.j, r.* FROM draws d JOIN numbered r ON r.idx = d.pick)"""
 
 
-@query(O.scored("").rstrip() + DRAWS.format(n=N_BOOT) + f""",
+REPLICATES = f""",
 sampled AS (SELECT b, j, log_gap AS score, has_outcome, outcome_log_change, cell FROM drawn UNION ALL SELECT -1, idx, log_gap, has_outcome, outcome_log_change, cell FROM numbered),
 r AS (SELECT *, CAST(outcome_log_change > 0 AS INT) AS rose, coalesce(avg(CAST(outcome_log_change > 0 AS INT)) OVER (PARTITION BY b, cell), 0) AS rate, avg(CAST(outcome_log_change > 0 AS INT)) OVER (PARTITION BY b) AS base,
     row_number() OVER (PARTITION BY b ORDER BY score DESC NULLS LAST, j) AS place FROM sampled),
-m AS (SELECT b, avg(rose) AS hit_raw, avg(rose) / max(base) AS lift_raw, avg(rose) / avg(rate) AS matched_lift_raw FROM r WHERE has_outcome AND place <= {BOOT_K} GROUP BY b)
+m AS (SELECT b, avg(rose) AS hit_raw, avg(rose) / max(base) AS lift_raw, avg(rose) / avg(rate) AS matched_lift_raw FROM r WHERE has_outcome AND place <= {BOOT_K} GROUP BY b)"""
+
+
+@query(O.scored("").rstrip() + DRAWS.format(n=N_BOOT) + REPLICATES + f"""
 SELECT 'model_raw' AS strategy, {BOOT_K} AS k, {', '.join(f"round(max({m}) FILTER (b = -1), 4) AS {m}, round(quantile_cont({m}, 0.025) FILTER (b >= 0), 4) AS {m}_ci_low, round(quantile_cont({m}, 0.975) FILTER (b >= 0), 4) AS {m}_ci_high" for m in R.MEASURES)} FROM m""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.bootstrap_picks(scored(spark, sf_dir), {"model_raw": BOOT_K}, {"model_raw": "log_gap"}, "entity", N_BOOT)
@@ -477,12 +480,17 @@ def pivot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.pivot_report(rows, "strategy", "k", ["top_decile", "top_100"], "hit_raw").select("strategy", *r4("top_decile", "top_100"))
 
 
-@query()
+@query(O.rated("", evaluated=True).rstrip() + DRAWS.format(n=N_BOOT) + REPLICATES + f""",
+ends AS (SELECT 'model_raw' AS strategy, 'top_{BOOT_K}' AS k, {', '.join(f"quantile_cont({m}, {q}) FILTER (b >= 0) AS {m}_{e}" for m in ("hit_raw", "matched_lift_raw") for e, q in (("low", 0.025), ("high", 0.975)))} FROM m)
+SELECT e.strategy, e.k, round(e.hit_raw, 4) AS hit_raw, round(coalesce(x.hit_raw_low, hit_raw_ci_low), 4) + 0.0 AS ci_low, round(coalesce(x.hit_raw_high, hit_raw_ci_high), 4) AS ci_high,
+    CASE WHEN x.hit_raw_low IS NOT NULL THEN 'bootstrap' ELSE 'wilson' END AS ci_kind, round(lift_raw, 4) AS lift_raw, round(e.matched_lift_raw, 4) AS matched_lift_raw, round(matched_lift_raw_low, 4) AS matched_low,
+    round(matched_lift_raw_high, 4) AS matched_high FROM evaluated e LEFT JOIN ends x ON x.strategy = e.strategy AND x.k = e.k""")
 def headline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir)
     results = B.evaluate(B.universes(rows, [0.0]), STRATEGIES, SIZES, ["floor"], "entity")
-    boot = R.bootstrap_picks(rows, {"model_raw": BOOT_K}, {"model_raw": "log_gap"}, "entity", N_BOOT).withColumn("k", F.lit("top_100"))
-    return B.headline(results, boot, ["strategy", "k"]).select("strategy", "k", "hit_raw", "ci_low", "ci_high", "ci_kind", "lift_raw", "matched_lift_raw", "matched_low", "matched_high")
+    boot = R.bootstrap_picks(rows, {"model_raw": BOOT_K}, {"model_raw": "log_gap"}, "entity", N_BOOT).withColumn("k", F.lit(f"top_{BOOT_K}"))
+    table = B.headline(results, boot, ["strategy", "k"])
+    return table.select("strategy", "k", *r4("hit_raw", "ci_low", "ci_high"), "ci_kind", *r4("lift_raw", "matched_lift_raw", "matched_low", "matched_high"))
 
 
 @query()
@@ -535,7 +543,7 @@ def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def holdout_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid, features = _split(spark, sf_dir)
-    return L.search_params(train, valid, features, [{**p, "maxIter": 10, "maxDepth": min(p["maxDepth"], 4)} for p in L.search_space(2)])
+    return L.search_params(train, valid, features, L.search_space(2))
 
 
 @query()

@@ -207,6 +207,13 @@ def test_contamination(docs, benchmark, most_listed):
     assert decontamination.contaminated_documents(docs.limit(0), benchmark).count() == 0
 
 
+def test_contamination_by_items_that_share_or_lack_an_id(spark, docs):
+    other = words(30)
+    bench = spark.createDataFrame([(1, " ".join(ITEM)), (1, " ".join(other)), (None, " ".join(ITEM)), (None, None)], "item_id long, text string")
+    rows = decontamination.contaminated_documents(docs, bench).collect()
+    assert {(r.doc_id, r.item_id, r.similarity, r.distance) for r in rows} == {(5, 1, 1.0, 0), (5, None, 1.0, 0)} and len(rows) == 2
+
+
 def test_contamination_equals_brute_force(spark):
     """All windows of an item's length against all items, without anchors and fingerprints."""
     items = [words(draw.randint(12, 40)) for _ in range(12)]

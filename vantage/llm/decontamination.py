@@ -58,7 +58,7 @@ def _block(fingerprint: Column, j: Column) -> Column:
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
     items = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("item_words")).where(F.size("item_words") > 0)
-    items = items.withColumn("n", F.size("item_words")).withColumn("shingles", tagged_shingles(F.col("item_words"), k))
+    items = items.withColumn("n", F.size("item_words")).withColumn("shingles", tagged_shingles(F.col("item_words"), k)).withColumn("item_key", F.xxhash64("item_id", "item_words"))
     count = shingle_count(F.col("n"), k)
     need = F.floor(F.round((1 - threshold) * count, 6)).cast("int") + 1
     # places of words, longest first
@@ -86,7 +86,8 @@ def contaminated_documents(
     plan (counted first), more of them by a join on words.
 
     Null and blank texts and items match nothing. An item of fewer than ``k`` words has one shingle. Documents without
-    id are reported with a null id, rows that share an id together. Repeated items are each reported. Empty tables: no
+    id are reported with a null id, rows that share an id together. Items without id are reported with a null id,
+    items that share an id together. Repeated items are each reported. Empty tables: no
     rows. Other columns are ignored.
     """
     items = cut(_items(benchmark, item_id_col, item_text_col, k, threshold))
@@ -121,17 +122,17 @@ def contaminated_documents(
     )
     windows = windows.select("*", simhash(F.col("window_shingles")).alias("fingerprint"))
     masks = [sum(1 << b for b in bits) for r in range(BLOCK_RADIUS + 1) for bits in combinations(range(BLOCK_BITS), r)]
-    index = items.select("item_id", "n", simhash(F.col("shingles")).alias("item_fingerprint"))
+    index = items.select("item_id", "item_key", "n", simhash(F.col("shingles")).alias("item_fingerprint"))
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
     index = index.select("*", blocks).select("*", F.explode(F.array(*map(F.lit, masks))).alias("mask")).select(
-        "item_id", "n", "item_fingerprint", "block", _block(F.col("item_fingerprint"), F.col("block")).bitwiseXOR(F.col("mask")).alias("value")
+        "item_id", "item_key", "n", "item_fingerprint", "block", _block(F.col("item_fingerprint"), F.col("block")).bitwiseXOR(F.col("mask")).alias("value")
     )
     near = (
         windows.select("*", blocks).withColumn("value", _block(F.col("fingerprint"), F.col("block"))).join(index, ["n", "block", "value"])
         .withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint")))).where(F.col("distance") <= RADIUS)
     )
-    # the index has an item's number 296 times, its shingles come once
-    pairs = near.join(items.select("item_id", F.col("shingles").alias("item_shingles")), "item_id")
+    # the index has an item's key 296 times, its shingles come once
+    pairs = near.join(items.select("item_key", F.col("shingles").alias("item_shingles")), "item_key")
     shared = F.size(F.array_intersect("window_shingles", "item_shingles"))
     scored = pairs.withColumn("similarity", shared / F.size(F.array_union("window_shingles", "item_shingles"))).where(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("similarity", "start", "distance"), F.struct("similarity", (-F.col("start")).alias("s"))).alias("b")

@@ -47,14 +47,14 @@ def hot_keys(counts: DataFrame, key: str, n: str, most: int = 1000) -> DataFrame
     return counts.where(F.col(n) * most > F.lit(max(total, 10 * most))).select(key)
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, salts: int = 32) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, salts: int = 32, how: str = "inner") -> DataFrame:
     """``big`` joined with ``small`` (a row a key) on ``key``: rows of the ``hot`` keys, a bounded list, are dealt to ``salts`` tasks each
-    by their other columns."""
+    by their other columns. ``how`` is inner or left."""
     salt = F.pmod(F.xxhash64(*(c for c in big.columns if c != key)), F.lit(salts)).cast("int")
     hot = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
     spread = big.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
     copies = small.join(hot, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return spread.join(copies, [key, "_salt"]).drop("_salt")
+    return spread.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def likely_among(df: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, lm_scoring, near_dedup, quality_rules, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
+from . import decontamination, exact_dedup, filter_audit, language_id, lm_scoring, near_dedup, quality_rules, sentencepiece_codec, sharding, source_audit, substring_dedup, token_counts, toxicity
+from . import oracle
 from .common import read_table
 
 
@@ -51,11 +52,24 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"), min_words=50)
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(read_table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_backoff_score, op2_toxicity_chain, op3_jump_shards, op4_sentencepiece, op5_token_counts,
         op6_bagminhash_classes, op7_language_mixture, op8_divergence_rules, op9_simhash_windows, op10_repeated_passages,
+        op11_source_audit, op12_exact_dedup, op13_filter_audit,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_source_audit": oracle.SOURCE_AUDIT, "op12_exact_dedup": oracle.EXACT_DEDUP, "op13_filter_audit": oracle.FILTER_AUDIT}

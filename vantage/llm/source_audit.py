@@ -34,7 +34,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in groups.items():
             terms = list(n)
-            columns = [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
+            columns = [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
         groups.clear()
 
@@ -106,7 +106,7 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = np.triu_indices(len(table), 1)
             for at in range(0, len(a), CELLS):
                 x, y = a[at : at + CELLS], b[at : at + CELLS]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x)), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(table[x, y])], ["lang", "a", "b", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x), pa.string()), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(table[x, y])], ["lang", "a", "b", "value"])
         sums.clear()
 
     for batch in batches:

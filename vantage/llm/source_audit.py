@@ -2,31 +2,37 @@
 
 Terms are counted inside the tasks that read the texts and summed by language, source and term. A divergence grows with a
 term's share in the source and falls with its share in the language. So a term that k others of the same source beat or equal
-in source count, in language count and in spelling can't be among the k first: each task keeps the k-skyband of its terms,
-skybands are merged, and only what is left is ranked.
+in source count, in language count and in spelling can't be among the k first: each part of the terms keeps the k-skyband of
+each source, skybands are merged, and only what is left is ranked.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 #: Bytes of terms: A-Z as small letters, small letters and all bytes beyond ASCII as they are; all others part terms.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-HELD = 200_000  # terms a task holds before it hands its counts on
+HELD = 500_000  # terms a task holds before it hands its counts on
+PART = 20_000  # terms of a language that are compared at a time
 CELLS = 1 << 20  # numbers a task works on at a time
 SALTS = 32
 SCALE = (100_000, 10_000)  # one billion in two steps, so that products stay exact in 64 bits up to 9e13 counts
 
 
+def _terms(texts: pa.Array, i: int) -> list[bytes]:
+    raw = texts[i].as_buffer()
+    return [] if raw is None else raw.to_pybytes().translate(TERM_BYTES).split()
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs) of the texts so far, whenever ``HELD`` terms are held and at the end."""
     groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -42,8 +48,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lang, source, texts = (batch.column(c) for c in ("lang", "source", "text"))
         for i in range(batch.num_rows):
-            terms = texts[i].as_buffer()
-            terms = b"" if terms is None else terms.to_pybytes().translate(TERM_BYTES).split()
+            terms = _terms(texts, i)
             n, docs = groups.setdefault((lang[i].as_py(), source[i].as_py()), (Counter(), Counter()))
             held -= len(n)
             n.update(terms)
@@ -63,16 +68,15 @@ def term_counts(docs: DataFrame, least_docs: int) -> DataFrame:
     return by_lang.where(F.col("docs") >= least_docs).drop("docs")
 
 
-def scaled_share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(1,000,000,000 (n + 2) / (total + 2 terms)), exactly."""
+def scaled_share(n: np.ndarray, total, terms) -> np.ndarray:
+    """1 + floor(1,000,000,000 (n + 2) / (total + 2 terms)), exactly, of 64-bit numbers."""
     d, (first, then) = total + 2 * terms, SCALE
-    a = (n + 2) * F.lit(first)
-    div = lambda x, y: F.call_function("div", x, y)
-    return 1 + div(a, d) * F.lit(then) + div((a % d) * F.lit(then), d)
+    a = (n + 2) * first
+    return 1 + a // d * then + a % d * then // d
 
 
-def divergence(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), p + q)
+def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) ** 2 // (p + q)
 
 
 def source_totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -84,49 +88,6 @@ def source_totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return sources.join(langs, "lang", "left").select("lang", F.coalesce("n_terms", F.lit(0)).alias("n_terms"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"), "sources")
 
 
-def with_shares(terms: DataFrame, totals: DataFrame) -> DataFrame:
-    """(lang, term, lang_n, q, shares): q of the language, shares (source, n, p) of all its sources in their order.
-
-    A language may hold most terms, so its row of ``totals`` goes to ``SALTS`` tasks.
-    """
-    salted = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = terms.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "_salt"])
-    joined = joined.withColumn("_of", F.map_from_entries("counts"))
-    share = lambda s: F.struct(s["source"].alias("source"), F.coalesce(F.try_element_at("_of", s["source"]), F.lit(0)).alias("n"), s["total"].alias("total"))
-    found = F.transform(F.transform("sources", share), lambda s: F.struct(s["source"].alias("source"), s["n"].alias("n"), scaled_share(s["n"], s["total"], F.col("n_terms")).alias("p")))
-    return joined.select("lang", "term", "lang_n", scaled_share(F.col("lang_n"), F.col("lang_total"), F.col("n_terms")).alias("q"), found.alias("shares"))
-
-
-def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, a, b, value): divergences of sources a < b summed over the task's terms, by number of source. Handed on when ``CELLS`` are held."""
-    sums: dict[str, np.ndarray] = {}
-
-    def told() -> Iterator[pa.RecordBatch]:
-        for lang, table in sums.items():
-            a, b = np.triu_indices(len(table), 1)
-            for at in range(0, len(a), CELLS):
-                x, y = a[at : at + CELLS], b[at : at + CELLS]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x), pa.string()), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(table[x, y])], ["lang", "a", "b", "value"])
-        sums.clear()
-
-    for batch in batches:
-        langs = batch.column("lang").to_numpy(zero_copy_only=False)
-        for lang in dict.fromkeys(langs):
-            rows = pc.filter(batch.column("shares"), pa.array(langs == lang))
-            width = len(rows[0])
-            p = rows.flatten().to_numpy().reshape(-1, width)
-            if lang not in sums and sum(t.size for t in sums.values()) + width * width > CELLS:
-                yield from told()
-            table = sums.setdefault(lang, np.zeros((width, width), np.int64))
-            step = max(1, CELLS // width)
-            for at in range(0, len(p), step):
-                part = p[at : at + step]
-                for a in range(width - 1):
-                    own, others = part[:, a : a + 1], part[:, a + 1 :]
-                    table[a, a + 1 :] += ((own - others) ** 2 // (own + others)).sum(axis=0)
-    yield from told()
-
-
 def skyband(order: np.ndarray, counts: np.ndarray, wholes: np.ndarray, k: int, step: int = 512) -> np.ndarray:
     """Positions of the terms that fewer than ``k`` others dominate: a count no lower, a whole no higher, an earlier place in ``order``.
 
@@ -145,45 +106,90 @@ def skyband(order: np.ndarray, counts: np.ndarray, wholes: np.ndarray, k: int, s
     return band
 
 
-def _skybands(k: int):
-    """What ``mapInArrow`` runs: the k-skyband of each language and source among the task's rows (lang, source, term, n, lang_n, value)."""
+def _band(rows: pa.Table, k: int) -> pa.Table:
+    spelled = pc.rank(rows["term"].combine_chunks().cast(pa.binary())).to_numpy()
+    return rows.take(skyband(spelled, rows["n"].to_numpy(), rows["lang_n"].to_numpy(), k))
+
+
+def _compared(k: int) -> Callable:
+    """What ``applyInArrow`` runs on a part of a language's terms and the language's row of totals: sums of divergences of the sources
+    a < b (by number, as rows without term) and each source's k-skyband of the terms that it has oftener than its language."""
+
+    def run(terms: pa.Table, totals: pa.Table) -> pa.Table:
+        lang, n_terms, lang_total, sources = (totals[c][0].as_py() for c in ("lang", "n_terms", "lang_total", "sources"))
+        names, width = [s["source"] for s in sources], len(sources)
+        total = np.array([s["total"] for s in sources], np.int64)
+        sums, bands = np.zeros((width, width), np.int64), []
+        step = max(1, CELLS // width)
+        for at in range(0, terms.num_rows, step):
+            part = terms.slice(at, step).combine_chunks()
+            counts = part["counts"].combine_chunks()
+            n = np.zeros((part.num_rows, width), np.int64)
+            flat = counts.flatten()
+            n[pc.list_parent_indices(counts).to_numpy(), pc.index_in(flat.field("source"), pa.array(names, pa.string())).to_numpy()] = flat.field("n").to_numpy()
+            p, lang_n = scaled_share(n, total, n_terms), part["lang_n"].to_numpy()
+            q = scaled_share(lang_n, lang_total, n_terms)
+            for a in range(width):
+                sums[a, a + 1 :] += divergence(p[:, a : a + 1], p[:, a + 1 :]).sum(axis=0)
+                often = np.flatnonzero((n[:, a] > 0) & (p[:, a] > q))
+                if len(often):
+                    columns = {"term": part["term"].take(often), "n": n[often, a], "lang_n": lang_n[often], "value": divergence(p[often, a], q[often])}
+                    bands.append((a, _band(pa.table(columns), k)))
+        a, b = np.triu_indices(width, 1)
+        pairs = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "term": pa.nulls(len(a), pa.string()), "n": pa.nulls(len(a), pa.int64()), "lang_n": pa.nulls(len(a), pa.int64()), "value": sums[a, b]})
+        found = [pairs] + [pa.table({"a": pa.array([a] * len(t), pa.int32()), "b": pa.nulls(len(t), pa.int32()), "term": t["term"], "n": t["n"], "lang_n": t["lang_n"], "value": t["value"]}) for a, t in bands]
+        rows = pa.concat_tables(found)
+        return rows.add_column(0, "lang", pa.array([lang] * len(rows), pa.string()))
+
+    return run
+
+
+def compared(terms: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """(lang, a, b, term, n, lang_n, value) of every part of ``PART`` terms or so of a language: see ``_compared``."""
+    most = totals.agg(F.max("n_terms")).first()[0] or 0
+    parts = -(-most // PART)
+    dealt = terms.withColumn("_part", F.pmod(F.xxhash64("term"), F.lit(max(parts, 1))).cast("int"))
+    each = totals.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1))))
+    held = dealt.select("lang", "_part").distinct()  # a row a part: languages without terms have none
+    each = each.join(held, ["lang", "_part"])
+    schema = "lang string, a int, b int, term string, n bigint, lang_n bigint, value bigint"
+    run = _compared(k)
+    return dealt.groupBy("lang", "_part").cogroup(each.groupBy("lang", "_part")).applyInArrow(lambda left, right: run(left, right), schema)
+
+
+def _merged(k: int) -> Callable:
+    """What ``mapInArrow`` runs: the k-skyband of each language and source among the task's rows (lang, a, term, n, lang_n, value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], pa.Table] = {}
+        held: dict[tuple[str, int], pa.Table] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
             table = pa.Table.from_batches([batch])
-            keys = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
-            places: dict[tuple[str, str], list[int]] = {}
-            for i, key in enumerate(keys):
+            places: dict[tuple[str, int], list[int]] = {}
+            for i, key in enumerate(zip(batch.column("lang").to_pylist(), batch.column("a").to_pylist(), strict=True)):
                 places.setdefault(key, []).append(i)
             for key, at in places.items():
                 rows = table.take(at)
-                rows = pa.concat_tables([held[key], rows]) if key in held else rows
-                spelled = pc.rank(rows["term"].combine_chunks().cast(pa.binary())).to_numpy()
-                held[key] = rows.take(skyband(spelled, rows["n"].to_numpy(), rows["lang_n"].to_numpy(), k))
+                held[key] = _band(pa.concat_tables([held[key], rows]) if key in held else rows, k)
         for rows in held.values():
             yield from rows.combine_chunks().to_batches()
 
     return run
 
 
-def telling_terms(shares: DataFrame, k: int) -> DataFrame:
+def telling_terms(found: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     """(lang, source, item, value, rank): each source's ``k`` terms of the largest divergence, of those it has oftener than its language."""
-    often = shares.select("lang", "term", "lang_n", "q", F.inline("shares")).where("n > 0 and p > q")
-    rows = often.select("lang", "source", "term", "n", "lang_n", divergence(F.col("p"), F.col("q")).alias("value"))
-    schema = "lang string, source string, term string, n bigint, lang_n bigint, value bigint"
-    local = rows.mapInArrow(_skybands(k), schema)
-    salted = local.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(SALTS))).repartition("lang", "source", "_salt").drop("_salt").mapInArrow(_skybands(k), schema)
-    merged = salted.repartition("lang", "source").mapInArrow(_skybands(k), schema)
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "term")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("lang", "source", F.col("term").alias("item"), "value", "rank")
+    local = found.where("term is not null").select("lang", "a", "term", "n", "lang_n", "value")
+    salted = local.repartition("lang", "a", F.pmod(F.xxhash64("term"), F.lit(SALTS))).mapInArrow(_merged(k), local.schema)
+    merged = salted.repartition("lang", "a").mapInArrow(_merged(k), local.schema)
+    order = Window.partitionBy("lang", "a").orderBy(F.desc("value"), "term")
+    best = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    named = totals.select("lang", F.posexplode("sources").alias("a", "s")).select("lang", "a", F.col("s.source").alias("source"))
+    return best.join(named, ["lang", "a"]).select("lang", "source", F.col("term").alias("item"), "value", "rank")
 
 
-def source_distances(shares: DataFrame, totals: DataFrame) -> DataFrame:
+def source_distances(found: DataFrame, totals: DataFrame) -> DataFrame:
     """(lang, source, item, value, rank): each source against each other of its language, the farthest first."""
-    sums = shares.select("lang", F.col("shares.p").alias("shares")).mapInArrow(_pair_sums, "lang string, a int, b int, value bigint").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    sums = found.where("term is null").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     named = totals.select("lang", "sources", F.posexplode("sources").alias("i", "s")).select("lang", "i", F.col("s.source").alias("source"), F.posexplode("sources").alias("j", "other"))
     pairs = named.where("i != j").select("lang", "source", F.col("other.source").alias("item"), F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
     valued = pairs.join(sums, ["lang", "a", "b"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
@@ -202,13 +208,13 @@ def audit_sources(docs: DataFrame, lang_col: str = "lang", source_col: str = "so
     and no terms; a language without kept terms has distances of 0; one with a single source has no pairs. Repeated rows
     count each; ids aren't looked at. Empty table: no rows. Other columns are ignored, whatever their names.
 
-    Texts are read once; shuffled are counts by task, language, source and term. Distances have a row a pair of sources, as asked,
-    and take a step a term and pair.
+    Texts are read once. Shuffled are counts by task, language, source and term. Distances have a row a pair of sources, as asked, and take a step
+    a term and pair.
     """
     blank = lambda c, n: F.coalesce(F.col(c), F.lit("")).alias(n)
     docs = docs.select(blank(lang_col, "lang"), blank(source_col, "source"), blank(text_col, "text"))
     terms = written(term_counts(docs, least_docs))
     totals = written(source_totals(docs, terms))
-    shares = with_shares(terms, totals)
+    found = written(compared(terms, totals, top))
     part = lambda df, name: df.select("lang", "source", F.lit(name).alias("part"), "item", "value", "rank")
-    return part(source_distances(shares, totals), "pair").unionByName(part(telling_terms(shares, top), "term"))
+    return part(source_distances(found, totals), "pair").unionByName(part(telling_terms(found, totals, top), "term"))

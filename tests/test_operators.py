@@ -96,12 +96,12 @@ def test_missingness_and_ranks(ten):
     m = backtest.missingness(ten, ["model_raw"], ["season"], "player_id", 4).first()
     assert (m.missing_flagged, m.missing_others) == (0.25, pytest.approx(1 / 6))
     assert m.p_value == pytest.approx(math.erfc(abs(m.z) / math.sqrt(2)), abs=1e-6)
-    r = backtest.rank_correlation(ten, ["model_raw"], ["outcome_log_change"], ["season"]).first()
+    r = backtest.rank_correlation(ten, ["model_raw"], ["outcome_log_change"], ["season"], "player_id").first()
     assert r.n == 7 and r.ci_low < r.ic < r.ci_high
 
 
 def test_bootstrap_point_equals_evaluation(ten):
-    b = resample.bootstrap_picks(ten, {"model_raw": 4}, {"model_raw": "s_model_raw"}, "player_id", n_boot=30).first()
+    b = resample.bootstrap_picks(ten, [("model_raw", "top_4", 4)], "player_id", n_boot=30).first()
     e = backtest.evaluate(ten, ["model_raw"], {"k": 4}, ["season"], "player_id").first()
     assert (b.hit_raw, b.matched_lift_raw) == (pytest.approx(e.hit_raw), pytest.approx(e.matched_lift_raw)) and b.hit_raw_ci_low <= b.hit_raw <= b.hit_raw_ci_high
     d = resample.bootstrap_rmse_difference(ten.withColumns({"y": F.lit(0.0), "p": F.lit(1.0), "q": F.lit(3.0)}), "y", "p", "q", "player_id", 10).first()
@@ -166,10 +166,9 @@ def test_models_and_tree_contributions(spark):
     model, scored, _ = learners.fit_and_score("linear", df, df, ["m", "c"])
     assert learners.metrics_of(scored).first().rmse < 0.2
     boosted, scored, _ = learners.fit_and_score("boosted", df, df, ["m", "c"], {"maxIter": 5})
-    tree = boosted.stages[-1]
-    parts = learners.tree_contributions(tree, scored.select("player_id", "features", "y_hat"), "features", tree.numFeatures, ["player_id", "y_hat"]).collect()
-    for r in parts:
-        assert sum(r[f"c{i}"] for i in range(tree.numFeatures)) + r.base_value == pytest.approx(r.y_hat, abs=1e-8)
+    assert scored.columns == [*df.columns, "y_hat"]
+    for r in learners.explain_trees(boosted, df, ["m", "c"], ["player_id"]).collect():
+        assert r.shap_m + r.shap_c + r.base_value == pytest.approx(r.y_hat, abs=1e-8)
     with pytest.raises(ValueError):
         learners.build("other", ["m"], [])
 

@@ -33,20 +33,24 @@ PANEL_CHECKS = (
 )
 
 
-def validate_panel(panel: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(rule, n_bad) of all panel rules. Missing columns are found from the schema and reported alone."""
-    keys = keys or ["player_id", "season"]
+def validate_panel(
+    panel: DataFrame, keys: list[str] | None = None, features: Iterable[str] | None = None, required: Iterable[str] = C.REQUIRED, ranges: dict[str, tuple] | None = None,
+    checks: Iterable[str] = PANEL_CHECKS,
+) -> DataFrame:
+    """(rule, n_bad) of all panel rules. Missing columns are found from the schema and reported alone. ``checks`` are inequalities of dates that must hold."""
+    keys, features, required = keys or ["player_id", "season"], list(features or C.feature_columns("ceiling")), list(required)
     spark = panel.sparkSession
-    missing = [c for c in dict.fromkeys([*C.feature_columns("ceiling"), *C.REQUIRED]) if c not in panel.columns]
+    missing = [c for c in dict.fromkeys([*features, *required]) if c not in panel.columns]
     if missing:
         return spark.createDataFrame([(f"missing column {c}", 1) for c in missing], "rule string, n_bad bigint")
-    numeric = [c for c in C.feature_columns("ceiling") if c not in C.CATEGORICAL]
-    rules = {f"{c} is null": F.col(c).isNull() for c in C.REQUIRED} | range_rules(C.RANGES)
+    kinds = dict(panel.dtypes)
+    numeric = [c for c in features if kinds[c] != "string"]
+    rules = {f"{c} is null": F.col(c).isNull() for c in required} | range_rules(C.RANGES if ranges is None else ranges)
     rules["minutes exceed 130 per appearance"] = F.col("minutes") > F.col("apps") * C.MAX_MINUTES_PER_GAME
     rules["infinite feature value"] = reduce(lambda a, b: a | b, (F.coalesce(F.abs(F.col(c).cast("double")) == float("inf"), F.lit(False)) for c in numeric))
     expected = F.ln("target_value") - F.col("market_index")
     rules["y != ln(target_value) - market_index"] = F.abs(F.col("y") - expected) > 1e-8 + 1e-5 * F.abs(expected)
-    rules |= point_in_time_rules({name: F.expr(name) for name in PANEL_CHECKS})
+    rules |= point_in_time_rules({name: F.expr(name) for name in checks})
     rules["target outside the season-end window"] = F.abs(F.datediff("target_date", "end_date")) > C.TARGET_WINDOW_DAYS
     repeated = panel.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_bad")).select(F.lit("repeated key").alias("rule"), "n_bad")
     empty = panel.limit(1).agg((F.count(F.lit(1)) == 0).cast("bigint").alias("n_bad")).select(F.lit("panel is empty").alias("rule"), "n_bad")

@@ -7,12 +7,17 @@ within a universe (a season, or a season above a floor) and a strategy.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as K
 from ..functions import config as C
+from ..sources.relations import stored
+from .ordered import average_ranks
+from .resample import bootstrap_picks
+from .select import medians, top_k
 
 
 def universes(df: DataFrame, floors: list[float], value: str = "target_value") -> DataFrame:
@@ -23,46 +28,51 @@ def universes(df: DataFrame, floors: list[float], value: str = "target_value") -
 def picks(df: DataFrame, names: list[str], sizes: dict[str, int | None], by: list[str], key: str) -> DataFrame:
     """Long table: a row for each row, strategy and size, with ``flagged``. None as a size is the top decile; ``all`` flags every row.
 
-    Rows without a score are never flagged; equal scores are taken in the order of ``key``.
+    Rows without a score are never flagged; equal scores are taken in the order of ``key``. No universe is sorted in one
+    task: the score at a size's place is found by counting, and only rows that tie with it are put in order.
     """
-    scores = F.inline(F.array(*(F.struct(F.lit(n).alias("strategy"), F.col(f"s_{n}").cast("double").alias("score")) for n in names)))
-    counted = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))  # before the rows are multiplied
-    long = counted.select("*", scores)
-    ranked = long.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "strategy").orderBy(F.col("score").desc_nulls_last(), key)))
-    options = F.array(*(F.struct(F.lit(label).alias("k"), (F.lit(size) if size is not None else F.ceil(F.col("_n") / 10)).cast("int").alias("size")) for label, size in sizes.items()))
-    every = F.array(F.struct(F.lit("all").alias("k"), F.lit(None).cast("int").alias("size")))
-    ranked = ranked.select("*", F.inline(F.when(F.col("strategy") == "all", every).otherwise(options)))
-    return ranked.withColumn("flagged", (F.col("strategy") == "all") | (F.col("score").isNotNull() & (F.col("_rank") <= F.col("size"))))
+    scores = lambda some: F.inline(F.array(*(F.struct(F.lit(n).alias("strategy"), F.col(f"s_{n}").cast("double").alias("score")) for n in some)))
+    ranked, out = [n for n in names if n != "all"], []
+    if ranked:
+        size_of = lambda size: (F.ceil(F.col("_n") / 10) if size is None else F.lit(size)).cast("bigint").alias("size")
+        options = F.inline(F.array(*(F.struct(F.lit(k).alias("k"), size_of(size)) for k, size in sizes.items())))
+        counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.array(*map(F.lit, ranked)).alias("_ranked"))
+        wanted = counts.select(*by, "_n", F.explode("_ranked").alias("strategy")).select(*by, "strategy", options)
+        out.append(top_k(df.select("*", scores(ranked)), [*by, "strategy"], "score", key, wanted).withColumnRenamed("chosen", "flagged"))
+    if "all" in names:
+        out.append(df.select("*", scores(["all"]), F.lit("all").alias("k"), F.lit(None).cast("bigint").alias("size"), F.lit(True).alias("flagged")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def cell_rates(df: DataFrame, by: list[str]) -> DataFrame:
     """Each row with the rates of its cell and of its universe: over rows with an outcome, and over all with a missing one as a failure."""
-    cell, whole = Window.partitionBy(*by, "cell"), Window.partitionBy(*by)
     rose = F.coalesce((F.col("outcome_log_change") > 0).cast("double"), F.lit(0.0))
-    known = lambda c: F.when(F.col("has_outcome"), F.col(c))
-    return df.withColumns({
-        "cell_hit_raw": F.avg(known("hit_raw")).over(cell), "cell_hit_rel": F.avg(known("hit_rel")).over(cell), "cell_change_raw": F.avg(known("outcome_log_change")).over(cell),
-        "cell_change_rel": F.avg(known("outcome_rel_change")).over(cell), "cell_rose": F.avg(rose).over(cell), "base_hit_raw": F.avg(known("hit_raw")).over(whole),
-        "base_hit_rel": F.avg(known("hit_rel")).over(whole), "base_rose": F.avg(rose).over(whole),
-    })
+    known = lambda c: F.avg(F.when(F.col("has_outcome"), F.col(c)))
+    cells = df.groupBy(*by, "cell").agg(
+        known("hit_raw").alias("cell_hit_raw"), known("hit_rel").alias("cell_hit_rel"), known("outcome_log_change").alias("cell_change_raw"),
+        known("outcome_rel_change").alias("cell_change_rel"), F.avg(rose).alias("cell_rose"),
+    )
+    whole = df.groupBy(*by).agg(known("hit_raw").alias("base_hit_raw"), known("hit_rel").alias("base_hit_rel"), F.avg(rose).alias("base_rose"))
+    return df.join(cells, [*by, "cell"]).join(whole, by)
 
 
 def evaluate(df: DataFrame, names: list[str], sizes: dict[str, int | None], by: list[str], key: str) -> DataFrame:
-    """22 measures for each universe, strategy and size, from one grouped pass over the flagged rows."""
-    rows = picks(cell_rates(df, by), names, sizes, by, key).where("flagged")
+    """22 measures for each universe, strategy and size, from one grouped pass over the flagged rows and exact medians by counting."""
+    keys = [*by, "strategy", "k"]
+    rows = stored(picks(cell_rates(df, by), names, sizes, by, key).where("flagged"))
     has = F.col("has_outcome")
     mean = lambda c: F.avg(F.when(has, F.col(c)))
-    middle = lambda c: F.percentile(F.when(has, F.col(c)), F.lit(0.5))
     hits, n = F.coalesce(F.sum(F.when(has, F.col("hit_raw"))), F.lit(0)), F.count_if(has)
     low, high = K.wilson(F.col("_hits"), F.col("n_with_outcome"))
-    one = rows.groupBy(*by, "strategy", "k").agg(
+    one = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_flagged"), n.alias("n_with_outcome"), hits.alias("_hits"), mean("hit_raw").alias("hit_raw"), mean("hit_rel").alias("hit_rel"),
-        mean("outcome_log_change").alias("mean_log_change"), middle("outcome_log_change").alias("median_log_change"), mean("outcome_rel_change").alias("mean_rel_change"),
-        middle("outcome_rel_change").alias("median_rel_change"), F.first("base_hit_raw").alias("_base_raw"), F.first("base_hit_rel").alias("_base_rel"),
+        mean("outcome_log_change").alias("mean_log_change"), mean("outcome_rel_change").alias("mean_rel_change"),
+        F.first("base_hit_raw").alias("_base_raw"), F.first("base_hit_rel").alias("_base_rel"),
         F.first("base_rose").alias("_base_rose"), mean("cell_hit_raw").alias("matched_expected_hit_raw"), mean("cell_hit_rel").alias("matched_expected_hit_rel"),
         F.avg(F.when(has, F.col("outcome_log_change") - F.col("cell_change_raw"))).alias("matched_excess_log_change"),
         F.avg(F.when(has, F.col("outcome_rel_change") - F.col("cell_change_rel"))).alias("matched_excess_rel_change"), F.avg("cell_rose").alias("_cell_rose"),
     )
+    one = one.join(medians(rows.where(has), keys, {"median_log_change": F.col("outcome_log_change"), "median_rel_change": F.col("outcome_rel_change")}), keys, "left")
     as_fail = F.col("_hits") / F.col("n_flagged")
     return one.select(
         *by, "strategy", "k", "n_flagged", "n_with_outcome", (1 - F.col("n_with_outcome") / F.col("n_flagged")).alias("missing_rate"), "hit_raw",
@@ -97,19 +107,17 @@ def missingness(df: DataFrame, names: list[str], by: list[str], key: str, size:
     return t.select(*by, "strategy", "missing_flagged", "missing_others", difference.alias("difference"), z.alias("z"), normal_tail(z).alias("p_value"))
 
 
-def average_rank(x: Column, *by: str) -> Column:
-    """Rank from 1, equal values sharing the mean of their places."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
-
+def rank_correlation(df: DataFrame, names: list[str], outcomes: list[str], by: list[str], key: str) -> DataFrame:
+    """Spearman's correlation of score and outcome over rows that have both, with Fisher's 95 % interval.
 
-def rank_correlation(df: DataFrame, names: list[str], outcomes: list[str], by: list[str]) -> DataFrame:
-    """Spearman's correlation of score and outcome over rows that have both, with Fisher's 95 % interval."""
+    Ranks come from rows dealt by ranges of their values, so a season lies in many tasks; ``key`` deals equal values.
+    """
     pairs = F.inline(F.array(*(
         F.struct(F.lit(n).alias("strategy"), F.lit(o).alias("outcome"), F.col(f"s_{n}").cast("double").alias("_s"), F.col(o).cast("double").alias("_o")) for n in names for o in outcomes
     )))
     keys = [*by, "strategy", "outcome"]
-    rows = df.where("has_outcome").select(*by, pairs).where("_s is not null and _o is not null")
-    ranks = rows.select(*keys, average_rank(F.col("_s"), *keys).alias("_rs"), average_rank(F.col("_o"), *keys).alias("_ro"))
+    rows = df.where("has_outcome").select(*by, F.col(key).alias("_key"), pairs).where("_s is not null and _o is not null")
+    ranks = average_ranks(average_ranks(rows, keys, "_s", "_key", "_rs"), keys, "_o", "_key", "_ro")
     t = ranks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rs", "_ro").alias("ic"))
     half = 1.96 / F.sqrt(F.nullif((F.col("n") - 3).cast("double"), F.lit(0.0)))
     return t.select(*keys, "n", "ic", F.tanh(F.atanh("ic") - half).alias("ci_low"), F.tanh(F.atanh("ic") + half).alias("ci_high"))
@@ -127,6 +135,13 @@ def headline(results: DataFrame, bootstrap: DataFrame, on: list[str]) -> DataFra
     }).drop("_lo", "_hi")
 
 
+def headline_bootstrap(df: DataFrame, rows: list[tuple[str, str]], sizes: dict[str, int | None], key: str, n_boot: int = 2000) -> DataFrame:
+    """Bootstrap intervals of the (strategy, size) rows of a report, in one job. The top decile is of the season's rows."""
+    n = df.count()
+    size = {k: math.ceil(n / 10) if v is None else v for k, v in sizes.items()}
+    return bootstrap_picks(df, [(s, k, size[k]) for s, k in rows], key, n_boot)
+
+
 def keep_feature(gain: Column, ci_low: Column, ci_high: Column) -> Column:
     """Keep what lowers the error by 0.010 or more, if the interval of the difference (with minus without) leaves out 0."""
     return (-gain >= C.KEEP_GAIN) & ((ci_low > 0) | (ci_high < 0))

@@ -58,6 +58,11 @@ def importance(long: DataFrame) -> DataFrame:
     return t.withColumn("share", F.col("mean_abs_shap") / F.sum("mean_abs_shap").over(Window.partitionBy(F.lit(0)))).withColumn("label", K.feature_label(F.col("feature")))  # a row a feature
 
 
+def most_important(long: DataFrame, top: int = 20) -> DataFrame:
+    """The ``top`` features of ``importance``, the largest first, ties by name."""
+    return importance(long).orderBy(F.desc("mean_abs_shap"), "feature").limit(top)
+
+
 def drivers(long: DataFrame, keys: list[str], context=C.CONTEXT) -> DataFrame:
     """Does context or performance carry a row's positive contributions? One side counts if it is at least twice the other."""
     up = F.greatest("shap", F.lit(0.0))

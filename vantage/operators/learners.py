@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import time
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import config as C
-from .scoring import error_metrics
+from ..sources.relations import stored
+from .ordered import positions
+from .scoring import error_table
+from .stages import LevelFreezer, Prepared
+from .trees import feature_of, named_gain, tree_contributions
 
 SEED = 42
-OTHER, MISSING = "other", "missing"
 
 
 def split_columns(df: DataFrame, features: list[str]) -> tuple[list[str], list[str]]:
@@ -23,20 +28,9 @@ def split_columns(df: DataFrame, features: list[str]) -> tuple[list[str], list[s
     return [f for f in features if kinds[f] != "string"], [f for f in features if kinds[f] == "string"]
 
 
-def frequent_levels(df: DataFrame, column: str, least: int = C.MIN_LEVEL_COUNT) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).groupBy(column).count().where(F.col("count") >= least).select(column)
-
-
 def freeze_levels(train: DataFrame, df: DataFrame, columns: list[str], least: int = C.MIN_LEVEL_COUNT) -> DataFrame:
-    """Levels that training has often stay; rare and unseen ones become ``other`` if training had rare ones, else null; null stays null."""
-    for c in columns:
-        counts = train.where(F.col(c).isNotNull()).groupBy(c).count()
-        rare = counts.agg(F.coalesce(F.max(F.col("count") < least), F.lit(False)).alias("_rare"))
-        levels = counts.where(F.col("count") >= least).select(F.col(c).alias("_level"))
-        joined = df.join(levels, df[c] == F.col("_level"), "left").crossJoin(F.broadcast(rare))  # one row
-        pooled = F.when(F.col("_level").isNotNull(), F.col(c)).when(F.col(c).isNotNull() & F.col("_rare"), OTHER)
-        df = joined.withColumn(c, pooled).drop("_level", "_rare")
-    return df
+    """``df`` with the levels that ``train`` has often; see ``FrozenLevels``."""
+    return LevelFreezer(inputCols=columns, least=least).fit(train).transform(df)
 
 
 def mean_baseline(train: DataFrame, df: DataFrame, y: str = "y") -> DataFrame:
@@ -47,21 +41,26 @@ def last_value_baseline(train: DataFrame, df: DataFrame, y: str = "y", last: str
     return df.crossJoin(F.broadcast(train.agg(F.avg(y).alias("_mean")))).withColumn("y_hat", F.coalesce(last, "_mean")).drop("_mean")  # one row
 
 
-def prepared(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """Doubles with a flag for each missing number, and a level for missing categories."""
-    flags = {f"{c}_missing": F.col(c).isNull().cast("double") for c in numeric}
-    return df.withColumns(flags | {c: F.col(c).cast("double") for c in numeric} | {c: F.coalesce(c, F.lit(MISSING)) for c in categorical})
+def preparation(numeric: list[str], categorical: list[str]) -> tuple[list, list[str], list[str]]:
+    """Stages from raw rows to numbers: frozen levels, missing flags, medians, level numbers; the columns of numbers and of level numbers."""
+    filled, coded = [f"{c}_filled" for c in numeric], [f"{c}_index" for c in categorical]
+    stages: list = [LevelFreezer(inputCols=categorical)] if categorical else []
+    stages.append(Prepared(numeric=numeric, categorical=categorical))
+    if numeric:
+        stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=filled))
+    if categorical:
+        stages.append(StringIndexer(inputCols=categorical, outputCols=coded, handleInvalid="keep"))
+    return stages, filled + [f"{c}_missing" for c in numeric], coded
 
 
 def build(name: str, numeric: list[str], categorical: list[str], params: dict | None = None, y: str = "y", ridge: float = 1.0, rows: int = 1000) -> Pipeline:
-    """A pipeline for ``linear``, ``forest`` or ``boosted``. ``params`` go to the boosted trees only; ``rows`` scales the ridge penalty."""
+    """A pipeline from raw rows to y_hat for ``linear``, ``forest`` or ``boosted``. ``params`` go to the trees; ``rows`` scales the ridge penalty.
+
+    Fitted, it can be saved, and a loaded one predicts raw rows: levels, medians and flags are stages of it.
+    """
     if name not in ("linear", "forest", "boosted"):
         raise ValueError(f"no model is called {name!r}")
-    filled, coded = [f"{c}_filled" for c in numeric], [f"{c}_index" for c in categorical]
-    stages = [Imputer(strategy="median", inputCols=numeric, outputCols=filled)] if numeric else []
-    if categorical:
-        stages.append(StringIndexer(inputCols=categorical, outputCols=coded, handleInvalid="keep"))
-    inputs = filled + [f"{c}_missing" for c in numeric]
+    stages, inputs, coded = preparation(numeric, categorical)
     if name == "linear":
         if coded:
             stages.append(OneHotEncoder(inputCols=coded, outputCols=[f"{c}_hot" for c in categorical], handleInvalid="keep"))
@@ -75,26 +74,46 @@ def build(name: str, numeric: list[str], categorical: list[str], params: dict |
     if name == "forest":
         stages.append(RandomForestRegressor(numTrees=(params or {}).get("numTrees", 400), minInstancesPerNode=3, featureSubsetStrategy="0.33", maxDepth=10, **common))
     else:
-        stages.append(GBTRegressor(**common | {"maxIter": 60, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.8} | (params or {})))
+        stages.append(boosted(y, **(params or {})))
     return Pipeline(stages=stages)
 
 
+def boosted(y: str = "y", **params) -> GBTRegressor:
+    return GBTRegressor(**{"labelCol": y, "predictionCol": "y_hat", "seed": SEED, "maxBins": 128, "maxIter": 60, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.8} | params)
+
+
 def fit_and_score(name: str, train: DataFrame, valid: DataFrame, features: list[str], params: dict | None = None, y: str = "y") -> tuple[PipelineModel | None, DataFrame, float]:
-    """Fitted model, scored rows, seconds. Categories are frozen on ``train``."""
+    """Fitted model, scored rows, seconds. Levels, medians and level numbers are those of ``train``."""
     began = time.time()
     if name == "mean":
         return None, mean_baseline(train, valid, y), time.time() - began
     if name == "last_value":
         return None, last_value_baseline(train, valid, y), time.time() - began
-    numeric, categorical = split_columns(train, features)
-    frozen = prepared(freeze_levels(train, train, categorical), numeric, categorical).persist()
-    model = build(name, numeric, categorical, params, y, rows=max(frozen.count(), 1)).fit(frozen)
-    frozen.unpersist()
-    return model, model.transform(prepared(freeze_levels(train, valid, categorical), numeric, categorical)), time.time() - began
+    rows = train.persist()
+    model = build(name, *split_columns(train, features), params, y, rows=max(rows.count(), 1)).fit(rows)
+    rows.unpersist()
+    return model, predict(model, valid), time.time() - began
+
+
+def predict(model: PipelineModel, df: DataFrame, name: str = "y_hat") -> DataFrame:
+    """``df`` as it came, with the prediction: what the stages make of its columns stays inside."""
+    own = df.withColumn("_raw", F.struct(*df.columns)).drop("y_hat", "features", "raw")  # names that stages give
+    return model.transform(own).select("_raw.*", F.col("y_hat").alias(name))
+
+
+def explain_trees(model: PipelineModel, df: DataFrame, features: list[str], keep: list[str], prefix: str = "shap_") -> DataFrame:
+    """``keep``, y_hat, shap_<feature> and base_value: exact contributions of the pipeline's trees, added up over a feature's columns."""
+    ready, at, places = model.transform(df), 0, {f: [] for f in features}
+    for column, width in vector_widths(model, df).items():
+        places[feature_of(column)] += range(at, at + width)
+        at += width
+    parts = tree_contributions(model.stages[-1], ready.select(*keep, "y_hat", "features"), "features", at, [*keep, "y_hat"])
+    added = [reduce(lambda a, b: a + b, (F.col(f"c{i}") for i in own), F.lit(0.0)).alias(f"{prefix}{f}") for f, own in places.items()]
+    return parts.select(*keep, "y_hat", *added, "base_value")
 
 
 def metrics_of(scored: DataFrame, y: str = "y", index: str = "market_index", value: str = "target_value") -> DataFrame:
-    return scored.agg(*error_metrics(F.col(y), F.col("y_hat"), F.col(value), F.exp(F.col("y_hat") + F.col(index))))
+    return error_table(scored, [], y, "y_hat", F.col(value), F.exp(F.col("y_hat") + F.col(index)))
 
 
 def compare(train: DataFrame, valid: DataFrame, feature_sets: dict[str, list[str]], models: dict[str, list[str]], params: dict | None = None) -> DataFrame:
@@ -114,13 +133,52 @@ def ablate(train: DataFrame, valid: DataFrame, features: list[str], groups: dict
     return reduce(DataFrame.unionByName, out)
 
 
-def search_params(train: DataFrame, valid: DataFrame, features: list[str], candidates: list[dict]) -> DataFrame:
-    """(trial, params, metrics) of boosted trees on the hold-out; the first trial has the defaults."""
-    out = []
-    for i, params in enumerate([{}, *candidates]):
-        scored = fit_and_score("boosted", train, valid, features, params)[1]
-        out.append(metrics_of(scored).select(F.lit(i).alias("trial"), F.lit(str(sorted(params.items()))).alias("params"), "*"))
-    return reduce(DataFrame.unionByName, out)
+def param_maps(estimator, candidates: list[dict]) -> list[dict]:
+    """Candidates (parameter name -> value) as the maps that ``fitMultiple`` takes. ``ParamGridBuilder`` makes such maps, too."""
+    return [{estimator.getParam(name): value for name, value in c.items()} for c in candidates]
+
+
+def rungs_of(n: int, keep: int = 2, most: int = 3) -> list[float]:
+    """Shares of the full number of rounds that successive turns train with: the last is 1, each before it 1 / keep of the next."""
+    turns = 1
+    while turns < most and keep**turns <= n:
+        turns += 1
+    return [keep ** -(turns - 1 - i) for i in range(turns)]
+
+
+def search_params(
+    train: DataFrame, valid: DataFrame, features: list[str], candidates: list[dict], keep: int = 2, at_once: int = 4, y: str = "y", rungs: list[float] | None = None,
+) -> DataFrame:
+    """(trial, turn, rounds, params, rmse, best): boosted trees on the hold-out by successive halving; trial 0 has the defaults.
+
+    All trials train a share of their rounds; the best one in ``keep`` goes on to the next turn with more, the last turn has
+    all of them. Rows are prepared once and stored; a turn's trials are fitted ``at_once`` beside each other. ``best`` is the
+    last turn's smallest error, ties by trial.
+    """
+    numeric, categorical = split_columns(train, features)
+    stages, inputs, coded = preparation(numeric, categorical)
+    ready = Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs + coded, outputCol="features")]).fit(train)
+    matrix = {name: stored(ready.transform(df).select("features", F.col(y).cast("double").alias("y"))) for name, df in (("train", train), ("valid", valid))}
+    learner, log = boosted(), []
+    trials = dict(enumerate([{}, *candidates]))
+    rungs = rungs_of(len(trials), keep) if rungs is None else rungs
+    for turn, share in enumerate(rungs):
+        order = list(trials)
+        rounds = {t: max(1, round(share * trials[t].get("maxIter", learner.getMaxIter()))) for t in order}
+        fits = learner.fitMultiple(matrix["train"], param_maps(learner, [trials[t] | {"maxIter": rounds[t]} for t in order]))
+
+        def one(_, fits=fits):
+            i, model = next(fits)
+            return i, model.transform(matrix["valid"]).agg(F.sqrt(F.avg((F.col("y_hat") - F.col("y")) ** 2))).first()[0]
+
+        with ThreadPool(at_once) as pool:
+            errors = {order[i]: e for i, e in pool.imap_unordered(one, order)}
+        log += [(t, turn, rounds[t], json.dumps(trials[t], sort_keys=True), errors[t]) for t in order]
+        best = sorted(order, key=lambda t: (errors[t], t))
+        trials = {t: trials[t] for t in best[: max(1, -(-len(best) // keep))]} if turn < len(rungs) - 1 else {best[0]: {}}
+    winner = next(iter(trials))
+    rows = [(*r, r[0] == winner and r[1] == len(rungs) - 1) for r in log]
+    return train.sparkSession.createDataFrame(rows, "trial int, turn int, rounds int, params string, rmse double, best boolean")
 
 
 def search_space(n: int, seed: int = SEED) -> list[dict]:
@@ -136,78 +194,32 @@ def search_space(n: int, seed: int = SEED) -> list[dict]:
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], key: str, y: str = "y", repeats: int = 5, seed: int = SEED) -> DataFrame:
-    """(feature, importance): how much the RMSE rises when a feature's values are dealt to other rows, the mean of ``repeats`` deals."""
-    rmse = lambda d: d.agg(F.sqrt(F.avg((F.col("y_hat") - F.col(y)) ** 2)).alias("rmse"))
-    number = lambda *order: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order, key))  # noqa: E731  (the hold-out season)
-    numbered = df.withColumn("_n", number()).persist()
-    base = rmse(model.transform(df)).select(F.col("rmse").alias("base"))
-    out = []
-    for f in features:
-        for r in range(repeats):
-            dealt = numbered.select(F.col(f).alias("_dealt"), number(F.xxhash64(F.lit(seed + r), F.col(key))).alias("_n"))
-            shuffled = numbered.join(dealt, "_n").withColumn(f, F.col("_dealt")).drop("_dealt", "_n")
-            out.append(rmse(model.transform(shuffled)).select(F.lit(f).alias("feature"), "rmse"))
-    table = reduce(DataFrame.unionByName, out).crossJoin(F.broadcast(base))  # one row
-    return table.groupBy("feature").agg(F.avg(F.col("rmse") - F.col("base")).alias("importance"))
-
+    """(feature, importance): how much the RMSE rises when a feature's values are dealt to other rows, the mean of ``repeats`` deals.
 
-def tree_contributions(model, df: DataFrame, vector: str, n_features: int, keep: list[str]) -> DataFrame:
-    """Per-feature contributions of a tree ensemble along each row's own paths, and the base; they sum to the prediction.
-
-    Each split hands the change of the node's expected value to its feature (Saabas). The ensemble's nodes, a few thousand
-    numbers, are broadcast; rows are worked on in Arrow batches.
+    A deal pairs the rows in the order of ``key``, which tells them apart, with the rows in the order of a hash of it, both
+    numbered without a task that holds them all. Rows of all features and deals are predicted in one pass.
     """
-    import numpy as np
-    import pandas as pd
-
-    nodes = [_nodes(t) for t in model.trees]
-    weights = list(model.treeWeights)
-    if not hasattr(model, "getStepSize"):  # a forest takes the mean
-        weights = [w / sum(weights) for w in weights]
-    shared = df.sparkSession.sparkContext.broadcast((nodes, weights))
-    names = [f"c{i}" for i in range(n_features)]
-
-    def run(batches):
-        trees, scale = shared.value
-        for batch in batches:
-            x = np.stack(batch["_v"].to_numpy()) if len(batch) else np.zeros((0, n_features))
-            parts = np.zeros((len(x), n_features + 1))
-            for tree, w in zip(trees, scale, strict=True):
-                parts[:, -1] += w * tree[0][0]
-                waiting = [(0, np.arange(len(x)))]  # a node and the rows that reach it
-                while waiting:
-                    i, at = waiting.pop()
-                    value, feature, threshold, left, right = tree[i]
-                    if feature < 0 or not len(at):
-                        continue
-                    goes_left = np.isin(x[at, feature], list(threshold)) if isinstance(threshold, frozenset) else x[at, feature] <= threshold
-                    for j, rows in ((left, at[goes_left]), (right, at[~goes_left])):
-                        parts[rows, feature] += w * (tree[j][0] - value)
-                        waiting.append((j, rows))
-            yield pd.concat([batch[keep].reset_index(drop=True), pd.DataFrame(parts, columns=[*names, "base_value"])], axis=1)
-
-    from pyspark.ml.functions import vector_to_array
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keep), *(f"{n} double" for n in names), "base_value double"])
-    return df.select(*keep, vector_to_array(vector).alias("_v")).mapInPandas(run, schema)
-
-
-def _nodes(tree) -> list[tuple]:
-    """(value, feature or -1, threshold or left categories, left child, right child), the root first."""
-    out: list[tuple] = []
-
-    def add(node) -> int:
-        at = len(out)
-        out.append(())
-        if node.subtreeDepth() == 0:
-            out[at] = (node.prediction(), -1, 0.0, -1, -1)
-            return at
-        split = node.split()
-        limit = split.threshold() if split.getClass().getSimpleName() == "ContinuousSplit" else frozenset(split.leftCategories())
-        left, right = add(node.leftChild()), add(node.rightChild())
-        out[at] = (node.prediction(), split.featureIndex(), limit, left, right)
-        return at
-
-    add(tree._call_java("rootNode"))
-    return out
+    rows = stored(positions(df.select(key, y, *features), [], [F.col(key)], "_n"))
+    parts = [rows.select("*", F.lit(None).cast("string").alias("feature"), F.lit(0).alias("deal"))]
+    for r in range(repeats):
+        mixed = F.xxhash64(F.lit(seed + r), F.col(key))
+        donors = positions(rows.select(key, *features), [], [mixed, F.col(key)], "_n").select("_n", F.struct(*features).alias("_from"))
+        dealt = stored(rows.join(donors, "_n"))
+        parts += [dealt.withColumn(f, F.col(f"_from.{f}")).drop("_from").withColumns({"feature": F.lit(f), "deal": F.lit(r)}) for f in features]
+    scored = model.transform(reduce(DataFrame.unionByName, parts))
+    errors = scored.groupBy("feature", "deal").agg(F.sqrt(F.avg((F.col("y_hat") - F.col(y)) ** 2)).alias("rmse"))
+    errors = stored(errors)
+    base = errors.where("feature is null").select(F.col("rmse").alias("base"))
+    return errors.where("feature is not null").crossJoin(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("rmse") - F.col("base")).alias("importance"))  # one row
+
+
+def vector_widths(model: PipelineModel, df: DataFrame) -> dict[str, int]:
+    """How many places each column of the pipeline's assembler takes in the vector, in order: level vectors take several."""
+    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    one = model.transform(df.limit(1)).select(*assembler.getInputCols()).first()
+    return {c: len(one[c]) if hasattr(one[c], "toArray") else 1 for c in assembler.getInputCols()}
+
+
+def gain_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """(feature, gain, share) of the pipeline's trees: each feature's summed gain over its columns of the vector."""
+    return named_gain(model.stages[-1], vector_widths(model, df))

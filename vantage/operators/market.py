@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import config as C
 from .asof import asof_backward, asof_nearest
+from .ordered import carried
 
 ALL = "_ALL"
 
@@ -25,17 +26,18 @@ def market_index(population: DataFrame, series: DataFrame, entity: str, group: s
     ).select(season, asof, F.when(F.col("_all") == 1, ALL).otherwise(F.col(group)).alias(group), "idx", "n_entities")
 
 
-def targets(seasons: DataFrame, series: DataFrame, entity: str, season: str = "season", end: str = "end_date", ts: str = "date", value: str = "value", within_days: int = C.TARGET_WINDOW_DAYS) -> DataFrame:
+def targets(seasons: DataFrame, series: DataFrame, entity: str, season: str = "season", end: str = "end_date", ts: str = "date", value: str = "value", within_days: int = C.TARGET_WINDOW_DAYS, method: str = "segments") -> DataFrame:
     """(entity, season, target_value, target_date): the value nearest to the season's end, the later of two as near."""
-    found = asof_nearest(seasons.select(entity, season, end), series, [entity], F.col(end), ts, {value: "target_value", ts: "target_date"}, within_days)
+    found = asof_nearest(seasons.select(entity, season, end), series, [entity], F.col(end), ts, {value: "target_value", ts: "target_date"}, within_days, method=method)
     return found.select(entity, season, "target_value", "target_date")
 
 
-def value_history(cutoffs: DataFrame, series: DataFrame, entity: str, season: str = "season", start: str = "start_date", cutoff: str = "cutoff", ts: str = "date", value: str = "value") -> DataFrame:
+def value_history(cutoffs: DataFrame, series: DataFrame, entity: str, season: str = "season", start: str = "start_date", cutoff: str = "cutoff", ts: str = "date", value: str = "value", method: str = "segments") -> DataFrame:
     """Last, highest, at the season's start and a year before the cut-off: four as-of values of the values up to the cut-off.
 
-    Each cut-off asks at three points in time. Points and values are sorted by time within the entity, once, and the last
-    and the highest value so far are carried along: linear in the length of a series. No value up to the cut-off: no row.
+    Each cut-off asks at three points in time. Points and values are sorted by time, once, and the last and the highest
+    value so far are carried along: linear in the length of a series. ``window`` sorts an entity in one task, ``segments``
+    ranges of entity and time. No value up to the cut-off: no row.
     """
     point = lambda name, at: F.struct(F.lit(name).alias("name"), at.alias("at"))
     points = F.array(point("last", F.col(cutoff)), point("start", F.least(start, cutoff)), point("year", F.date_sub(cutoff, 365)))
@@ -45,20 +47,25 @@ def value_history(cutoffs: DataFrame, series: DataFrame, entity: str, season: st
     none = F.lit(None)
     probes = asked.select("_e", F.col("_p.at").alias("_t"), F.lit(1).alias("_tag"), none.cast(rows.schema["_row"].dataType).alias("_row"), "_probe", F.col("_p.name").alias("_name"))
     rows = rows.withColumns({"_probe": none.cast(probes.schema["_probe"].dataType), "_name": none.cast("string")})
-    so_far = Window.partitionBy("_e").orderBy("_t", "_tag", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = rows.unionByName(probes).withColumns({"_last": F.last("_row", ignorenulls=True).over(so_far), "_peak": F.max("_row.v").over(so_far)}).where("_probe is not null and _last is not null")
+    events = rows.unionByName(probes).withColumn("_tie", F.col("_row"))
+    if method == "segments":
+        history = carried(events, ["_e"], ["_t", "_tag", "_tie"], "_row", before="_last", most=("v", "_peak"))
+    else:
+        so_far = Window.partitionBy("_e").orderBy("_t", "_tag", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        history = events.withColumns({"_last": F.last("_row", ignorenulls=True).over(so_far), "_peak": F.max("_row.v").over(so_far)})
+    history = history.where("_probe is not null and _last is not null")
     of = lambda name, c: F.max(F.when(F.col("_name") == name, F.col(c)))
-    return carried.groupBy("_probe").agg(
+    return history.groupBy("_probe").agg(
         of("last", "_last.v").alias("val_last"), of("last", "_last.ts").alias("val_hist_date"), of("last", "_peak").alias("val_peak"), of("start", "_last.v").alias("val_season_start"), of("year", "_last.v").alias("val_12m"),
     ).select(f"_probe.{entity}", f"_probe.{season}", "val_last", "val_hist_date", "val_peak", "val_season_start", "val_12m", F.col(f"_probe.{cutoff}").alias("val_cutoff"))
 
 
-def outcomes(target: DataFrame, series: DataFrame, entity: str, season: str = "season", ts: str = "date", value: str = "value", within_days: int = C.FUTURE_WINDOW_DAYS) -> DataFrame:
+def outcomes(target: DataFrame, series: DataFrame, entity: str, season: str = "season", ts: str = "date", value: str = "value", within_days: int = C.FUTURE_WINDOW_DAYS, method: str = "segments") -> DataFrame:
     """(entity, season, last_update_log_change, future_value, future_date): the step at the target, and the value a year after it."""
     target = target.select(entity, season, "target_value", "target_date")
-    before = asof_backward(target, series, [entity], "target_date", ts, [value], strict=True)
+    before = asof_backward(target, series, [entity], "target_date", ts, [value], strict=True, method="window" if method == "range" else method)
     before = before.select(entity, season, F.ln(F.col("target_value") / F.col(value)).alias("last_update_log_change"))
-    after = asof_nearest(target, series, [entity], F.date_add("target_date", 365), ts, {value: "future_value", ts: "future_date"}, within_days)
+    after = asof_nearest(target, series, [entity], F.date_add("target_date", 365), ts, {value: "future_value", ts: "future_date"}, within_days, method=method)
     return before.join(after.select(entity, season, "future_value", "future_date"), [entity, season], "left")
 
 

@@ -1,65 +1,168 @@
-"""Bootstrap as a distributed job: draws are rows, replicates are groups.
+"""Bootstrap as a distributed job: replicates are rows, and each works out its own draws.
 
-Draw j of replicate b picks row md5("seed-b-j") mod n, so that draws are the same on every engine and for every retry.
+Draw j of replicate b picks row md5("seed-b-j") mod n, so that draws are the same on every engine and for every retry. A
+replicate needs how often each row was drawn, running sums of that along each strategy's order, and sums by cell: no draw
+is shuffled, joined or sorted. For this each task holds the rows it draws from, in a few numbers a row; where they are more
+than ``MOST_HELD``, draws are rows that are joined, with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import positions
+
+MEASURES = ["hit_raw", "lift_raw", "matched_lift_raw"]
+MOST_HELD = 1_000_000  # rows; under 100 bytes each
+
+
+def picked(n: int, seed: int, b: Column, j: Column) -> Column:
+    code = F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), b.cast("string"), j.cast("string"))), 1, 8)
+    return F.pmod(F.conv(code, 16, 10).cast("bigint"), F.lit(n)).cast("int")
+
 
 def draws(spark, n: int, n_boot: int, seed: int) -> DataFrame:
     """(b, j, pick): n picks of 0 to n - 1 for each replicate."""
     grid = spark.range(n_boot * n).select((F.col("id") / F.lit(n)).cast("int").alias("b"), F.pmod("id", F.lit(n)).cast("int").alias("j"))
-    code = F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))), 1, 8)
-    return grid.withColumn("pick", F.pmod(F.conv(code, 16, 10).cast("bigint"), F.lit(n)).cast("int"))
+    return grid.withColumn("pick", picked(n, seed, F.col("b"), F.col("j")))
+
 
+def drawn_rows(spark, n: int, n_boot: int, seed: int) -> DataFrame:
+    """(b, picks): a row a replicate, its n picks in order."""
+    tasks = max(1, min(n_boot, 4 * spark.sparkContext.defaultParallelism))
+    every = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: picked(n, seed, F.col("b"), j))
+    return spark.range(0, n_boot, 1, tasks).select(F.col("id").cast("int").alias("b")).select("b", every.alias("picks"))
 
-def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
-    """Rows numbered from 0 by ``order``: for one season's scored rows, not for big tables."""
-    return df.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """Rows numbered from 0 by ``key``, which tells them apart."""
+    return positions(df, [], [F.col(key)], "idx").withColumn("idx", (F.col("idx") - 1).cast("int"))
 
 
 def interval(table: DataFrame, by: list[str], measures: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Ends of the middle 95 % over replicates: a group has a row a replicate."""
     ends = [F.percentile(m, F.lit(q)).alias(f"{m}_ci_{name}") for m in measures for q, name in ((low, "low"), (high, "high"))]
     return table.groupBy(*by).agg(*ends) if by else table.agg(*ends)
 
 
-MEASURES = ["hit_raw", "lift_raw", "matched_lift_raw"]
-
+def pick_measures(df: DataFrame, by: list[str], sizes: list[tuple[str, str, int]], order: list[str]) -> DataFrame:
+    """Hit rate, lift and matched lift of each (strategy, k, size) within each group: cell and base rates come from the group's own rows.
 
-def pick_measures(df: DataFrame, by: list[str], sizes: dict[str, int], score_of: dict[str, str], order: list[str]) -> DataFrame:
-    """Hit rate, lift and matched lift of each strategy's top k within each group: cell and base rates come from the group's own rows."""
+    Scores are columns s_<strategy>; equal ones are taken by ``order``.
+    """
     rose, known = (F.col("outcome_log_change") > 0).cast("double"), F.col("has_outcome")
     cell = Window.partitionBy(*by, "cell")
     rate = F.sum(F.when(known, rose)).over(cell) / F.greatest(F.count(F.when(known, rose)).over(cell), F.lit(1))
     df = df.withColumns({"_rate": F.coalesce(rate, F.lit(0.0)), "_base": F.avg(F.when(known, rose)).over(Window.partitionBy(*by))})
-    scores = F.inline(F.array(*(F.struct(F.lit(n).alias("strategy"), F.col(c).cast("double").alias("score"), F.lit(sizes[n]).alias("k")) for n, c in score_of.items())))
-    long = df.select("*", scores).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "strategy").orderBy(F.col("score").desc_nulls_last(), *order)))
-    flagged = long.where("score is not null and has_outcome and _r <= k")
+    scores = F.inline(F.array(*(F.struct(F.lit(n).alias("strategy"), F.lit(k).alias("k"), F.col(f"s_{n}").cast("double").alias("score"), F.lit(size).alias("_size")) for n, k, size in sizes)))
+    long = df.select("*", scores).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "strategy", "k").orderBy(F.col("score").desc_nulls_last(), *order)))
+    flagged = long.where("score is not null and has_outcome and _r <= _size")
     t = flagged.groupBy(*by, "strategy", "k").agg(F.avg(rose).alias("hit_raw"), F.first("_base").alias("_base"), F.avg("_rate").alias("_expected"))
     safe = lambda c: F.nullif(F.col(c), F.lit(0.0))
     return t.select(*by, "strategy", "k", "hit_raw", (F.col("hit_raw") / safe("_base")).alias("lift_raw"), (F.col("hit_raw") / safe("_expected")).alias("matched_lift_raw"))
 
 
-def bootstrap_picks(df: DataFrame, sizes: dict[str, int], score_of: dict[str, str], key: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
-    """Point values and 95 % intervals of ``MEASURES``: each replicate draws rows anew, picks anew and works out its own rates.
-
-    ``df`` is one scored season; its numbered rows are joined to n_boot x n draws, and replicates are worked out apart.
+class Season:
+    """The rows that replicates draw from, as arrays: cells, outcomes, and the order of each strategy's scores."""
+
+    def __init__(self, cell: np.ndarray, known: np.ndarray, rose: np.ndarray, scores: dict[str, np.ndarray]):
+        self.cell, self.known, self.rose = cell, known.astype(float), np.where(known, rose, 0.0)
+        self.n_cells = int(cell.max(initial=-1)) + 1
+        self.orders = {}
+        for name, s in scores.items():
+            order = np.argsort(-s, kind="stable")[: np.count_nonzero(~np.isnan(s))]  # NaN last
+            starts = np.flatnonzero(np.r_[True, s[order][1:] != s[order][:-1]]) if len(order) else np.zeros(0, int)
+            self.orders[name] = (order, starts)
+
+    def flagged(self, strategy: str, size: int, picks: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """How many draws of each row are among the first ``size`` by score: of equal scores, those drawn first."""
+        order, starts = self.orders[strategy]
+        through = np.cumsum(times[order])
+        out = np.zeros(len(times))
+        full = int(np.searchsorted(through, size, "right"))  # rows whose draws all fit
+        if full >= len(order):
+            out[order] = times[order]
+            return out
+        tie = int(np.searchsorted(starts, full, "right")) - 1
+        low, high = starts[tie], starts[tie + 1] if tie + 1 < len(starts) else len(order)
+        out[order[:low]] = times[order[:low]]
+        room = size - (through[low - 1] if low else 0)
+        equal = np.zeros(len(times), bool)
+        equal[order[low:high]] = True
+        first = picks[np.flatnonzero(equal[picks])[: int(room)]]
+        return out + np.bincount(first, minlength=len(times))
+
+    def measures(self, sizes: list[tuple[str, str, int]], picks: np.ndarray) -> Iterator[tuple]:
+        """(strategy, k, hit_raw, lift_raw, matched_lift_raw) of one replicate; a strategy without a flagged outcome has no row."""
+        times = np.bincount(picks, minlength=len(self.cell)).astype(float)
+        seen, hits = times * self.known, times * self.rose
+        rate = np.bincount(self.cell, hits, self.n_cells) / np.maximum(np.bincount(self.cell, seen, self.n_cells), 1)
+        base = hits.sum() / seen.sum() if seen.sum() else 0.0
+        for strategy, k, size in sizes:
+            chosen = self.flagged(strategy, size, picks, times) * self.known
+            if total := chosen.sum():
+                hit, expected = (chosen * self.rose).sum() / total, (chosen * rate[self.cell]).sum() / total
+                yield strategy, k, hit, hit / base if base else None, hit / expected if expected else None
+
+
+def _season(rows: DataFrame, strategies: list[str]) -> Season:
+    """At most ``MOST_HELD`` rows (idx, cell, has_outcome, outcome_log_change, scores), by idx."""
+    true = lambda c: F.coalesce(c, F.lit(False))
+    t = rows.select("idx", F.coalesce("cell", F.lit("")).alias("cell"), true(F.col("has_outcome")).alias("known"), true(F.col("outcome_log_change") > 0).alias("rose"), *(F.col(f"s_{s}").cast("double").alias(f"s_{s}") for s in strategies)).toPandas().sort_values("idx")
+    cells = np.unique(t["cell"].to_numpy(str), return_inverse=True)[1]
+    return Season(cells, t["known"].to_numpy(bool), t["rose"].to_numpy(float), {s: t[f"s_{s}"].to_numpy(float) for s in strategies})
+
+
+def _replicates(spark, season: Season, n: int, sizes: list[tuple[str, str, int]], n_boot: int, seed: int) -> DataFrame:
+    shared = spark.sparkContext.broadcast(season)
+
+    def run(batches):
+        for batch in batches:
+            found = [(b, *row) for b, picks in zip(batch.column("b").to_pylist(), batch.column("picks"), strict=True) for row in shared.value.measures(sizes, picks.values.to_numpy())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 6, (pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 3), strict=True)], ["b", "strategy", "k", *MEASURES])
+
+    return drawn_rows(spark, n, n_boot, seed).mapInArrow(run, "b int, strategy string, k string, hit_raw double, lift_raw double, matched_lift_raw double")
+
+
+def bootstrap_picks(df: DataFrame, sizes: list[tuple[str, str, int]], key: str, n_boot: int = 2000, seed: int = 42, held: bool | None = None) -> DataFrame:
+    """Point values and 95 % intervals of ``MEASURES`` for each (strategy, k, size), k being the size's name, in one job: each replicate
+    draws rows anew, picks anew and works out its own rates. Scores are columns s_<strategy>; null is never picked.
+
+    ``df`` is one scored season. ``held`` says whether tasks hold its rows; by default its size does. No rows: no rows.
     """
-    rows = numbered(df.select(key, "has_outcome", "outcome_log_change", "cell", *score_of.values()), key).persist()
+    strategies = list(dict.fromkeys(s for s, *_ in sizes))
+    rows = numbered(df.select(key, "has_outcome", "outcome_log_change", "cell", *(f"s_{s}" for s in strategies)), key).persist()
     n = rows.count()
-    drawn = draws(df.sparkSession, n, n_boot, seed).join(rows, F.col("pick") == F.col("idx"))
-    replicates = pick_measures(drawn, ["b"], sizes, score_of, ["j"])
-    points = pick_measures(rows.withColumn("b", F.lit(0)), ["b"], sizes, score_of, ["idx"]).drop("b")
+    points = pick_measures(rows.withColumn("b", F.lit(0)), ["b"], sizes, ["idx"]).drop("b")
+    if not n:
+        return points.join(interval(points, ["strategy", "k"], MEASURES), ["strategy", "k"])
+    if n <= MOST_HELD if held is None else held:
+        replicates = _replicates(df.sparkSession, _season(rows, strategies), n, sizes, n_boot, seed)
+    else:
+        drawn = draws(df.sparkSession, n, n_boot, seed).join(rows, F.col("pick") == F.col("idx"))
+        replicates = pick_measures(drawn, ["b"], sizes, ["j"])
     return points.join(interval(replicates, ["strategy", "k"], MEASURES), ["strategy", "k"])
 
 
-def bootstrap_rmse_difference(df: DataFrame, y: str, a: str, b: str, key: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
-    """RMSE of a less that of b on the same rows, with a 95 % interval: squared errors once, then sums over the draws."""
+def bootstrap_rmse_difference(df: DataFrame, y: str, a: str, b: str, key: str, n_boot: int = 2000, seed: int = 42, held: bool | None = None) -> DataFrame:
+    """RMSE of a less that of b on the same rows, with a 95 % interval: squared errors once, then sums over each replicate's draws."""
     rows = numbered(df.select(key, ((F.col(a) - F.col(y)) ** 2).alias("_a"), ((F.col(b) - F.col(y)) ** 2).alias("_b")), key).persist()
-    n = rows.count()
+    n, spark = rows.count(), df.sparkSession
     difference = F.sqrt(F.avg("_a")) - F.sqrt(F.avg("_b"))
-    replicates = draws(df.sparkSession, n, n_boot, seed).join(rows, F.col("pick") == F.col("idx")).groupBy("b").agg(difference.alias("diff"))
-    return rows.agg(difference.alias("diff")).crossJoin(interval(replicates, [], ["diff"]))
+    if n and (n <= MOST_HELD if held is None else held):
+        shared = spark.sparkContext.broadcast(rows.orderBy("idx").select("_a", "_b").toPandas().to_numpy(float))
+
+        def run(batches):
+            for batch in batches:
+                means = [np.nanmean(shared.value[picks.values.to_numpy()], axis=0) for picks in batch.column("picks")]
+                yield pa.RecordBatch.from_arrays([pa.array([np.sqrt(x) - np.sqrt(z) for x, z in means], pa.float64())], ["diff"])
+
+        replicates = drawn_rows(spark, n, n_boot, seed).mapInArrow(run, "diff double")
+    else:
+        replicates = draws(spark, max(n, 1), n_boot if n else 0, seed).join(rows, F.col("pick") == F.col("idx")).groupBy("b").agg(difference.alias("diff"))
+    return rows.agg(difference.alias("diff")).crossJoin(interval(replicates, [], ["diff"]))  # one row each

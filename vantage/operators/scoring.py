@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as K
 from ..functions import config as C
+from .select import medians
+from .select import quantiles as exact_quantiles
 
 
 def temporal_split(panel: DataFrame, season: str = "season", train_last: int = C.TRAIN_LAST) -> dict[str, DataFrame]:
@@ -25,11 +25,10 @@ def score_frame(df: DataFrame, y_hat: str = "y_hat", y: str = "y", index: str =
 
     A row whose peer group is unknown has no peer bias and no de-biased score.
     """
-    by = Window.partitionBy(*peers)
-    known = reduce(lambda a, b: a & b, (F.col(p).isNotNull() for p in peers))
     gap = F.col(y_hat) - F.col(y)
     df = df.withColumns({"pred_value": K.to_value(F.col(y_hat), F.col(index)), "log_gap": gap, "score_raw": F.expm1(gap)})
-    df = df.withColumn("cell_bias", F.when(known, F.sum("log_gap").over(by) / (F.count("log_gap").over(by) + F.lit(float(shrink)))))
+    bias = df.groupBy(*peers).agg((F.sum("log_gap") / (F.count("log_gap") + F.lit(float(shrink)))).alias("cell_bias"))
+    df = df.join(bias, list(peers), "left")  # a null peer equals none
     return df.withColumn("log_gap_debiased", F.col("log_gap") - F.col("cell_bias")).withColumn("score_debiased", F.expm1("log_gap_debiased"))
 
 
@@ -46,28 +45,30 @@ def strategies(df: DataFrame, linear_gap: str | None = None) -> DataFrame:
     })
 
 
-def error_metrics(y: Column, y_hat: Column, value: Column, value_hat: Column) -> list[Column]:
-    """Aggregates: n, rmse, mae, r2, bias, mae and median error in money, median percent error."""
-    r, off = y_hat - y, F.abs(value_hat - value)
-    return [
+def error_table(df: DataFrame, by: list[str], y: str = "y", y_hat: str = "y_hat", value: Column | None = None, value_hat: Column | None = None) -> DataFrame:
+    """by, n, rmse, mae, r2, bias, mae and median error in money, median percent error. Sums in one grouped pass, exact medians by counting."""
+    value, value_hat = F.col("target_value") if value is None else value, F.col("pred_value") if value_hat is None else value_hat
+    rows = df.select(*by, F.col(y).alias("_y"), (F.col(y_hat) - F.col(y)).alias("_r"), F.abs(value_hat - value).alias("_off"))
+    r, off = F.col("_r"), F.col("_off")
+    sums = [
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(F.abs(r)).alias("mae"),
-        (1 - F.sum(r * r) / F.nullif(F.count(y) * F.var_pop(y), F.lit(0.0))).alias("r2"), F.avg(r).alias("bias"),
-        F.avg(off).alias("mae_eur"), F.percentile(off, F.lit(0.5)).alias("medae_eur"), F.expm1(F.percentile(F.abs(r), F.lit(0.5))).alias("median_pct_error"),
+        (1 - F.sum(r * r) / F.nullif(F.count("_y") * F.var_pop("_y"), F.lit(0.0))).alias("r2"), F.avg(r).alias("bias"), F.avg(off).alias("mae_eur"),
     ]
+    middle = medians(rows, by, {"medae_eur": off, "_middle": F.abs(r)})
+    table = rows.groupBy(*by).agg(*sums).join(middle, by, "left") if by else rows.agg(*sums).crossJoin(F.broadcast(middle))  # one row
+    return table.select(*by, "n", "rmse", "mae", "r2", "bias", "mae_eur", "medae_eur", F.expm1("_middle").alias("median_pct_error"))
 
 
 def breakdown(df: DataFrame, dimensions: list[str], y: str = "y", y_hat: str = "y_hat", value: str = "target_value", value_hat: str = "pred_value") -> DataFrame:
     """Error metrics by segment of each dimension, in one grouped pass; null segments are left out."""
     pairs = F.inline(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("segment")) for d in dimensions)))
-    return df.select("*", pairs).where("segment is not null").groupBy("dimension", "segment").agg(*error_metrics(*map(F.col, (y, y_hat, value, value_hat))))
+    return error_table(df.select("*", pairs).where("segment is not null"), ["dimension", "segment"], y, y_hat, F.col(value), F.col(value_hat))
 
 
 def residual_quantiles(df: DataFrame, band: str, residual: Column, quantiles=C.INTERVAL_QUANTILES, overall: str = "overall") -> DataFrame:
-    """(band, n, q10, q25, ...) for all rows and by band, linearly interpolated."""
-    names = [f"q{round(q * 100)}" for q in quantiles]
+    """(band, n, q10, q25, ...) for all rows and by band, linearly interpolated, exact and without a task that holds a band."""
     both = df.select(residual.alias("_r"), F.explode(F.array(F.lit(overall), F.col(band))).alias("band")).where("band is not null")
-    table = both.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.percentile("_r", F.array(*map(F.lit, quantiles))).alias("_q"))
-    return table.select("band", "n", *(F.col("_q")[i].alias(n) for i, n in enumerate(names)))
+    return exact_quantiles(both, ["band"], "_r", {f"q{round(q * 100)}": q for q in quantiles})
 
 
 def value_range(df: DataFrame, table: DataFrame, pred: str = "pred_value", bands=C.VALUE_BANDS, overall: str = "overall") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as K
 from ..functions import config as C
 from .explain import ranked
+from .scoring import value_range
 
 
 def conjunction(conditions: Iterable[Column | None]) -> Column:
@@ -100,3 +101,37 @@ def summary(reports: dict[str, DataFrame]) -> DataFrame:
 def panel_summary(panel: DataFrame, by: str = "season", value: str = "target_value", index: str = "market_index") -> DataFrame:
     """Rows, median value and market index of each season."""
     return panel.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.percentile(value, F.lit(0.5)).alias("median_value"), F.max(index).alias("market_index"))
+
+
+def listing(df: DataFrame, columns: list[str], by: str, key: str) -> DataFrame:
+    """All rows with the given columns, the largest ``by`` first."""
+    return df.select(*columns).orderBy(F.desc_nulls_last(by), key)
+
+
+def scalars(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The one row of values that all rows share; more than one means that they don't share them."""
+    return df.select(*columns).distinct()
+
+
+def rounded(df: DataFrame, keep: list[str], measures: list[str], places: int = 3) -> DataFrame:
+    return df.select(*keep, *(F.round(m, places).alias(m) for m in measures))
+
+
+def robustness(results: DataFrame, k: str = "top_decile") -> DataFrame:
+    """Each strategy's rates at one size, over known outcomes and with missing ones as failures."""
+    both = [c for m in ("hit_raw", "lift_raw", "matched_lift_raw") for c in (m, f"{m}_missing_as_fail")]
+    return results.where(F.col("k") == k).select("strategy", "n_flagged", "missing_rate", *both)
+
+
+def accuracy(metrics: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(model, players, typical_error, explained, median_error_pct) for readers: plain names, few places. Models without a name are left out."""
+    shown = F.try_element_at(K.literal_map(names), F.col("model"))
+    return metrics.select(
+        shown.alias("model"), F.col("n").alias("players"), F.round("rmse", 3).alias("typical_error"), F.round("r2", 3).alias("explained"), F.round(F.col("median_pct_error") * 100, 1).alias("median_error_pct")
+    ).where("model is not null")
+
+
+def profile(df: DataFrame, key: str, value, columns: list[str], stats: list[str], quantiles: DataFrame, pred: str = "pred_value") -> DataFrame:
+    """One key's columns, its ``stats`` as a struct, and the ``range`` of values around its prediction. Raises if there is none."""
+    one = value_range(lookup(df, key, value), quantiles, pred)
+    return one.select(key, *columns, F.struct(*stats).alias("stats"), F.struct(pred, "low_80", "low_50", "high_50", "high_80").alias("range"))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +21,9 @@ from ..operators import resample as R
 from ..operators import scoring as S
 from ..operators import serve as Q
 from ..operators.cleaning import clamp, keep_first, undisclosed
-from ..sources.relations import as_of
+from ..operators.stages import load_model, save_model
+from ..sources.relations import as_of, fresh_folder
+from . import live as V
 from . import oracle as O
 from .orders import FEATURES, FLAGGED, KEY, STRATEGIES, TRAIN_LAST, VALUE_FLOOR, World, lines, panel, scored, table, values, with_fit
 
@@ -286,13 +286,22 @@ def point_in_time_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Data quality ---------------------------------------------------------------------------------------------------------
 
-CHECKS = {"age above 35": "age > 35", "minutes below 50": "minutes < 50", "no previous season": "prev_minutes IS NULL", "shipped after the season": "last_app > end_date",
-          "history at or after the target": "val_hist_date >= target_date", "index after the season": "index_asof_date > end_date"}
+REQUIRED = ("entity", "season", "league", "end_date", "target_date", "target_value", "minutes", "apps", "market_index", "y", "prev_minutes")
+RANGES: dict[str, tuple] = {"age": (18, 39), "minutes": (50, None), "goals_per90": (0, 10), "target_value": (1, None)}
+CHECKS = ("last_app <= end_date", "val_hist_date <= end_date", "val_hist_date < target_date", "index_asof_date <= end_date")
+VALIDATED = ("minutes", "goals_per90", "l3_minutes", "val_last_rel")
+RULE_SQL = {f"{c} is null": f"{c} IS NULL" for c in REQUIRED} | {f"{c} below {lo}": f"{c} < {lo}" for c, (lo, _) in RANGES.items()} | {f"{c} above {hi}": f"{c} > {hi}" for c, (_, hi) in RANGES.items() if hi is not None} | {
+    "minutes exceed 130 per appearance": "minutes > apps * 130", "infinite feature value": " OR ".join(f"isinf(CAST({c} AS DOUBLE))" for c in VALIDATED),
+    "y != ln(target_value) - market_index": "abs(y - (ln(target_value) - market_index)) > 1e-8 + 1e-5 * abs(ln(target_value) - market_index)",
+    "target outside the season-end window": "abs(target_date - end_date) > 120",
+} | {c: f"NOT ({c})" for c in CHECKS}
 
 
-@query(O.world(" UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({c}) AS n_bad FROM panel" for n, c in CHECKS.items())))
+@query(O.world(" UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({c}) AS n_bad FROM panel" for n, c in RULE_SQL.items()) + """
+    UNION ALL SELECT 'repeated key', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM panel GROUP BY entity, season) UNION ALL SELECT 'panel is empty', CAST(count(*) = 0 AS BIGINT) FROM panel"""))
 def panel_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.count_failures(panel(spark, sf_dir), {n: F.expr(c) for n, c in CHECKS.items()})
+    """All rules of the panel validator; some ranges are narrow, so that they find rows."""
+    return D.validate_panel(panel(spark, sf_dir), KEY, VALIDATED, REQUIRED, RANGES, CHECKS)
 
 
 THEN = "2000-06-30"
@@ -430,15 +439,14 @@ def missingness_ztest(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT strategy, score, 'outcome_log_change' AS outcome, outcome_log_change AS o FROM long WHERE has_outcome UNION ALL SELECT strategy, score, 'outcome_rel_change', outcome_rel_change FROM long WHERE has_outcome)
     WHERE strategy IN ('model_raw', 'model_debiased', 'mean_reversion') AND score IS NOT NULL AND o IS NOT NULL) GROUP BY 1, 2"""))
 def rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.rank_correlation(scored(spark, sf_dir), ["model_raw", "model_debiased", "mean_reversion"], ["outcome_log_change", "outcome_rel_change"], ["season"])
+    rows = B.rank_correlation(scored(spark, sf_dir), ["model_raw", "model_debiased", "mean_reversion"], ["outcome_log_change", "outcome_rel_change"], ["season"], "entity")
     return rows.select("strategy", "outcome", "n", *r4("ic", "ci_low", "ci_high"))
 
 
 @query(O.rated("""SELECT (SELECT round((exp(quantile_cont(abs(y_hat - y), 0.5)) - 1) * 100, 4) FROM scored) AS typical_error_pct,
     round(max(hit_raw) FILTER (strategy = 'model_debiased' AND k = 'top_decile'), 4) AS hit_rate, round(max(hit_raw) FILTER (strategy = 'all'), 4) AS base_rate FROM evaluated""", evaluated=True))
 def reliability_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = scored(spark, sf_dir).agg(*S.error_metrics(F.col("y"), F.col("y_hat"), F.col("target_value"), F.col("pred_value")))
-    return Q.reliability(metrics, _evaluated(spark, sf_dir, [0.0])).select(*r4("typical_error_pct", "hit_rate", "base_rate"))
+    return Q.reliability(S.error_table(scored(spark, sf_dir), []), _evaluated(spark, sf_dir, [0.0])).select(*r4("typical_error_pct", "hit_rate", "base_rate"))
 
 
 @query()
@@ -452,6 +460,18 @@ draws AS (SELECT b, j, CAST(('0x' || substr(md5('42-' || b || '-' || j), 1, 8))
 drawn AS (SELECT d.b, d.j, r.* FROM draws d JOIN numbered r ON r.idx = d.pick)"""
 
 
+HEADLINE = [("model_debiased", "top_decile"), ("model_debiased", "top_100"), ("model_raw", "top_decile"), ("model_raw", "top_100"), ("young_regulars", "top_decile"), ("mean_reversion", "top_decile")]
+SCORE_SQL = {"model_debiased": "log_gap_debiased", "model_raw": "log_gap", "young_regulars": "s_young_regulars", "mean_reversion": "s_mean_reversion"}
+SIX = """,
+scores AS (""" + " UNION ALL ".join(f"SELECT b, j, '{n}' AS strategy, {c} AS score, has_outcome, outcome_log_change, cell FROM drawn UNION ALL SELECT -1, idx, '{n}', {c}, has_outcome, outcome_log_change, cell FROM numbered" for n, c in SCORE_SQL.items()) + """),
+ranked AS (SELECT *, CAST(outcome_log_change > 0 AS INT) AS rose, coalesce(avg(CAST(outcome_log_change > 0 AS INT)) OVER (PARTITION BY strategy, b, cell), 0) AS rate, avg(CAST(outcome_log_change > 0 AS INT)) OVER (PARTITION BY strategy, b) AS base,
+    row_number() OVER (PARTITION BY strategy, b ORDER BY score DESC NULLS LAST, j) AS place FROM scores),
+asked AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS strategy, '{k}' AS k, {'100' if k == 'top_100' else '(SELECT ceil(n / 10) FROM size)'} AS size" for n, k in HEADLINE) + """),
+found AS (SELECT r.strategy, a.k, b, avg(rose) AS hit_raw, avg(rose) / avg(rate) AS matched_lift_raw FROM ranked r JOIN asked a ON a.strategy = r.strategy WHERE has_outcome AND score IS NOT NULL AND place <= a.size GROUP BY 1, 2, 3),
+ends AS (SELECT strategy, k, """ + ", ".join(f"quantile_cont({m}, {q}) FILTER (b >= 0) AS {m}_{e}" for m in ("hit_raw", "matched_lift_raw") for e, q in (("low", 0.025), ("high", 0.975))) + """ FROM found GROUP BY 1, 2)
+"""
+
+
 REPLICATES = f""",
 sampled AS (SELECT b, j, log_gap AS score, has_outcome, outcome_log_change, cell FROM drawn UNION ALL SELECT -1, idx, log_gap, has_outcome, outcome_log_change, cell FROM numbered),
 r AS (SELECT *, CAST(outcome_log_change > 0 AS INT) AS rose, coalesce(avg(CAST(outcome_log_change > 0 AS INT)) OVER (PARTITION BY b, cell), 0) AS rate, avg(CAST(outcome_log_change > 0 AS INT)) OVER (PARTITION BY b) AS base,
@@ -462,8 +482,8 @@ m AS (SELECT b, avg(rose) AS hit_raw, avg(rose) / max(base) AS lift_raw, avg(ros
 @query(O.scored("").rstrip() + DRAWS.format(n=N_BOOT) + REPLICATES + f"""
 SELECT 'model_raw' AS strategy, {BOOT_K} AS k, {', '.join(f"round(max({m}) FILTER (b = -1), 4) AS {m}, round(quantile_cont({m}, 0.025) FILTER (b >= 0), 4) AS {m}_ci_low, round(quantile_cont({m}, 0.975) FILTER (b >= 0), 4) AS {m}_ci_high" for m in R.MEASURES)} FROM m""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.bootstrap_picks(scored(spark, sf_dir), {"model_raw": BOOT_K}, {"model_raw": "log_gap"}, "entity", N_BOOT)
-    return rows.select("strategy", "k", *r4(*(f"{m}{e}" for m in R.MEASURES for e in ("", "_ci_low", "_ci_high"))))
+    rows = R.bootstrap_picks(scored(spark, sf_dir), [("model_raw", f"top_{BOOT_K}", BOOT_K)], "entity", N_BOOT)
+    return rows.select("strategy", F.lit(BOOT_K).alias("k"), *r4(*(f"{m}{e}" for m in R.MEASURES for e in ("", "_ci_low", "_ci_high"))))
 
 
 @query(O.scored("").rstrip() + DRAWS.format(n=N_BOOT) + """,
@@ -480,30 +500,37 @@ def pivot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.pivot_report(rows, "strategy", "k", ["top_decile", "top_100"], "hit_raw").select("strategy", *r4("top_decile", "top_100"))
 
 
-@query(O.rated("", evaluated=True).rstrip() + DRAWS.format(n=N_BOOT) + REPLICATES + f""",
-ends AS (SELECT 'model_raw' AS strategy, 'top_{BOOT_K}' AS k, {', '.join(f"quantile_cont({m}, {q}) FILTER (b >= 0) AS {m}_{e}" for m in ("hit_raw", "matched_lift_raw") for e, q in (("low", 0.025), ("high", 0.975)))} FROM m)
+@query(O.rated("", evaluated=True).rstrip() + DRAWS.format(n=N_BOOT) + SIX + """
 SELECT e.strategy, e.k, round(e.hit_raw, 4) AS hit_raw, round(coalesce(x.hit_raw_low, hit_raw_ci_low), 4) + 0.0 AS ci_low, round(coalesce(x.hit_raw_high, hit_raw_ci_high), 4) AS ci_high,
     CASE WHEN x.hit_raw_low IS NOT NULL THEN 'bootstrap' ELSE 'wilson' END AS ci_kind, round(lift_raw, 4) AS lift_raw, round(e.matched_lift_raw, 4) AS matched_lift_raw, round(matched_lift_raw_low, 4) AS matched_low,
     round(matched_lift_raw_high, 4) AS matched_high FROM evaluated e LEFT JOIN ends x ON x.strategy = e.strategy AND x.k = e.k""")
 def headline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strategies by size, with bootstrap intervals for the six rows that a report leads with, all from one job."""
     rows = scored(spark, sf_dir)
     results = B.evaluate(B.universes(rows, [0.0]), STRATEGIES, SIZES, ["floor"], "entity")
-    boot = R.bootstrap_picks(rows, {"model_raw": BOOT_K}, {"model_raw": "log_gap"}, "entity", N_BOOT).withColumn("k", F.lit(f"top_{BOOT_K}"))
-    table = B.headline(results, boot, ["strategy", "k"])
+    table = B.headline(results, B.headline_bootstrap(rows, HEADLINE, SIZES, "entity", N_BOOT), ["strategy", "k"])
     return table.select("strategy", "k", *r4("hit_raw", "ci_low", "ci_high"), "ci_kind", *r4("lift_raw", "matched_lift_raw", "matched_low", "matched_high"))
 
 
+@query(O.rated(f"SELECT strategy, n_flagged, {q4('missing_rate', 'hit_raw', 'hit_raw_missing_as_fail', 'lift_raw', 'lift_raw_missing_as_fail', 'matched_lift_raw', 'matched_lift_raw_missing_as_fail')} FROM evaluated WHERE k = 'top_decile'", evaluated=True))
+def robustness_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.robustness(_evaluated(spark, sf_dir, [0.0])).select("strategy", "n_flagged", *r4("missing_rate", "hit_raw", "hit_raw_missing_as_fail", "lift_raw", "lift_raw_missing_as_fail", "matched_lift_raw", "matched_lift_raw_missing_as_fail"))
+
+
+@query(O.rated("SELECT strategy, k, n_flagged, " + ", ".join(f"round({c}, 3) + 0.0 AS {c}" for c in ("hit_raw", "lift_raw", "matched_lift_raw", "mean_log_change")) + " FROM evaluated WHERE k <> 'top_100'", evaluated=True))
+def tuning_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = Q.rounded(_evaluated(spark, sf_dir, [0.0]).where("k <> 'top_100'"), ["strategy", "k", "n_flagged"], ["hit_raw", "lift_raw", "matched_lift_raw", "mean_log_change"], 3)
+    return shown.select("strategy", "k", "n_flagged", *((F.col(c) + 0.0).alias(c) for c in ("hit_raw", "lift_raw", "matched_lift_raw", "mean_log_change")))
+
+
 @query()
 def walk_forward_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two flag seasons, each scored by a ridge fitted on the seasons before it only."""
-    rows = panel(spark, sf_dir)
-    out = []
-    for season in (FLAGGED - 1, FLAGGED):
-        _, fitted, _ = L.fit_and_score("linear", rows.where(F.col("season") < season), rows.where(F.col("season") == season), [*FEATURES, "league", "position_group"])
-        df = S.strategies(S.score_frame(S.add_segments(fitted)))
-        out.append(B.evaluate(B.universes(df, [0.0]), STRATEGIES, SIZES, ["season", "floor"], "entity"))
-    return out[0].unionByName(out[1])
+    """Two flag seasons, each scored by trees and a ridge fitted on the seasons before it only: all six strategies by size."""
+    return V.run_seasons(panel(spark, sf_dir), [FLAGGED - 1, FLAGGED], FEATURE_LIST, "entity")["strategies"]
+
 
+FEATURE_LIST = [*FEATURES, "league", "position_group"]
+N_TRIALS = 15  # besides the defaults
 
 # Models ---------------------------------------------------------------------------------------------------------------
 
@@ -516,7 +543,7 @@ def category_levels_other(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
     rows = panel(spark, sf_dir)
-    return rows.where(F.col("season") <= TRAIN_LAST), rows.where(F.col("season") == FLAGGED), [*FEATURES, "league", "position_group"]
+    return rows.where(F.col("season") <= TRAIN_LAST), rows.where(F.col("season") == FLAGGED), FEATURE_LIST
 
 
 @query()
@@ -527,11 +554,10 @@ def ridge_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of five models on main features, and of the last value and ridge with value history."""
+    """Metrics of four models on main features, and of the last value and ridge with value history, all with their defaults."""
     train, valid, features = _split(spark, sf_dir)
     sets = {"main": features, "ceiling": [*features, "val_last_rel", "val_peak_rel", "val_12m_rel"]}
-    params = {"forest": {"numTrees": 20}, "boosted": {"maxIter": 10}}
-    return L.compare(train, valid, sets, {"main": ["mean", "linear", "forest", "boosted"], "ceiling": ["last_value", "linear"]}, params).drop("fit_seconds")
+    return L.compare(train, valid, sets, {"main": ["mean", "linear", "forest", "boosted"], "ceiling": ["last_value", "linear"]}).drop("fit_seconds")
 
 
 @query()
@@ -543,7 +569,7 @@ def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def holdout_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid, features = _split(spark, sf_dir)
-    return L.search_params(train, valid, features, L.search_space(2))
+    return L.search_params(train, valid, features, L.search_space(N_TRIALS))
 
 
 @query()
@@ -551,18 +577,26 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid, _ = _split(spark, sf_dir)
     numeric = list(FEATURES)
     model, _, _ = L.fit_and_score("linear", train, valid, numeric)
-    return L.permutation_importance(model, L.prepared(valid, numeric, []), numeric, "entity")
+    return L.permutation_importance(model, valid, numeric, "entity")
 
 
 def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contributions of two features to least squares on minutes, with a made weight of 0.01 for age."""
-    rows = with_fit(panel(spark, sf_dir)).where(F.col("season") == FLAGGED)
-    means = {"minutes": F.col("mean"), "age": F.lit(28.0)}
-    return X.linear_contributions(rows, {"minutes": F.col("slope"), "age": F.lit(0.01)}, means, F.col("intercept") - 0.28)
+    """Contributions to least squares on minutes and age, fitted on the seasons up to ``TRAIN_LAST``."""
+    rows, minutes, age = panel(spark, sf_dir), F.col("minutes").cast("double"), F.col("age")
+    both = [("mm", minutes, minutes), ("aa", age, age), ("ma", minutes, age), ("my", minutes, F.col("y")), ("ay", age, F.col("y"))]
+    fit = rows.where(F.col("season") <= TRAIN_LAST).agg(*(F.covar_pop(x, z).alias(n) for n, x, z in both), F.avg(minutes).alias("mean_m"), F.avg(age).alias("mean_a"), F.avg("y").alias("mean_y"))
+    fitted = rows.where(F.col("season") == FLAGGED).crossJoin(F.broadcast(fit))  # one row
+    c = F.col
+    det = c("mm") * c("aa") - c("ma") * c("ma")
+    weights = {"minutes": (c("my") * c("aa") - c("ay") * c("ma")) / det, "age": (c("ay") * c("mm") - c("my") * c("ma")) / det}
+    intercept = c("mean_y") - weights["minutes"] * c("mean_m") - weights["age"] * c("mean_a")
+    return X.linear_contributions(fitted, weights, {"minutes": c("mean_m"), "age": c("mean_a")}, intercept)
 
 
-CONTRIBUTED = """WITH_SCORED SELECT entity, season, league, minutes, age, market_index, slope * (minutes - mean) AS shap_minutes, 0.01 * (age - 28) AS shap_age, intercept + slope * mean AS base_value FROM fitted WHERE season = 1999"""
-CONTRIBUTED_SQL = O.scored("").rstrip() + ", contributed AS (" + CONTRIBUTED.replace("WITH_SCORED ", "") + "), parts AS (SELECT entity, league, 'minutes' AS feature, shap_minutes AS shap FROM contributed UNION ALL SELECT entity, league, 'age', shap_age FROM contributed)\n"
+WEIGHTS = """, two AS (SELECT covar_pop(minutes, minutes) AS mm, covar_pop(age, age) AS aa, covar_pop(minutes, age) AS ma, covar_pop(minutes, y) AS my, covar_pop(age, y) AS ay, avg(minutes) AS mean_m, avg(age) AS mean_a,
+    avg(y) AS mean_y FROM panel WHERE season <= 1998), weights AS (SELECT *, (my * aa - ay * ma) / (mm * aa - ma * ma) AS wm, (ay * mm - my * ma) / (mm * aa - ma * ma) AS wa FROM two)"""
+CONTRIBUTED = "SELECT entity, season, league, minutes, age, market_index, wm * (minutes - mean_m) AS shap_minutes, wa * (age - mean_a) AS shap_age, mean_y AS base_value FROM panel, weights WHERE season = 1999"
+CONTRIBUTED_SQL = O.scored("").rstrip() + WEIGHTS + f", contributed AS ({CONTRIBUTED}), parts AS (SELECT entity, league, 'minutes' AS feature, shap_minutes AS shap FROM contributed UNION ALL SELECT entity, league, 'age', shap_age FROM contributed)\n"
 
 
 @query(CONTRIBUTED_SQL + f"SELECT entity, {q4('shap_minutes', 'shap_age', 'base_value')} FROM contributed")
@@ -587,15 +621,63 @@ def driver_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.drivers(X.contributions(_contributions(spark, sf_dir), ["minutes", "age"], ["entity"]), ["entity"]).select("entity", "driver")
 
 
+@query(CONTRIBUTED_SQL + "SELECT entity, CASE WHEN nth = 1 THEN feature ELSE 'all other' END AS feature, round(sum(shap), 4) + 0.0 AS shap FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY abs(shap) DESC, feature) AS nth FROM parts) GROUP BY 1, 2")
+def largest_and_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = X.contributions(_contributions(spark, sf_dir), ["minutes", "age"], ["entity"])
+    return X.head_and_rest(long, ["entity"], 1).select("entity", "feature", *r4("shap"))
+
+
+@query(CONTRIBUTED_SQL + "SELECT feature, round(avg(abs(shap)), 4) AS mean_abs_shap FROM parts GROUP BY feature ORDER BY avg(abs(shap)) DESC, feature LIMIT 1")
+def most_important(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.most_important(X.contributions(_contributions(spark, sf_dir), ["minutes", "age"], ["entity"]), 1).select("feature", *r4("mean_abs_shap"))
+
+
 @query()
 def tree_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contributions of a small boosted ensemble; with the base they sum to its prediction."""
-    train, valid, _ = _split(spark, sf_dir)
-    names = ["minutes", "apps", "age"]
-    vectors = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip")
-    model = GBTRegressor(labelCol="y", maxIter=5, maxDepth=3, seed=L.SEED).fit(vectors.transform(train))
-    parts = L.tree_contributions(model, model.transform(vectors.transform(valid)), "features", len(names), ["entity", "prediction"])
-    return parts.withColumnsRenamed({f"c{i}": f"shap_{n}" for i, n in enumerate(names)})
+    """Exact Shapley values of the boosted trees with their default parameters, by feature; with the base they sum to the prediction."""
+    train, valid, features = _split(spark, sf_dir)
+    model, _, _ = L.fit_and_score("boosted", train, valid, features)
+    return L.explain_trees(model, valid, features, KEY)
+
+
+@query()
+def gain_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, valid, features = _split(spark, sf_dir)
+    model, _, _ = L.fit_and_score("boosted", train, valid, features)
+    return L.gain_importance(model, train)
+
+
+@query()
+def live_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last season scored by trees of all seasons before, with contributions and top factors, read back from where the job wrote it."""
+    return V.run_live(panel(spark, sf_dir), FLAGGED, FEATURE_LIST, "entity", ["name", "target_date", "target_value", "market_index", "y"], folder=fresh_folder(spark, "live"))
+
+
+@query()
+def saved_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A season's predictions by a ridge that was saved and loaded."""
+    train, valid, features = _split(spark, sf_dir)
+    folder = fresh_folder(spark, "model")
+    save_model(L.fit_and_score("linear", train, valid, features)[0], folder)
+    return L.predict(load_model(folder), valid).select(*KEY, "y_hat")
+
+
+@query()
+def test_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ceiling = [*FEATURE_LIST, "val_last_rel", "val_peak_rel", "val_12m_rel"]
+    candidates = {"boosted": ("boosted", FEATURE_LIST, None), "linear": ("linear", FEATURE_LIST, None), "ceiling_boosted": ("boosted", ceiling, None), "last_value": ("last_value", ceiling, None)}
+    return V.run_test(panel(spark, sf_dir), FLAGGED, candidates)[0]
+
+
+@query()
+def predicted_band_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.run_intervals(panel(spark, sf_dir), FLAGGED, FEATURE_LIST)
+
+
+@query()
+def feature_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does the ridge need the trend features? The difference of errors, its interval, the decision."""
+    return V.decide(panel(spark, sf_dir), FLAGGED, FEATURE_LIST, ["prev_minutes", "l3_minutes"], "entity", "linear")
 
 
 # Serving --------------------------------------------------------------------------------------------------------------
@@ -642,6 +724,34 @@ def filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.filter_options(panel(spark, sf_dir), ["league", "position_group"], ["apps"])
 
 
+@query(O.scored("SELECT entity, name, league, position_group, round(target_value, 1) AS target_value FROM scored ORDER BY target_value DESC, entity"))
+def all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Q.listing(scored(spark, sf_dir), ["entity", "name", "league", "position_group", "target_value"], "target_value", "entity")
+    return rows.withColumn("target_value", F.round("target_value", 1))
+
+
+@query(O.scored("SELECT DISTINCT CAST(season AS VARCHAR) || '/' || lpad(CAST((season + 1) % 100 AS VARCHAR), 2, '0') AS season_label, round(market_index, 4) AS market_index FROM scored"))
+def live_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.scalars(scored(spark, sf_dir).withColumn("season_label", K.season_label(F.col("season"))), ["season_label", "market_index"]).select("season_label", *r4("market_index"))
+
+
+@query(O.scored(f"SELECT 'least squares' AS model, count(*) AS players, {', '.join(f'round({e}, 3) AS {n}' for n, e in (('typical_error', 'sqrt(avg((y_hat - y) * (y_hat - y)))'), ('explained', '1 - sum((y_hat - y) * (y_hat - y)) / (count(*) * var_pop(y))')))}, round((exp(quantile_cont(abs(y_hat - y), 0.5)) - 1) * 100, 1) AS median_error_pct FROM scored"))
+def accuracy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.accuracy(S.error_table(scored(spark, sf_dir), []).select(F.lit("least_squares").alias("model"), "*"), {"least_squares": "least squares"})
+
+
+@query(O.scored("""SELECT entity, name, round(target_value, 1) AS target_value, round(pred_value * exp(coalesce(q.q10, o.q10)), 1) AS low_80, round(pred_value * exp(coalesce(q.q90, o.q90)), 1) AS high_80, apps, minutes, goals
+    FROM scored s LEFT JOIN (SELECT value_band AS band, quantile_cont(y - y_hat, 0.1) AS q10, quantile_cont(y - y_hat, 0.9) AS q90 FROM scored GROUP BY 1) q
+    ON q.band = CASE WHEN pred_value < 1e6 THEN '<€1M' WHEN pred_value < 5e6 THEN '€1-5M' WHEN pred_value < 20e6 THEN '€5-20M' ELSE '€20M+' END,
+    (SELECT quantile_cont(y - y_hat, 0.1) AS q10, quantile_cont(y - y_hat, 0.9) AS q90 FROM scored) o WHERE entity = (SELECT min(entity) FROM scored)"""))
+def entity_with_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entity's profile with its statistics and the range around its prediction."""
+    rows = scored(spark, sf_dir)
+    table = S.residual_quantiles(rows, "value_band", F.col("y") - F.col("y_hat"))
+    one = Q.profile(rows, "entity", rows.agg(F.min("entity")).first()[0], ["name", "target_value"], ["apps", "minutes", "goals"], table)
+    return one.select("entity", "name", F.round("target_value", 1).alias("target_value"), F.round("range.low_80", 1).alias("low_80"), F.round("range.high_80", 1).alias("high_80"), "stats.*")
+
+
 @query(CONTRIBUTED_SQL + """SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY abs(shap) DESC, feature) AS nth, feature, CASE feature WHEN 'age' THEN 'Age' ELSE 'Minutes' END AS label, round(shap, 4) + 0.0 AS shap,
     round((exp(shap) - 1) * 100, 2) + 0.0 AS effect_pct FROM parts""")
 def explain_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -656,6 +766,4 @@ def batch_predict_missing_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid, features = _split(spark, sf_dir)
     model, _, _ = L.fit_and_score("linear", train, valid, features)
     rows = Q.with_missing(valid.select("entity", "market_index", "minutes", "age", "league"), features, ["entity", "market_index"])
-    numeric, categorical = L.split_columns(train, features)
-    rows = L.prepared(L.freeze_levels(train, rows, categorical), numeric, categorical)
     return model.transform(rows).select("entity", "y_hat", K.to_value(F.col("y_hat"), F.col("market_index")).alias("pred_value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from uuid import uuid4
 
@@ -57,17 +58,27 @@ def read_relations(spark: SparkSession, folder: str, cutoff=None) -> dict[str, D
     return {name: read_relation(spark, folder, name, cutoff) for name in RELATIONS}
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder of spark.checkpoint.dir and read from there: what follows has a short plan
-    and survives lost executors. Where that setting is unset, as in tests, a new folder of our own is taken."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset: on one machine, as in tests, a new folder of our own; on a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/stored-{uuid4()}"
+    return folder
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_folder(spark)}/{name}-{uuid4()}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read from there: what follows has a short plan and survives lost executors."""
+    path = fresh_folder(df.sparkSession, "stored")
     df.write.parquet(path, compression="zstd")
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def write_panel(panel: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -1,12 +1,11 @@
 """Repeated passages across documents, exact or with small edits, by collinear chaining of shared word k-mers.
 
 Seeds. In each window of neighbouring k-mers the one with the smallest hash is a seed, so that two copies of a run of
-words have the same seeds. Occurrences of a seed are joined with its first one (smallest document, then position), not
-with each other: a passage in n documents gives n - 1 links a seed. Where neighbouring seeds of a document lead to several
-documents or places, all seeds of a stretch of ``min_words`` - ``window`` words together are a second kind of seed, which is
-joined with its own first occurrence. So documents that share a passage are compared even if each of its lines and phrases
-occurs earlier somewhere else. Not seen is a passage of which every such stretch occurs in a still earlier document, there
-with too little around it to be a passage.
+words have the same seeds. Occurrences of a seed are sorted by document and position, over ranges of (seed, place) so that
+a frequent seed lies in many tasks, and each is joined with the first one and with the last one of the document before it:
+two links an occurrence, however many there are. Where neighbouring seeds of a document lead to different places, short
+runs of ``RUNS`` of them together are a second kind of seed, joined in the same way. So a passage is also found where each
+of its phrases has an earlier owner, or another one in between: some run of it has not.
 
 Chains. Of two documents, the seeds that lie in the same order in both are chained: a chain's score is the seeds' worth
 less a cost for the gaps on both sides, and a Fenwick tree over the source's positions gives each seed its best
@@ -21,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut, few_rows, fresh_name, hot_keys, likely_among, salted_join, slices, written
+from .common import WORD_PATTERN, few_rows, fresh_name, likely_among, slices, written
 from .lm_scoring import words_of
 from .near_dedup import _GOLD, mix
 
 _WORD = re.compile(WORD_PATTERN)
 GRID, MARGIN = 64, 64
+SHORT = 3  # words of the runs that a candidate's pieces are compared by
+RUNS = (2, 4, 8)  # seeds that stand together as one
 MOST_CELLS = 1 << 28  # of a gap between two seeds: larger ones are aligned at their ends only
 
 
@@ -194,6 +195,25 @@ def runs_of(a: list, b: list, seeds: list[tuple[int, int]], k: int, drop: int =
     return runs
 
 
+def seeded_again(a: list, b: list, span: tuple[int, int], least: float, gap_cost: float) -> list[tuple[int, int]]:
+    """The best chain of all ``SHORT``-word runs that two pieces have in common, of those that meet ``span`` of the first; none if too
+    few words are common for a passage. Runs that a piece repeats often tell nothing and are left out."""
+    common = set(a) & set(b)
+    if sum(w in common for w in a) < least or sum(w in common for w in b) < least:
+        return []
+    where: dict[tuple, list[int]] = {}
+    for j in range(len(b) - SHORT + 1):
+        where.setdefault(tuple(b[j : j + SHORT]), []).append(j)
+    pairs = sorted((i, j) for i in range(len(a) - SHORT + 1) for j in where.get(tuple(a[i : i + SHORT]), ())[:4])
+    if not pairs:
+        return []
+    pos, source = (list(x) for x in zip(*pairs, strict=True))
+    for members in chained(pos, source, SHORT, gap_cost):
+        if pos[members[0]] < span[1] and pos[members[-1]] + SHORT > span[0]:
+            return [(pos[i], source[i]) for i in members]
+    return []
+
+
 def parts(runs: list[list[int]], min_words: int, min_identity: float, k: int) -> list[tuple[int, int, int, int, float]]:
     """The longest stretch of runs that is long and alike enough, then the longest before and after it, and so on.
 
@@ -230,25 +250,122 @@ def parts(runs: list[list[int]], min_words: int, min_identity: float, k: int) ->
     return sorted(out)
 
 
-def stretches_of(found: list[tuple], k: int, window: int, min_words: int) -> list[tuple[int, int, int]]:
-    """(position, hash, words to the last seed's position) of stretches of shared seeds that lead to several places.
+def runs_of_seeds(found: list[tuple], window: int) -> list[tuple[int, int, int]]:
+    """(position, hash, words to the last seed's position) of runs of shared seeds that lead to different places.
 
-    ``found`` has (position, hash, source, position in the source), sorted. A stretch begins at a seed and has all seeds of
-    the next ``min_words`` - ``window`` words, so that a passage of ``min_words`` holds one. Where all its seeds lead to one
-    place of one source, that source is seen without it.
+    ``found`` has (position, hash, first source, its position, last source, its position), sorted. Where all seeds of a run lead to
+    the same two places, those sources are seen without it.
     """
-    if not found:
+    if len(found) < RUNS[0]:
         return []
     at, codes = np.array([f[0] for f in found]), np.array([f[1] for f in found], np.int64)
-    place = [(s, q - p) for p, _, s, q in found]
-    last = np.searchsorted(at, at + min_words - window - k, "right") - 1
-    gaps = np.append(0, np.cumsum(np.diff(at) > window))  # a wider gap has a seed that no other document has
+    place = [(s, q - p, t, r if t is None else r - p) for p, _, s, q, t, r in found]
+    breaks = np.append(0, np.cumsum(np.diff(at) > window))  # between them is a seed that no other document has
     changes = np.append(0, np.cumsum([x != y for x, y in zip(place, place[1:], strict=False)]))
-    fits = (at[last] + k - at >= min_words - 2 * window) & (gaps[last] == gaps) & (changes[last] > changes)
-    return [
-        (int(at[i]), xxhash.xxh3_64_intdigest(codes[i : last[i] + 1].tobytes() + (at[i : last[i] + 1] - at[i]).tobytes()) - (1 << 63), int(at[last[i]] - at[i]))
-        for i in np.flatnonzero(fits).tolist()
-    ]
+    out = []
+    for n in RUNS:
+        i = np.arange(len(at) - n + 1)
+        for i in i[(breaks[i + n - 1] == breaks[i]) & (changes[i + n - 1] > changes[i])].tolist():
+            run = slice(i, i + n)
+            out.append((int(at[i]), xxhash.xxh3_64_intdigest(codes[run].tobytes() + (at[run] - at[i]).tobytes()) - (1 << 63), int(at[i + n - 1] - at[i])))
+    return out
+
+
+LINK = ["kind", "seg", "code", "doc_id", "at", "source_id", "source_at", "last_id", "last_at"]
+CLOSED, OPEN, STATE = 0, 1, 2
+
+
+def _links(batches: Iterator[pa.RecordBatch], packed: bool) -> Iterator[pa.RecordBatch]:
+    """Of the task's occurrences, sorted by code and place: each with the first one of its code and the last one of the document
+    before its own (which is left out where it is the first).
+
+    Occurrences of the task's first code are OPEN: earlier tasks can have more of it. For its last code a STATE row says what
+    later tasks need: first place, last place, and in ``last`` the last place of the document before that of the last one.
+    """
+    from pyspark import TaskContext
+
+    seg = TaskContext.get().partitionId()
+    held: list[tuple] = []  # (code, doc, at) of the current code: its first place, the last one of the document before, the last one
+    opening = kind = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = batch.column("code").to_numpy()
+        if packed:
+            place = batch.column("place").to_numpy()
+            doc, at, kind = place >> 24, place & ((1 << 24) - 1), pa.int64()
+        else:
+            doc, at, kind = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("at").to_numpy(), batch.schema.field("doc_id").type
+        opening = int(code[0]) if opening is None else opening
+        ghosts = len(held)
+        if ghosts:
+            code = np.concatenate([np.array([h[0] for h in held], np.int64), code])
+            before = np.empty(ghosts, doc.dtype)
+            before[:] = [h[1] for h in held]
+            doc, at = np.concatenate([before, doc]), np.concatenate([np.array([h[2] for h in held], at.dtype), at])
+        n, index = len(code), np.arange(len(code))
+        new_code = np.append(True, code[1:] != code[:-1])
+        new_doc = new_code | np.append(True, doc[1:] != doc[:-1])
+        first, run = (np.maximum.accumulate(np.where(x, index, 0)) for x in (new_code, new_doc))
+        last = np.where(run > first, run - 1, -1)  # of the document before
+        held = [(int(code[i]), doc[i], int(at[i])) for i in dict.fromkeys([first[-1], last[-1], n - 1]) if i >= 0]
+        held.sort(key=lambda h: (h[1], h[2]))
+        keep = index >= ghosts
+        is_open = code == opening
+        keep &= is_open | (last >= 0)
+        own = np.flatnonzero(keep)
+        there, more = last[own] >= 0, (last[own] >= 0) & (last[own] != first[own])
+        take = lambda values, at_, ok: pa.array(values[np.maximum(at_, 0)], mask=~ok)
+        yield pa.record_batch([
+            pa.array(is_open[own].astype(np.int32)), pa.array(np.full(len(own), seg, np.int32)), pa.array(code[own]), pa.array(doc[own], kind), pa.array(at[own].astype(np.int32)),
+            take(doc, first[own], there).cast(kind), take(at.astype(np.int32), first[own], there), take(doc, last[own], more).cast(kind), take(at.astype(np.int32), last[own], more),
+        ], LINK)
+    if held:
+        first, last = held[0], held[-1]
+        before = max((h for h in held if h[1] != last[1]), key=lambda h: (h[1], h[2]), default=None)
+        row = [STATE, seg, first[0], first[1], first[2], last[1], last[2], before and before[1], before and before[2]]
+        types = [pa.int32(), pa.int32(), pa.int64(), kind, pa.int32(), kind, pa.int32(), kind, pa.int32()]
+        yield pa.record_batch([pa.array([x.item() if isinstance(x, np.generic) else x], t) for x, t in zip(row, types, strict=True)], LINK)
+
+
+def _settled(batches: Iterator[pa.RecordBatch], states: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """OPEN rows with what earlier tasks had of their code. ``states``: code -> (seg, first place, last place, place before), by task."""
+    for batch in batches:
+        rows = []
+        for _, seg, code, doc, at, *own in zip(*(batch.column(c).to_pylist() for c in LINK), strict=True):
+            earlier = [s for s in states.get(code, ()) if s[0] < seg]
+            first, last = (own[0], own[1]), (own[2], own[3])
+            if earlier:
+                before = last if last[0] is not None else first
+                first = earlier[0][1]
+                if before[0] is None:  # no other document before in its own task
+                    before = next((p for s in earlier[::-1] for p in (s[2], s[3]) if p[0] is not None and p[0] != doc), (None, None))
+                last = before if before != first else (None, None)
+            if first[0] is not None and first[0] != doc:
+                rows.append((CLOSED, seg, code, doc, at, *first, *last))
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(LINK), batch.schema, strict=True)], LINK)
+
+
+def linked(occurrences: DataFrame, packed: bool, kind: str) -> DataFrame:
+    """(code, doc_id, at, source_id, source_at, last_id, last_at) of every occurrence whose code an earlier document has.
+
+    Sorted ranges of (code, place) are tasks, so a code that a third of all rows have lies in many. Of each task's last code
+    a row reaches the driver: as many as there are shuffle partitions.
+    """
+    spark = occurrences.sparkSession
+    order = ["code", "place"] if packed else ["code", "doc_id", "at"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = f"kind int, seg int, code bigint, doc_id {kind}, at int, source_id {kind}, source_at int, last_id {kind}, last_at int"
+    inner = schema.replace(kind, "bigint") if packed else schema
+    found = occurrences.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(partial(_links, packed=packed), inner)
+    if packed and kind != "bigint":
+        found = found.withColumns({c: F.col(c).cast(kind) for c in ("doc_id", "source_id", "last_id")})
+    found = written(found)
+    states: dict[int, list[tuple]] = {}
+    for r in found.where(F.col("kind") == STATE).orderBy("seg").collect():  # a row a partition
+        states.setdefault(r["code"], []).append((r["seg"], (r["doc_id"], r["at"]), (r["source_id"], r["source_at"]), (r["last_id"], r["last_at"])))
+    again = found.where(F.col("kind") == OPEN).mapInArrow(partial(_settled, states=states), schema)
+    return found.where(F.col("kind") == CLOSED).unionByName(again).drop("kind", "seg")
 
 
 def repeated_passages(
@@ -259,7 +376,8 @@ def repeated_passages(
 
     Words (lower-cased A-Z) are numbered from 0, ends are exclusive. A run of k + window - 1 equal words has a seed in
     common for certain. A passage has ``min_words`` words or more, and ``min_identity`` of them in common with its source.
-    Exact passages are found for certain; of edited ones those that share two seeds in order (the README has the recall).
+    Found are passages of which two seeds in order, or a run of them, lead to a source: to its first owner, or to the last
+    document before (the README has the recall, with earlier owners and without).
 
     The source is the document with the smaller id. Passages of a document can overlap if they have several sources.
     Null ids, null and short texts have none. Rows that share an id aren't compared with each other; each is with others.
@@ -292,51 +410,48 @@ def repeated_passages(
     # a place, document and position, as one number where ids and texts are small enough: half the bytes to sort and shuffle
     least, most, longest = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
     small = kind in ("bigint", "int") and least is not None and least >= 0 and most < 1 << 38 and longest < 1 << 25
-    place = F.shiftleft(F.col("doc_id").cast("bigint"), 24).bitwiseOR(F.col("at").cast("bigint")) if small else F.struct("doc_id", "at")
-    doc_of = (lambda p: F.shiftright(p, 24).cast(kind)) if small else (lambda p: p["doc_id"])
-    at_of = (lambda p: p.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")) if small else (lambda p: p["at"])
-    seeds = written(packed.select("doc_id", F.inline(F.arrays_zip("codes", "at")).alias("code", "at")).select("code", place.alias("place")))
-    owners = seeds.groupBy("code").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
-    owners = cut(owners.where(doc_of(F.col("first")) < doc_of(F.col("last"))).select("code", "first", "n"))
-    matches = salted_join(seeds, owners.select("code", "first"), "code", hot_keys(owners, "code", "n")).select(
-        "code", doc_of(F.col("place")).alias("doc_id"), at_of(F.col("place")).alias("at"), F.lit(0).alias("more"),
-        doc_of(F.col("first")).alias("source_id"), at_of(F.col("first")).alias("source_at"),
-    )
+    place = F.shiftleft(F.col("doc_id").cast("bigint"), 24).bitwiseOR(F.col("at").cast("bigint")).alias("place")
+    placed = (lambda df: df.select("code", place)) if small else (lambda df: df.select("code", "doc_id", "at"))
+    seeds = written(placed(packed.select("doc_id", F.inline(F.arrays_zip("codes", "at")).alias("code", "at"))))
+    matches = linked(seeds, small, kind).withColumn("more", F.lit(0))
     CHAIN = ["doc_id", "source_id", "lo", "hi", "source_lo", "source_hi", "at", "source_at", "codes", "more"]
     schema = f"doc_id {kind}, source_id {kind}, lo int, hi int, source_lo int, source_hi int, at array<int>, source_at array<int>, codes array<bigint>, more array<int>"
 
     def link(batches: Iterator[pa.RecordBatch], again: bool) -> Iterator[pa.RecordBatch]:
-        """A document's chains with each source, and at first a row of its stretches (without source)."""
+        """A document's chains with each source, and at first a row of its runs of seeds (without source)."""
         for batch in few_rows(batches):
             rows = []
-            for d, *lists in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "code", "more", "source_id", "source_at")), strict=True):
-                found = sorted(zip(*lists, strict=True))
+            for d, *lists in zip(*(batch.column(c).to_pylist() for c in ("doc_id", *LISTS)), strict=True):
+                found = sorted(zip(*lists, strict=True), key=lambda f: f[:2])
                 of: dict = {}
-                for at, _, more, s, source_at in found:
-                    if s != d:
-                        of.setdefault(s, set()).update({(at, source_at), (at + more, source_at + more)})
+                for at, _, more, *sources in found:
+                    for s, source_at in (sources[:2], sources[2:]):
+                        if s is not None and s != d:
+                            of.setdefault(s, set()).update({(at, source_at), (at + more, source_at + more)})
                 for s, pairs in of.items():
                     pos, source = (list(x) for x in zip(*sorted(pairs), strict=True))
                     for members in chained(pos, source, k, gap_cost):
                         places, sources = [pos[i] for i in members], [source[i] for i in members]
-                        if len(members) > 1 or k + 2 * (k + window) >= min_words:
+                        if len(members) > 2 or (len(members) == 2 and _alike_gaps(places, sources, min_words, min_identity)) or k + 2 * (k + window) >= min_words:
                             rows.append((d, s, *_grid(places[0], places[-1] + k), *_grid(sources[0], sources[-1] + k), places, sources, None, None))
-                stretches = [] if again else stretches_of([(p, c, s, q) for p, c, _, s, q in found], k, window, min_words)
-                if stretches:
-                    at, codes, more = (list(x) for x in zip(*stretches, strict=True))
+                runs = [] if again else runs_of_seeds([(p, c, *x) for p, c, _, *x in found], window)
+                if runs:
+                    at, codes, more = (list(x) for x in zip(*runs, strict=True))
                     rows.append((d, None, None, None, None, None, at, None, codes, more))
             i32, t = pa.int32(), batch.schema.field("doc_id").type
             types = [t, t, i32, i32, i32, i32, pa.list_(i32), pa.list_(i32), pa.list_(pa.int64()), pa.list_(i32)]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 10, types, strict=True)], CHAIN)
 
-    lists = [F.collect_list(c).alias(c) for c in ("at", "code", "more", "source_id", "source_at")]
-    linked = lambda m, again: written(m.groupBy("doc_id").agg(*lists).mapInArrow(partial(link, again=again), schema))
-    once = linked(matches, False)
-    left = once.where("source_id is null").select("doc_id", F.inline(F.arrays_zip("codes", "at", "more")).alias("code", "at", "more"))
-    first = left.groupBy("code").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first.doc_id < last")
-    first = cut(first.select("code", F.col("first.doc_id").alias("source_id"), F.col("first.at").alias("source_at"), "n"))
-    rounds = [once, linked(salted_join(left, first.drop("n"), "code", hot_keys(first, "code", "n")), True)]
-    chains = reduce(DataFrame.unionByName, rounds).where("source_id is not null").drop("codes", "more")
+    LISTS = ["at", "code", "more", "source_id", "source_at", "last_id", "last_at"]
+    gathered = F.collect_list(F.struct(*LISTS)).alias("all")  # nulls keep their places
+    chains_of = lambda m, again: written(
+        m.groupBy("doc_id").agg(gathered).select("doc_id", *(F.col(f"all.{c}").alias(c) for c in LISTS)).mapInArrow(partial(link, again=again), schema)
+    )
+    once = chains_of(matches, False)
+    runs = once.where("source_id is null").select("doc_id", F.inline(F.arrays_zip("codes", "at", "more")).alias("code", "at", "more"))
+    lengths = runs.select("code", "doc_id", "at", "more")
+    joint = linked(written(placed(runs)), small, kind).join(lengths, ["code", "doc_id", "at"])
+    chains = once.unionByName(chains_of(joint, True)).where("source_id is not null").drop("codes", "more")
     # The words that the alignments need, cut from the texts once: the grid makes the wanted pieces few.
     wanted = (
         chains.select("doc_id", "lo", "hi").unionByName(chains.select(F.col("source_id").alias("doc_id"), F.col("source_lo").alias("lo"), F.col("source_hi").alias("hi")))
@@ -367,9 +482,11 @@ def repeated_passages(
                 if any(a[i : i + k] != b[j : j + k] for i, j in zip(at, source_at, strict=True)):
                     continue  # the piece of another row with this id
                 whole = align(a, b, at[0], at[-1] + k, source_at[0], source_at[-1] + k)
-                if whole[1] - whole[0] < min_words:
-                    continue
-                alike = [whole] if whole[4] >= min_identity else parts(runs_of(a, b, list(zip(at, source_at, strict=True)), k), min_words, min_identity, k)
+                if whole[1] - whole[0] >= min_words and whole[4] >= min_identity:
+                    alike = [whole]
+                else:
+                    closer = seeded_again(a, b, (at[0], at[-1] + k), min_identity * min_words, gap_cost)
+                    alike = parts(runs_of(a, b, closer, SHORT), min_words, min_identity, SHORT) if closer else []
                 rows += [(d, start + lo, end + lo, s, from_ + source_lo, to + source_lo, same, _name(a[start:end])) for start, end, from_, to, same in alike]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, [t, pa.int32(), pa.int32(), t, pa.int32(), pa.int32(), pa.float64(), pa.int64()], strict=True)], OUT)
 
@@ -379,6 +496,12 @@ def repeated_passages(
     return passages.groupBy(*(c for c in OUT if c not in ("identity", "passage_hash"))).agg(F.max("identity").alias("identity"), F.max("passage_hash").alias("passage_hash"))
 
 
+def _alike_gaps(places: list[int], sources: list[int], min_words: int, min_identity: float) -> bool:
+    """Can two seeds so far apart on both sides lie in one passage? The difference is words that are missing on one side."""
+    a, b = places[-1] - places[0], sources[-1] - sources[0]
+    return abs(a - b) <= (1 - min_identity) * max(a, b, 2 * min_words)
+
+
 def _name(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 

@@ -77,14 +77,15 @@ def run_test(panel: DataFrame, season: int, candidates: dict[str, tuple[str, lis
     return report, by_segment
 
 
-def run_live(panel: DataFrame, season: int, features: list[str], key: str, display: list[str], params: dict | None = None, folder: str | None = None, k: int = 5) -> DataFrame:
+def run_live(panel: DataFrame, season: int, features: list[str], key: str, display: list[str], params: dict | None = None, folder: str | None = None, k: int = 5, model=None) -> DataFrame:
     """The live season's table: ``display``, features, scores, top factors as JSON, and a contribution shap_<feature> of each feature.
 
-    Trees are fitted on all seasons before it. Contributions must add up to the prediction, or the job fails. With a
+    Trees are fitted on all seasons before it, unless a fitted ``model`` is given. Contributions must add up to the prediction, or the job fails. With a
     ``folder``, the model, the table and the overall importance are written there, for ``load_model`` and readers.
     """
     train, rows = panel.where(F.col("season") < season), panel.where(F.col("season") == season)
-    model, scored, _ = L.fit_and_score("boosted", train, rows, features, params)
+    model = L.fit_and_score("boosted", train, rows, features, params)[0] if model is None else model
+    scored = L.predict(model, rows)
     shap = stored(L.explain_trees(model, rows, features, [key, "season"]))
     total = reduce(lambda a, b: a + b, (F.col(f"shap_{f}") for f in features), F.col("base_value"))
     off = shap.agg(F.max(F.abs(total - F.col("y_hat")))).first()[0] or 0.0
@@ -102,10 +103,11 @@ def run_live(panel: DataFrame, season: int, features: list[str], key: str, displ
     return table
 
 
-def run_intervals(panel: DataFrame, season: int, features: list[str], params: dict | None = None) -> DataFrame:
-    """Residual quantiles of the test season's model, for all rows and by the band of the predicted value."""
+def run_intervals(panel: DataFrame, season: int, features: list[str], params: dict | None = None, model=None) -> DataFrame:
+    """Residual quantiles of the test season's model (or of the fitted ``model``), for all rows and by the band of the predicted value."""
     train, rows = panel.where(F.col("season") < season), panel.where(F.col("season") == season)
-    scored = L.fit_and_score("boosted", train, rows, features, params)[1]
+    model = L.fit_and_score("boosted", train, rows, features, params)[0] if model is None else model
+    scored = L.predict(model, rows)
     predicted = F.exp(F.col("y_hat") + F.col("market_index"))
     banded = S.add_segments(scored.withColumn("_pred", predicted), value="_pred")
     return S.residual_quantiles(banded, "value_band", F.col("y") - F.col("y_hat"), C.INTERVAL_QUANTILES)

@@ -546,6 +546,20 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list
     return rows.where(F.col("season") <= TRAIN_LAST), rows.where(F.col("season") == FLAGGED), FEATURE_LIST
 
 
+TREES: dict[tuple, str] = {}
+
+
+def _trees(spark: SparkSession, sf_dir: str):
+    """The boosted trees of the seasons before the flagged one, with their defaults: fitted and saved once a session and folder, then loaded."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in TREES:
+        train, valid, features = _split(spark, sf_dir)
+        folder = fresh_folder(spark, "trees")
+        save_model(L.fit_and_score("boosted", train, valid, features)[0], folder)
+        TREES[key] = folder
+    return load_model(TREES[key])
+
+
 @query()
 def ridge_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid, features = _split(spark, sf_dir)
@@ -635,22 +649,19 @@ def most_important(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tree_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact Shapley values of the boosted trees with their default parameters, by feature; with the base they sum to the prediction."""
-    train, valid, features = _split(spark, sf_dir)
-    model, _, _ = L.fit_and_score("boosted", train, valid, features)
-    return L.explain_trees(model, valid, features, KEY)
+    _, valid, features = _split(spark, sf_dir)
+    return L.explain_trees(_trees(spark, sf_dir), valid, features, KEY)
 
 
 @query()
 def gain_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, valid, features = _split(spark, sf_dir)
-    model, _, _ = L.fit_and_score("boosted", train, valid, features)
-    return L.gain_importance(model, train)
+    return L.gain_importance(_trees(spark, sf_dir), _split(spark, sf_dir)[0])
 
 
 @query()
 def live_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last season scored by trees of all seasons before, with contributions and top factors, read back from where the job wrote it."""
-    return V.run_live(panel(spark, sf_dir), FLAGGED, FEATURE_LIST, "entity", ["name", "target_date", "target_value", "market_index", "y"], folder=fresh_folder(spark, "live"))
+    return V.run_live(panel(spark, sf_dir), FLAGGED, FEATURE_LIST, "entity", ["name", "target_date", "target_value", "market_index", "y"], folder=fresh_folder(spark, "live"), model=_trees(spark, sf_dir))
 
 
 @query()
@@ -671,7 +682,7 @@ def test_season(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def predicted_band_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.run_intervals(panel(spark, sf_dir), FLAGGED, FEATURE_LIST)
+    return V.run_intervals(panel(spark, sf_dir), FLAGGED, FEATURE_LIST, model=_trees(spark, sf_dir))
 
 
 @query()

@@ -144,7 +144,7 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_repeated_passages_with_earlier_fragments(spark):
     """Earlier documents each hold a part of a passage that two later ones share whole; rows that share an id."""
     passage = words(60)
-    texts = [words(10) + passage[i * 4 : i * 4 + 14] + words(10) for i in range(11)] + [words(30) + passage + words(10), words(5) + passage + words(25)]
+    texts = [words(20) + passage[i * 4 : i * 4 + 14] + words(20) for i in range(11)] + [words(30) + passage + words(10), words(5) + passage + words(25)]
     rows = [(90 + i, " ".join(t)) for i, t in enumerate(texts)] + [(102, " ".join(words(80))), (300, " ".join(words(70))), (300, " ".join(passage))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = substring_dedup.repeated_passages(df)

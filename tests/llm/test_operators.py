@@ -215,23 +215,46 @@ def test_contamination_by_items_that_share_or_lack_an_id(spark, docs):
 
 
 def test_contamination_equals_brute_force(spark):
-    """All windows of an item's length against all items, without anchors and fingerprints."""
+    """All windows of an item's length against all items, without anchors and fingerprints: words changed, put in, left out, parts moved, lines repeated."""
     items = [words(draw.randint(12, 40)) for _ in range(12)]
+    items += [words(6) * 5 + words(10), words(70), words(90)]
     texts = []
-    for i in range(40):
-        item = items[i % 12]
-        edited = [words(1)[0] if draw.random() < draw.choice([0, 0.02, 0.06]) else w for w in item]
-        texts.append(words(draw.randint(0, 30)) + (edited if i % 3 else item[: len(item) // 2]) + words(draw.randint(0, 30)))
+    for i in range(90):
+        item = list(items[i % 15])
+        for _ in range(draw.randint(0, 4) if i % 3 else 0):
+            at = draw.randrange(len(item))
+            item[at : at + draw.randint(0, 1)] = words(draw.randint(0, 2))
+        if i % 5 == 0:
+            item = item[len(item) // 2 :] + item[: len(item) // 2]
+        texts.append(words(draw.randint(0, 30)) + (item if i % 7 else item[: len(item) // 2]) + words(draw.randint(20, 60)) + item * (i % 4 == 0) + words(draw.randint(0, 8)))
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
     want = {}
     for i, t in enumerate(texts):
         for j, item in enumerate(items):
-            best = max((similarity(shingles(t[s : s + len(item)], 5), shingles(item, 5)) for s in range(len(t) - len(item) + 1)), default=0)
+            best = max((similarity(shingles(t[s : s + len(item)], 5), shingles(item, 5)) for s in range(max(len(t) - 4, 1))), default=0)
             if best >= 0.8:
                 want[i, j] = best
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated_documents(docs, bench).collect()}
-    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want) and len(want) > 10
+    for listed, sent in ((20_000, 2_000_000), (0, 0)):
+        rows = decontamination.contaminated_documents(docs, bench, most_listed=listed, most_sent=sent).collect()
+        got = {(r.doc_id, r.item_id): r.similarity for r in rows}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want) and len(want) > 30
+
+
+def test_contamination_by_long_items(spark):
+    """An item of 5,000 words with a line that repeats, in documents that lack some of its words or have others besides."""
+    item = words(2500) + words(8) * 10 + words(2420)
+    put_in, left_out = list(item), [w for i, w in enumerate(item) if i % 97]
+    for at in range(4900, 0, -120):
+        put_in[at:at] = words(2)
+    texts = [words(50) + item + words(50), words(10) + put_in + words(10), left_out + words(300), words(5000), item[:2500] + words(2500)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "zz yy")], "item_id long, text string")
+    got = {r.doc_id: (r.start_word, r.similarity) for r in decontamination.contaminated_documents(docs, bench).collect()}
+    assert got.keys() == {0, 1, 2} and got[0] == (50, 1.0)
+    for i in (1, 2):
+        best = similarity(shingles(texts[i][got[i][0] : got[i][0] + len(item)], 5), shingles(item, 5))
+        assert got[i][1] == pytest.approx(best) and best >= 0.8
 
 
 def test_quality(docs):

@@ -1,5 +1,6 @@
 """Each operator on small tables: results against brute force, and nulls, empties, ties, repeats and clashing columns."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -51,8 +52,6 @@ def test_backoff_scores(docs):
     tokens = [w for t in train for w in [*lm_scoring.words_of(t), lm_scoring.END]]
     counts = Counter(tokens)
     assert {r.train_tokens for r in rows} == {len(tokens)}
-    import math
-
     for r in rows:
         if r.doc_id == 9:
             mine = [b"one", b"two", b"three", lm_scoring.END]
@@ -269,6 +268,51 @@ def test_quality(docs):
     assert quality_rules.judge_quality(docs.limit(0)).count() == 0
 
 
+def test_quality_equals_brute_force(spark):
+    """Symbols, distances and verdicts, the references counted by hand over the other documents; a language of one junk text, and of few words."""
+    import re
+
+    def text(vocabulary, n):
+        return "".join(draw.choice(vocabulary) + draw.choice([" ", " ", ", ", "\n", ". A", " 7"]) for _ in range(n))
+
+    mine, other = words(60) + ["a", "the", "of"] * 20, [w.upper() for w in words(50)] + ["é", "ü", "über"] * 10
+    rows = [(i, text(mine, 120), "en") for i in range(30)] + [(30 + i, text(other, 110), "de") for i in range(25)]
+    rows += [(60, "|#$% <>* |#$ %& " * 80, "xx"), (61, text(other, 150), "yy"), (62, text(mine, 60), "yy"), (63, "|| ## " * 90, "en"), (64, text(other, 200), "en"), (65, None, None), (66, text(mine, 20), None)]
+    space = "[ \t-\r]"
+    kinds = [space, "[A-Z]", "[0-9]", "[#*$%&|<>]", quality_rules.CLASSES["marks"], "[^\x00-\x7f]"]
+    classes = {i: [float(len(re.findall(p, t or ""))) for p in kinds] for i, t, _ in rows}
+    for i, t, _ in rows:
+        classes[i].append(len(t or "") - sum(classes[i]))
+    by_lang, commons = {}, {}
+    for _, t, lang in rows:
+        by_lang.setdefault(lang, Counter()).update(w for w in (t or "").lower().split() if len(w) <= 6 and w.isalpha())
+    listed = {lang: sorted(c, key=lambda w: (-c[w], w.encode()))[:16] for lang, c in by_lang.items()}
+    for i, t, lang in rows:
+        ws = (t or "").lower().split()
+        commons[i] = [float(sum(w not in listed[lang] for w in ws))] + [float(ws.count(w)) for w in listed[lang]]
+
+    def apart(p, q):
+        if not sum(p) or not sum(q):
+            return None
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        kl = lambda x, y: x * math.log2(2 * x / (x + y)) if x else 0.0
+        return math.sqrt(min(max(sum(kl(x, y) + kl(y, x) for x, y in zip(p, q, strict=True)) / 2, 0), 1))
+
+    added = lambda arrays, n: [sum(a[j] for a in arrays) for j in range(n)]
+    got = {r.doc_id: r for r in quality_rules.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    for i, t, lang in rows:
+        same, all_others = [j for j, _, x in rows if x == lang and j != i], [j for j, _, _ in rows if j != i]
+        own, enough = sum(sum(commons[j]) for j in same) >= 1000, sum(sum(commons[j]) for j in all_others) >= 1000
+        c = apart(classes[i], added([classes[j] for j in (same if own else all_others)], 7)) if own or enough else None
+        w = apart(commons[i], added([commons[j] for j in same], len(commons[i]))) if own else None
+        far = (sum(classes[i]) >= 200 and c is not None and c > 0.25) or (sum(commons[i]) >= 100 and w is not None and w > 0.27)
+        r = got[i]
+        assert r.class_distance == (None if c is None else pytest.approx(c, abs=1e-9)) and r.word_distance == (None if w is None else pytest.approx(w, abs=1e-9)), i
+        assert r.kept == (not r.base_failed and not far) and r.n_symbols == classes[i][3], i
+    assert got[60].class_distance > 0.5 and got[61].word_distance is None and got[64].word_distance > 0.27 and any(r.kept for r in got.values())
+
+
 def test_js_distance(spark):
     row = spark.range(1).select(*(quality_rules.js_distance(F.array(*map(F.lit, p)), F.array(*map(F.lit, q))).alias(n) for n, p, q in (
         ("same", (1.0, 3.0), (2.0, 6.0)), ("apart", (1.0, 0.0), (0.0, 5.0)), ("empty", (0.0, 0.0), (1.0, 1.0)),

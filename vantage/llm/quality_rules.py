@@ -1,7 +1,7 @@
 """Quality by distribution divergence, in DataFrame expressions.
 
 A document's histograms of character classes and of common words are compared with those of its language, which are
-counted over all documents. The Jensen-Shannon distance (base 2, 0 to 1) says how far they are apart. Documents too
+counted over all other documents. The Jensen-Shannon distance (base 2, 0 to 1) says how far they are apart. Documents too
 short for a histogram to mean anything aren't judged by it.
 """
 
@@ -38,6 +38,10 @@ def js_distance(p: Column, q: Column) -> Column:
     return let(pair, lambda s: F.when(s["p"].isNotNull() & s["q"].isNotNull(), divergence(s)))
 
 
+def total(counts: str) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
+
+
 def repeated_words(ws: Column) -> Column:
     """How many words lie in a window of three words that the text has twice or more, by the windows' 64-bit hashes."""
     n = F.size(ws)
@@ -91,16 +95,22 @@ def measure(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
 def judge_quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n_common: int = 16, most_letters: int = 6,
     most_class_distance: float = 0.25, most_word_distance: float = 0.27, least_chars: int = 200, least_words: int = 100,
+    least_reference: int = 1000,
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
 
     kept: not base_failed, and neither histogram is too far from its language's: character classes where a document has
     ``least_chars`` characters, common words (and all others as one) where it has ``least_words`` words.
 
-    References are sums over all documents of a language; a null language counts as one. The texts are read twice, for
-    the common words and for the measures; shuffled are partial counts of short words, never texts.
+    References are sums over all documents of a language less the judged one; a null language counts as one. A language
+    whose other documents hold fewer than ``least_reference`` words is no reference: character classes are then compared
+    with those of the other documents of all languages, common words aren't judged (word_distance is null). Where these
+    are too few as well, both distances are null and kept is what the base says.
 
-    Null and blank texts have no words and fail by the base. Distances are null where a histogram is empty. Null ids and
+    The texts are read twice, for the common words and for the measures; shuffled are partial counts of short words,
+    never texts.
+
+    Null and blank texts have no words and fail by the base. Distances are null where a histogram is empty, too. Null ids and
     repeated rows are kept as they are. Empty table: no rows. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
@@ -108,12 +118,18 @@ def judge_quality(
     measured = cut(measure(docs, common))
     sizes = {"classes": len(CLASSES) + 1, "commons": max([1, *map(len, common.values())]) + 1}
     sums = [F.array(*(F.sum(F.col(c)[i]) for i in range(n))).alias(f"all_{c}") for c, n in sizes.items()]
-    reference = F.broadcast(measured.groupBy("lang").agg(*sums))  # a row a language
-    distances = measured.join(reference, "lang").select(
-        "*", js_distance(F.col("classes"), F.col("all_classes")).alias("class_distance"), js_distance(F.col("commons"), F.col("all_commons")).alias("word_distance")
-    )
+    by_lang = cut(measured.groupBy("lang").agg(*sums))  # a row a language
+    everywhere = by_lang.agg(*(F.sum(F.col("all_classes")[i]) for i in range(sizes["classes"])), F.sum(total("all_commons"))).first()
+    all_classes, all_words = F.array(*(F.lit(x) for x in everywhere[:-1])), F.lit(everywhere[-1]) - F.col("n_words")
+    others = lambda everyone, own: F.zip_with(everyone, own, lambda x, y: x - y)
+    own_lang = total("all_commons") - F.col("n_words") >= least_reference
+    class_reference = F.when(own_lang, F.col("all_classes")).when(all_words >= least_reference, all_classes)
+    distances = measured.join(F.broadcast(by_lang), "lang").select(
+        "*", js_distance(F.col("classes"), others(class_reference, F.col("classes"))).alias("class_distance"),
+        F.when(own_lang, js_distance(F.col("commons"), others(F.col("all_commons"), F.col("commons")))).alias("word_distance"),
+    )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    chars = F.aggregate("classes", F.lit(0.0), lambda s, x: s + x)
+    chars = total("classes")
     far = ((chars >= least_chars) & (F.col("class_distance") > most_class_distance)) | ((F.col("n_words") >= least_words) & (F.col("word_distance") > most_word_distance))
     return distances.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),

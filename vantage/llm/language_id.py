@@ -170,6 +170,9 @@ def identify_languages(
     crc32(id as text) mod ``held_out_mod`` isn't ``held_out_rest``. Its table (languages x ``n_cells`` numbers, a fixed
     size) is broadcast. Predictions are a map over the texts alone: no shuffle.
 
+    Sets of languages are tried in the order of the proportions that all languages get together: the first, the first
+    two, and so on, as long as the penalised likelihood rises and the next proportion is over 1 %.
+
     score: the predicted language's proportion. Null texts and texts without a letter: ``und``, 0. Nothing to learn
     from: ``und`` for all. Null ids and repeated rows are kept as they are. Empty table: no rows.
     """

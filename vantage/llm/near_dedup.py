@@ -4,9 +4,10 @@ Signature. A shingle's count is its weight. Over the axis of weights and time, e
 points each fall into one of m registers; a text with count w takes the points at weight w or below, and a register
 keeps the earliest. Two texts share a register's point with a chance equal to their weighted Jaccard similarity,
 sum of min / sum of max. Weights are discretised: the axis is cut at 1, 2, 4, 8, ..., each piece a process of its own
-rate, and a piece that w cuts is halved point by point until a point's half lies on one side (ordered like the paper's
-tree, Ertl 2018). Points come in the order of time and stop where all registers are full, so a text costs one draw a
-shingle and about m log m more.
+rate (the pieces of Ertl 2018). A piece that w cuts isn't split further as in the paper's tree: its points draw their
+weight and count where that is at most w. Which points count is the same; at most as many again are drawn as the piece
+has below w. Points come in the order of time and stop where all registers are full, so a text costs one draw a shingle
+and about m log m more.
 
 Join. Equal texts are one node, named by their digest, and only buckets of several nodes count. There are two passes.
 (1) Each bucket is dealt at random into parts of bounded size; in its part each node is paired with the few earlier ones

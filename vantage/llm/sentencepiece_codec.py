@@ -218,7 +218,11 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """doc_id, text: the inverse of ``encode_documents``. Null or empty ids give an empty text."""
+    """doc_id, text: the inverse of ``encode_documents``.
+
+    Null or empty token ids give an empty text. Null document ids and repeated rows are kept as they are. Empty table: no
+    rows. Other columns are ignored.
+    """
     with open(model_path, "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 

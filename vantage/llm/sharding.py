@@ -61,7 +61,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     cells' counts (one small row a cell, the number of cells follows the number of rows) says where each cell begins.
     So no task holds a shard. Only id, size and checksum are shuffled, never texts.
 
-    Null id: key 0. Null text: size 8, the checksum of no bytes. Repeated rows each get a row and a slot of their own.
+    Ids are integers, or texts of integers. Null id: key 0. Null text: size 8, the checksum of no bytes. Repeated rows each get a row and a slot of their own.
     Empty table: no rows. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -261,6 +261,8 @@ def repeated_passages(
     common for certain. A passage has ``min_words`` words or more, and ``min_identity`` of them in common with its source.
     Found are passages of which two seeds in order, or a stretch of them, first occur in the source. One whose seeds all have
     earlier owners elsewhere, and whose stretches are broken by edits or occur earlier too, is missed (the README has the recall).
+    So are words at an end of an exact passage, fewer than the k + window - 1 that hold a seed for certain, which the first owner of
+    the rest lacks and a later document has.
 
     The source is the document with the smaller id. Passages of a document can overlap if they have several sources.
     Null ids, null and short texts have none. Rows that share an id aren't compared with each other; each is with others.

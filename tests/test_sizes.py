@@ -1,10 +1,20 @@
-"""What holds at any size: sums that don't depend on how rows are dealt."""
+"""What holds at any size: groups too large for a task, sums that don't depend on how rows are dealt."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vantage.operators import market
+from vantage.operators import market, ordered
+from vantage.sources.relations import partitions_for
+
+
+def test_large_groups_go_through_segments_with_the_same_result(spark):
+    rows = [(g, t, 0 if t % 3 else None) for g, n in ((1, 30), (2, 3), (None, 4)) for t in range(n)]
+    events = spark.createDataFrame(rows, "g int, t int, v int").withColumn("p", F.when(F.col("v").isNotNull(), F.struct("t", (F.col("t") * 7 % 11).alias("w"))))
+    form = lambda **a: sorted(map(str, ordered.carried(events, ["g"], ["t"], "p", "last", "next", ("w", "most"), **a).select("g", "t", "last", "next", "most").collect()))
+    assert ordered.large_groups(events.select("g"), ["g"]) is None
+    assert {r._group.g for r in ordered.large_groups(events.select("g"), ["g"], 3).collect()} == {1, None}
+    assert form() == form(large=3) == form(large=0) == form(segments=5)
 
 
 def test_the_index_has_the_same_bits_however_rows_are_dealt(spark):
@@ -12,3 +22,11 @@ def test_the_index_has_the_same_bits_however_rows_are_dealt(spark):
     means = {rows.repartition(n, F.xxhash64("v", F.lit(n))).agg(market.exact_mean(F.ln("v"))).first()[0] for n in (1, 3, 7, 16)}
     plain = rows.agg(F.avg(F.ln("v"))).first()[0]
     assert len(means) == 1 and abs(means.pop() - plain) < 1e-11
+
+
+def test_partitions_grow_with_rows(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    with partitions_for(spark, 1000, each=10):
+        assert spark.conf.get(name) == "100"
+    assert spark.conf.get(name) == before

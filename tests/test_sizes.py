@@ -1,10 +1,12 @@
-"""What holds at any size: groups too large for a task, sums that don't depend on how rows are dealt."""
+"""What holds at any size: groups too large for a task, sums that don't depend on how rows are dealt, draws worked out side by side."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from vantage.operators import market, ordered
+from vantage.operators import market, ordered, resample
 from vantage.sources.relations import partitions_for
 
 
@@ -24,6 +26,12 @@ def test_the_index_has_the_same_bits_however_rows_are_dealt(spark):
     assert len(means) == 1 and abs(means.pop() - plain) < 1e-11
 
 
+def test_draws_side_by_side_are_those_of_md5():
+    for n in (1, 10, 1001, 20_001):
+        for b in (0, 1999):
+            assert resample.drawn(n, 42, b).tolist() == [int(hashlib.md5(f"42-{b}-{j}".encode()).hexdigest()[:8], 16) % n for j in range(n)]
+
+
 def test_partitions_grow_with_rows(spark):
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)

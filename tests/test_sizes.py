@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from vantage.operators import market, ordered, resample
+from vantage.operators import learners, market, ordered, resample
 from vantage.sources.relations import partitions_for
 
 
@@ -38,3 +38,22 @@ def test_partitions_grow_with_rows(spark):
     with partitions_for(spark, 1000, each=10):
         assert spark.conf.get(name) == "100"
     assert spark.conf.get(name) == before
+
+
+def test_metrics_predict_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def slow(x: float) -> float:
+        calls.add(1)
+        return x + 0.5
+
+    rows = spark.range(40).select(F.col("id").cast("double").alias("y"), F.lit(1.0).alias("market_index"), F.lit(9.0).alias("target_value"))
+    scored = rows.withColumn("y_hat", F.udf(slow, "double").asNondeterministic()("y"))
+    assert learners.metrics_of(scored).first().mae == 0.5 and calls.value == 40
+
+
+def test_models_beside_each_other_are_those_fitted_alone(spark):
+    rows = spark.range(300).select(F.col("id").cast("double").alias("m"), (F.col("id") * 2.0 + F.col("id") % 3).alias("y"), F.lit(1.0).alias("market_index"), F.lit(9.0).alias("target_value"), F.col("id").cast("double").alias("val_last_rel"))
+    got = {(r.kind, r.model): round(r.rmse, 6) for r in learners.compare(rows, rows, {"main": ["m"]}, {"main": ["mean", "linear", "last_value"]}).collect()}
+    alone = {("main", n): round(learners.metrics_of(learners.fit_and_score(n, rows, rows, ["m"])[1]).first().rmse, 6) for n in ("mean", "linear", "last_value")}
+    assert got == alone

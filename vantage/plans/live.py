@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -42,7 +42,8 @@ def run_season(scores: DataFrame, key: str, floors: list[float] | None = None) -
 
 def run_seasons(panel: DataFrame, seasons: list[int], features: list[str], key: str, params: dict | None = None) -> dict[str, DataFrame]:
     """``run_season`` of several seasons, each with models of its own past."""
-    runs = [run_season(season_scores(panel, s, features, params), key) for s in seasons]
+    scored = L.beside([partial(season_scores, panel, s, features, params) for s in seasons])
+    runs = [run_season(scores, key) for scores in scored]
     return {name: reduce(DataFrame.unionByName, (r[name] for r in runs)) for name in runs[0]}
 
 
@@ -64,12 +65,16 @@ def run_test(panel: DataFrame, season: int, candidates: dict[str, tuple[str, lis
     if path and not force and _exists(panel.sparkSession, path):
         raise FileExistsError(f"the test season was evaluated before ({path}); evaluating it again would make it a tuning season")
     train, rows = panel.where(F.col("season") < season), panel.where(F.col("season") == season)
-    metrics, parts = [], []
-    for label, (name, features, params) in candidates.items():
-        scored = L.fit_and_score(name, train, rows, features, params)[1].withColumn("pred_value", F.exp(F.col("y_hat") + F.col("market_index")))
+
+    def one(label: str, name: str, features: list[str], params: dict | None) -> tuple[DataFrame, DataFrame]:
+        scored = L.fit_and_score(name, held, rows, features, params)[1].withColumn("pred_value", F.exp(F.col("y_hat") + F.col("market_index")))
         scored = stored(S.add_segments(scored))
-        metrics.append(L.metrics_of(scored).select(F.lit(label).alias("model"), "*"))
-        parts.append(S.breakdown(scored, ["position_group", "league", "age_band", "value_band"]).select(F.lit(label).alias("model"), "*"))
+        parts = S.breakdown(scored, ["position_group", "league", "age_band", "value_band"])
+        return L.metrics_of(scored).select(F.lit(label).alias("model"), "*"), parts.select(F.lit(label).alias("model"), "*")
+
+    held = train.persist()
+    metrics, parts = zip(*L.beside([partial(one, label, *what) for label, what in candidates.items()]), strict=True)
+    held.unpersist()
     report, by_segment = reduce(DataFrame.unionByName, metrics), reduce(DataFrame.unionByName, parts)
     if path:
         report = stored(report)
@@ -109,7 +114,8 @@ def run_intervals(panel: DataFrame, season: int, features: list[str], params: di
     model = L.fit_and_score("boosted", train, rows, features, params)[0] if model is None else model
     scored = L.predict(model, rows)
     predicted = F.exp(F.col("y_hat") + F.col("market_index"))
-    banded = S.add_segments(scored.withColumn("_pred", predicted), value="_pred")
+    banded = S.add_segments(scored.withColumn("_pred", predicted).select("age", "_pred", "y", "y_hat"), value="_pred")
+    banded = stored(banded.select("value_band", "y", "y_hat"))  # quantiles are found in several rounds: none predicts anew
     return S.residual_quantiles(banded, "value_band", F.col("y") - F.col("y_hat"), C.INTERVAL_QUANTILES)
 
 

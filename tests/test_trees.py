@@ -102,3 +102,16 @@ def test_gain(rows):
     raw = trees.total_gain(model)
     assert table["b"].gain == pytest.approx(raw.get(1, 0) + raw.get(2, 0)) and table["kind"].gain == pytest.approx(raw.get(3, 0)) and table["unused"].gain == 0
     assert sum(r.share for r in table.values()) == pytest.approx(1)
+
+
+def test_values_of_patterns_are_worked_out_once_for_all_batches(monkeypatch):
+    import pandas as pd
+
+    paths = [(1.0 + i, (trees.Step(0, 0.5, high=0.1 * i), trees.Step(1, 0.25, low=0.2 * i))) for i in range(5)]
+    calls, inner = [], trees.path_values
+    monkeypatch.setattr(trees, "path_values", lambda *a: calls.append(1) or inner(*a))
+    batches = [pd.DataFrame({"id": [i, i + 1], "_v": [np.array([0.1 * i, 0.5]), np.array([0.3, 0.2 * i])]}) for i in range(4)]
+    got = list(trees._contributed(type("Shared", (), {"value": paths}), 2, ["id"], ["c0", "c1"])(iter(batches)))
+    assert len(calls) == len(paths)
+    for batch, out in zip(batches, got, strict=True):
+        assert np.array_equal(out[["c0", "c1", "base_value"]].to_numpy(), trees.shapley_values(paths, np.stack(batch["_v"].to_numpy()), 2))

@@ -29,7 +29,9 @@ class Step:
     levels: frozenset | None = None
 
     def follows(self, x: np.ndarray) -> np.ndarray:
-        return np.isin(x, list(self.levels)) if self.levels is not None else (x > self.low) & (x <= self.high)
+        if self.levels is not None:
+            return np.isin(x, list(self.levels))
+        return x <= self.high if self.low == -np.inf else x > self.low if self.high == np.inf else (x > self.low) & (x <= self.high)
 
     def narrowed(self, other: Step) -> Step:
         levels = self.levels if other.levels is None else other.levels if self.levels is None else self.levels & other.levels
@@ -97,24 +99,42 @@ def path_values(shares: np.ndarray, follows: np.ndarray) -> np.ndarray:
     return out
 
 
-def shapley_values(paths: list[Path], x: np.ndarray, n_features: int) -> np.ndarray:
+MOST_PATTERNS = 1 << 12  # of a path, for which values are worked out before the rows are seen
+
+
+def pattern_values(path: Path, patterns: np.ndarray) -> np.ndarray:
+    """A path's Shapley values: a row for each feature of it, a column for each pattern, whose bits say at which features a row follows."""
+    value, steps = path
+    return np.ascontiguousarray(value * path_values(np.array([s.share for s in steps]), (patterns[:, None] >> np.arange(len(steps)) & 1).astype(float)).T)
+
+
+def pattern_tables(paths: list[Path]) -> list[np.ndarray | None]:
+    """The values of all patterns of each path; none where there are too many."""
+    return [pattern_values(p, np.arange(1 << len(p[1]))) if p[1] and 1 << len(p[1]) <= MOST_PATTERNS else None for p in paths]
+
+
+def shapley_values(paths: list[Path], x: np.ndarray, n_features: int, tables: list | None = None) -> np.ndarray:
     """Contributions of each row's features (columns), the expected prediction in the last column; a row sums to its prediction.
 
-    Rows that follow a path at the same features have the same values: they are worked out once for each such pattern.
+    Rows that follow a path at the same features have the same values: they are worked out once for each such pattern, by
+    ``tables`` (of ``pattern_tables``) once for all batches.
     """
-    out = np.zeros((len(x), n_features + 1))
-    out[:, -1] = expected_value(paths)
-    for value, steps in paths:
-        m = len(steps)
-        if not m or not len(x):
+    out = np.zeros((n_features + 1, len(x)))
+    out[-1] = expected_value(paths)
+    columns = np.ascontiguousarray(x.T)
+    for path, known in zip(paths, tables or [None] * len(paths), strict=True):
+        steps = path[1]
+        if not steps or not len(x):
             continue
-        bits = np.zeros(len(x), np.int64)
+        bits = np.zeros(len(x), np.uint16 if known is not None else np.int64)
         for j, step in enumerate(steps):
-            bits |= step.follows(x[:, step.feature]).astype(np.int64) << j
-        patterns, at = (np.arange(1 << m), bits) if 1 << m <= len(x) else np.unique(bits, return_inverse=True)
-        table = value * path_values(np.array([s.share for s in steps]), (patterns[:, None] >> np.arange(m) & 1).astype(float))
-        out[:, [s.feature for s in steps]] += table[at]
-    return out
+            bits |= step.follows(columns[step.feature]).astype(bits.dtype) << bits.dtype.type(j)
+        if known is None:
+            patterns, bits = np.unique(bits, return_inverse=True)
+            known = pattern_values(path, patterns)
+        for step, values in zip(steps, known, strict=True):
+            out[step.feature] += values[bits]
+    return out.T
 
 
 def tree_contributions(model, df: DataFrame, vector: str, n_features: int, keep: list[str]) -> DataFrame:
@@ -134,9 +154,10 @@ def _contributed(paths, n_features: int, keep: list[str], names: list[str]) -> C
     import pandas as pd
 
     def run(batches: Iterator) -> Iterator:
+        tables = pattern_tables(paths.value)
         for batch in batches:
             x = np.stack(batch["_v"].to_numpy()) if len(batch) else np.zeros((0, n_features))
-            yield pd.concat([batch[keep].reset_index(drop=True), pd.DataFrame(shapley_values(paths.value, x, n_features), columns=[*names, "base_value"])], axis=1)
+            yield pd.concat([batch[keep].reset_index(drop=True), pd.DataFrame(shapley_values(paths.value, x, n_features, tables), columns=[*names, "base_value"])], axis=1)
 
     return run
 

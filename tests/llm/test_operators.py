@@ -223,6 +223,23 @@ def test_repeated_passages_with_edits(spark):
     assert sum(changed[d] == 9 for d in found) >= 75 and sum(changed[d] == 2 for d in found) == 20
 
 
+def test_repeated_passages_with_edits_and_earlier_fragments(spark):
+    """Two later documents share a passage with six words changed; twelve earlier ones each hold 14 words of it, and others lie between."""
+    rows, wanted = [], set()
+    for i in range(40):
+        one, base = words(60), 100 * i
+        places = draw.sample(range(60), 6)
+        other = [words(1)[0] if j in places else w for j, w in enumerate(one)]
+        rows += [(base + n, words(20) + one[at : at + 14] + words(20)) for n, at in enumerate(range(0, 47, 4))]
+        rows.append((base + 20, words(30) + one + words(10)))
+        rows += [(base + 21 + n, words(20) + one[at : at + 14] + words(20)) for n, at in enumerate(range(0, 47, 4))]
+        rows.append((base + 40, words(15) + other + words(25)))
+        wanted.add((base + 40, base + 20))
+    found = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    assert len({(r.doc_id, r.source_doc_id) for r in found} & wanted) >= 38
+    assert {(r.doc_id, r.source_doc_id) for r in found} <= wanted
+
+
 @pytest.mark.parametrize("most_listed", [20_000, 0])
 def test_contamination(docs, benchmark, most_listed):
     rows = decontamination.contaminated_documents(docs, benchmark, most_listed=most_listed).collect()

@@ -111,3 +111,21 @@ def test_parts_of_runs():
     assert substring_dedup.parts(runs, 6, 0.8, 5) == [(0, 8, 0, 8, 1.0), (13, 21, 10, 18, 1.0)]
     assert substring_dedup.parts(runs, 6, 0.7, 5) == [(0, 21, 0, 18, 16 / 21)]
     assert substring_dedup.parts([], 6, 0.8, 5) == []
+
+
+def test_passages_that_cover_all_words():
+    turns = [(i, i + 72, 0, 72, 1.0) for i in range(0, 300, 2)]
+    kept = substring_dedup.covering([*turns, (400, 460, 5, 65, 0.9), (400, 455, 5, 60, 1.0)])
+    covered = lambda rows: {w for r in rows for w in range(r[0], r[1])}
+    assert covered(kept) == covered([*turns, (400, 460, 5, 65, 0.9)]) and len(kept) <= 10 and kept[-1] == (400, 460, 5, 65, 0.9)
+    assert substring_dedup.covering([(0, 60, 0, 60, 1.0), (55, 120, 80, 145, 1.0)]) == [(0, 60, 0, 60, 1.0), (55, 120, 80, 145, 1.0)]
+
+
+def test_pairs_of_seeds_go_with_the_nearest_of_equal_ones():
+    import numpy as np
+
+    at, codes = np.arange(0, 60, 5), np.array([7, 8] * 6)
+    i, j, code = substring_dedup.pairs_of(at, codes, np.arange(12) % 2, np.zeros(12, np.int64), 5, 50)
+    assert set((at[j] - at[i]).tolist()) == {5} and len(set(code.tolist())) == 2 and len(i) == 11
+    one = substring_dedup.pairs_of(np.array([0, 20]), np.array([7, 8]), np.array([1, 1]), np.array([100, 121]), 5, 50)
+    assert len(one[0]) == 0

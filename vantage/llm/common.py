@@ -100,6 +100,19 @@ def few_rows(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.Rec
             yield batch.slice(start, n)
 
 
+def few_items(batches: Iterator[pa.RecordBatch], list_col: str, most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Re-cut Arrow batches so that each has about ``most`` items in its lists of ``list_col``, and one row at least."""
+    for batch in batches:
+        start = held = 0
+        for i, n in enumerate(pa.compute.fill_null(pa.compute.list_value_length(batch.column(list_col)), 0).to_pylist()):
+            if held + n > most and i > start:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Re-cut Arrow batches so that each holds about ``most_bytes`` of text, and one row at least."""
     for batch in batches:

@@ -4,9 +4,10 @@ Seeds. In each window of neighbouring k-mers the one with the smallest hash is a
 words have the same seeds. Occurrences of a seed are joined with its first one (smallest document, then position), not
 with each other: a passage in n documents gives n - 1 links a seed. Where neighbouring seeds of a document lead to several
 documents or places, all seeds of a stretch of ``min_words`` - ``window`` words together are a second kind of seed, which is
-joined with its own first occurrence. So documents that share a passage are compared even if each of its lines and phrases
-occurs earlier somewhere else. Not seen is a passage of which every such stretch occurs in a still earlier document, there
-with too little around it to be a passage.
+joined with its own first occurrence. Where this finds no passage over a seed, any two seeds of ``min_words`` words whose first
+occurrences don't lie so near each other are a third kind, whatever lies between them. So documents that share a passage are compared even if each of its lines
+and phrases occurs earlier somewhere else, and if words between them were changed. Not seen is a passage of which every such
+stretch and pair occurs in a still earlier document, there with too little around it to be a passage.
 
 Chains. Of two documents, the seeds that lie in the same order in both are chained: a chain's score is the seeds' worth
 less a cost for the gaps on both sides, and a Fenwick tree over the source's positions gives each seed its best
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut, few_rows, fresh_name, hot_keys, likely_among, salted_join, slices, written
+from .common import WORD_PATTERN, cut, few_items, few_rows, fresh_name, hot_keys, likely_among, salted_join, slices, written
 from .lm_scoring import words_of
 from .near_dedup import _GOLD, mix
 
@@ -230,6 +231,21 @@ def parts(runs: list[list[int]], min_words: int, min_identity: float, k: int) ->
     return sorted(out)
 
 
+def covering(found: list[tuple]) -> list[tuple]:
+    """Of passages (start, end, source start, source end, identity) those that are needed to cover every word that any of them covers.
+
+    In lines that repeat, a passage fits its source at each turn of the line; no more than two of these lie over a word here.
+    """
+    out: list[tuple] = []
+    for one in sorted(found, key=lambda f: (f[0], -f[1], -f[4])):
+        if out and one[1] <= out[-1][1]:
+            continue
+        if len(out) > 1 and one[0] <= out[-2][1]:
+            out.pop()
+        out.append(one)
+    return out
+
+
 def stretches_of(found: list[tuple], k: int, window: int, min_words: int) -> list[tuple[int, int, int]]:
     """(position, hash, words to the last seed's position) of stretches of shared seeds that lead to several places.
 
@@ -251,6 +267,29 @@ def stretches_of(found: list[tuple], k: int, window: int, min_words: int) -> lis
     ]
 
 
+def pairs_of(at: np.ndarray, codes: np.ndarray, source: np.ndarray, place: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the first, number of the second, hash) of two seeds at most ``span`` words apart that no first occurrences hold so.
+
+    ``at`` is sorted; ``source`` and ``place`` are where each seed first occurs. Whether two seeds are such a pair depends on
+    that, not on the document, so that all documents that hold both in this order have the pair.
+    """
+    firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, len(at)):
+        gap, ahead = at[step:] - at[:-step], place[step:] - place[:-step]
+        if not (gap <= span).any():
+            break
+        i = np.flatnonzero((gap >= k) & (gap <= span) & (codes[step:] != codes[:-step]) & ~((source[step:] == source[:-step]) & (ahead >= k) & (ahead <= span)))
+        firsts.append(i)
+        seconds.append(i + step)
+    i, j = np.concatenate(firsts), np.concatenate(seconds)
+    number = np.unique(codes, return_inverse=True)[1]
+    for turn in range(2):  # in lines that repeat, a seed goes with the nearest of equal ones only, on both sides; the nearest come first
+        one, other = (i, j) if turn == 0 else (j, i)
+        nearest = np.sort(np.unique(one * len(at) + number[other], return_index=True)[1])
+        i, j = i[nearest], j[nearest]
+    return i, j, mix(mix(codes.view(np.uint64)[i]) * _GOLD + codes.view(np.uint64)[j]).view(np.int64)
+
+
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, min_identity: float = 0.8, k: int = 5, window: int = 10,
     gap_cost: float = 0.05,
@@ -259,12 +298,13 @@ def repeated_passages(
 
     Words (lower-cased A-Z) are numbered from 0, ends are exclusive. A run of k + window - 1 equal words has a seed in
     common for certain. A passage has ``min_words`` words or more, and ``min_identity`` of them in common with its source.
-    Found are passages of which two seeds in order, or a stretch of them, first occur in the source. One whose seeds all have
-    earlier owners elsewhere, and whose stretches are broken by edits or occur earlier too, is missed (the README has the recall).
+    Found are passages of which two seeds in order, or a stretch of them, first occur in the source. One whose stretches and pairs
+    of seeds all occur earlier elsewhere is missed, and one so much edited that it shares no two seeds (the README has the recall).
     So are words at an end of an exact passage, fewer than the k + window - 1 that hold a seed for certain, which the first owner of
     the rest lacks and a later document has.
 
-    The source is the document with the smaller id. Passages of a document can overlap if they have several sources.
+    The source is the document with the smaller id. Passages of a document can overlap if they have several sources. Where a
+    document's passages lie over each other in one piece of a source, those are returned that cover all their words.
     Null ids, null and short texts have none. Rows that share an id aren't compared with each other; each is with others.
     Empty table: no rows. Other columns are ignored.
     """
@@ -303,82 +343,154 @@ def repeated_passages(
     owners = cut(owners.where(doc_of(F.col("first")) < doc_of(F.col("last"))).select("code", "first", "n"))
     matches = salted_join(seeds, owners.select("code", "first"), "code", hot_keys(owners, "code", "n")).select(
         "code", doc_of(F.col("place")).alias("doc_id"), at_of(F.col("place")).alias("at"), F.lit(0).alias("more"),
-        doc_of(F.col("first")).alias("source_id"), at_of(F.col("first")).alias("source_at"),
+        doc_of(F.col("first")).alias("source_id"), at_of(F.col("first")).alias("source_at"), F.lit(0).alias("source_more"),
     )
-    CHAIN = ["doc_id", "source_id", "lo", "hi", "source_lo", "source_hi", "at", "source_at", "codes", "more"]
-    schema = f"doc_id {kind}, source_id {kind}, lo int, hi int, source_lo int, source_hi int, at array<int>, source_at array<int>, codes array<bigint>, more array<int>"
+    chain_type = "struct<source_id: {0}, lo: int, hi: int, source_lo: int, source_hi: int, at: array<int>, source_at: array<int>>".format(kind)
+    key_type = "struct<code: bigint, at: int, more: int>"
+    i32, i32s = pa.int32(), pa.list_(pa.int32())
 
     def link(batches: Iterator[pa.RecordBatch], again: bool) -> Iterator[pa.RecordBatch]:
-        """A document's chains with each source, and at first a row of its stretches (without source)."""
-        for batch in few_rows(batches):
-            rows = []
-            for d, *lists in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "code", "more", "source_id", "source_at")), strict=True):
+        """A document's chains, and at first its stretches."""
+        for batch in few_items(batches, "at"):
+            rows, t = [], batch.schema.field("doc_id").type
+            for d, *lists in zip(*(batch.column(c).to_pylist() for c in ("doc_id", *LISTS)), strict=True):
                 found = sorted(zip(*lists, strict=True))
                 of: dict = {}
-                for at, _, more, s, source_at in found:
+                for at, _, more, s, source_at, source_more in found:
                     if s != d:
-                        of.setdefault(s, set()).update({(at, source_at), (at + more, source_at + more)})
+                        of.setdefault(s, set()).update({(at, source_at), (at + more, source_at + source_more)})
+                chains = []
                 for s, pairs in of.items():
                     pos, source = (list(x) for x in zip(*sorted(pairs), strict=True))
                     for members in chained(pos, source, k, gap_cost):
                         places, sources = [pos[i] for i in members], [source[i] for i in members]
                         if len(members) > 1 or k + 2 * (k + window) >= min_words:
-                            rows.append((d, s, *_grid(places[0], places[-1] + k), *_grid(sources[0], sources[-1] + k), places, sources, None, None))
-                stretches = [] if again else stretches_of([(p, c, s, q) for p, c, _, s, q in found], k, window, min_words)
-                if stretches:
-                    at, codes, more = (list(x) for x in zip(*stretches, strict=True))
-                    rows.append((d, None, None, None, None, None, at, None, codes, more))
-            i32, t = pa.int32(), batch.schema.field("doc_id").type
-            types = [t, t, i32, i32, i32, i32, pa.list_(i32), pa.list_(i32), pa.list_(pa.int64()), pa.list_(i32)]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 10, types, strict=True)], CHAIN)
-
-    lists = [F.collect_list(c).alias(c) for c in ("at", "code", "more", "source_id", "source_at")]
-    linked = lambda m, again: written(m.groupBy("doc_id").agg(*lists).mapInArrow(partial(link, again=again), schema))
-    once = linked(matches, False)
-    left = once.where("source_id is null").select("doc_id", F.inline(F.arrays_zip("codes", "at", "more")).alias("code", "at", "more"))
-    first = left.groupBy("code").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first.doc_id < last")
-    first = cut(first.select("code", F.col("first.doc_id").alias("source_id"), F.col("first.at").alias("source_at"), "n"))
-    rounds = [once, linked(salted_join(left, first.drop("n"), "code", hot_keys(first, "code", "n")), True)]
-    chains = reduce(DataFrame.unionByName, rounds).where("source_id is not null").drop("codes", "more")
-    # The words that the alignments need, cut from the texts once: the grid makes the wanted pieces few.
-    wanted = (
-        chains.select("doc_id", "lo", "hi").unionByName(chains.select(F.col("source_id").alias("doc_id"), F.col("source_lo").alias("lo"), F.col("source_hi").alias("hi")))
-        .distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("pieces"))
-    )
+                            chains.append((s, *_grid(places[0], places[-1] + k), *_grid(sources[0], sources[-1] + k), places, sources))
+                seen = [] if again else [(p, c, s, q) for p, c, _, s, q, _ in found]
+                keys = [(c, p, more) for p, c, more in stretches_of(seen, k, window, min_words)]
+                if chains or keys:
+                    rows.append((d, chains, keys))
+            of_chain = pa.struct([("source_id", t), ("lo", i32), ("hi", i32), ("source_lo", i32), ("source_hi", i32), ("at", i32s), ("source_at", i32s)])
+            types = [t, pa.list_(of_chain), pa.list_(pa.struct([("code", pa.int64()), ("at", i32), ("more", i32)]))]
+            named = [(d, [dict(zip(of_chain.names, c, strict=True)) for c in cs], [dict(zip(("code", "at", "more"), x, strict=True)) for x in ks]) for d, cs, ks in rows]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*named, strict=True) if named else [[]] * 3, types, strict=True)], ["doc_id", "chains", "keys"])
+
+    LISTS = ["at", "code", "more", "source_id", "source_at", "source_more"]
+    schema = f"doc_id {kind}, chains array<{chain_type}>, keys array<{key_type}>"
+    gathered = lambda m, names: m.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in names))
+    linked = lambda lists, again: written(lists.mapInArrow(partial(link, again=again), schema))
+
+    def led(keys: DataFrame, asking: DataFrame) -> DataFrame:
+        """Chains that lead from keys that ask to the first occurrence of their key."""
+        last = F.max(F.when(F.col("asks"), F.col("doc_id")))
+        first = keys.groupBy("code").agg(F.min(F.struct("doc_id", "at", "more")).alias("first"), last.alias("last"), F.count(F.lit(1)).alias("n")).where("first.doc_id < last")
+        first = cut(first.select("code", F.col("first.doc_id").alias("source_id"), F.col("first.at").alias("source_at"), F.col("first.more").alias("source_more"), "n"))
+        return linked(gathered(salted_join(asking, first.drop("n"), "code", hot_keys(first, "code", "n")), LISTS), True)
+
+    shared = written(gathered(matches, LISTS))
+    once = linked(shared, False)
+    left = once.select("doc_id", F.inline("keys"))
+    rounds = [once, led(left.withColumn("asks", F.lit(True)), left)]
+    PIECE = ["source_id", "source_lo", "source_hi", "source_words", "doc_id", "chains"]
+    cut_type = f"source_id {kind}, source_lo int, source_hi int, source_words binary, doc_id {kind}, chains array<struct<lo: int, words: binary, at: array<int>, source_at: array<int>>>"
 
     def carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a piece that others ask for, and of a document's own chains by the piece that they ask for."""
         for batch in slices(batches, "text"):
-            rows = []
-            for d, text, pieces in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "pieces")), strict=True):
-                words = words_of(text)
-                rows += [(d, p["lo"], p["hi"], b" ".join(words[p["lo"] : p["hi"]])) for p in pieces]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "lo", "hi", "words"])
-
-    # rows that share an id have a piece each; the alignment tells which of them holds the passage
-    wanted = written(wanted)
-    pieces = written(likely_among(docs, "doc_id", wanted).join(wanted, "doc_id").mapInArrow(carve, f"doc_id {kind}, lo int, hi int, words binary").distinct())
-    full = chains.join(pieces, ["doc_id", "lo", "hi"]).join(
-        pieces.select(F.col("doc_id").alias("source_id"), F.col("lo").alias("source_lo"), F.col("hi").alias("source_hi"), F.col("words").alias("source_words")),
-        ["source_id", "source_lo", "source_hi"],
-    )
+            t = batch.schema.field("doc_id").type
+            types = [t, i32, i32, pa.binary(), t, pa.list_(pa.struct([("lo", i32), ("words", pa.binary()), ("at", i32s), ("source_at", i32s)]))]
+            for part in few_rows([batch], 64):
+                rows = []
+                for d, text, pieces, own in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "pieces", "chains")), strict=True):
+                    words, to = words_of(text), {}
+                    rows += [(d, p["lo"], p["hi"], b" ".join(words[p["lo"] : p["hi"]]), None, None) for p in pieces or []]
+                    for c in own or []:
+                        if c["at"][-1] + k <= len(words):  # else it is of another row with this id
+                            one = {"lo": c["lo"], "words": b" ".join(words[c["lo"] : c["hi"]]), "at": c["at"], "source_at": c["source_at"]}
+                            to.setdefault((c["source_id"], c["source_lo"], c["source_hi"]), []).append(one)
+                    rows += [(*place, None, d, of) for place, of in to.items()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], PIECE)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few_rows(batches):
+        for batch in few_rows(batches, 64):
             rows, t = [], batch.schema.field("doc_id").type
-            for d, s, at, source_at, lo, source_lo, a, b in zip(*(batch.column(c).to_pylist() for c in FULL), strict=True):
-                a, b, at, source_at = a.split(b" "), b.split(b" "), [i - lo for i in at], [i - source_lo for i in source_at]
-                if any(a[i : i + k] != b[j : j + k] for i, j in zip(at, source_at, strict=True)):
-                    continue  # the piece of another row with this id
-                whole = align(a, b, at[0], at[-1] + k, source_at[0], source_at[-1] + k)
-                if whole[1] - whole[0] < min_words:
-                    continue
-                alike = [whole] if whole[4] >= min_identity else parts(runs_of(a, b, list(zip(at, source_at, strict=True)), k), min_words, min_identity, k)
-                rows += [(d, start + lo, end + lo, s, from_ + source_lo, to + source_lo, same, _name(a[start:end])) for start, end, from_, to, same in alike]
+            for d, s, source_lo, b, own in zip(*(batch.column(c).to_pylist() for c in FULL), strict=True):
+                b, words, alike = b.split(b" "), {}, []
+                for c in own:
+                    lo, a, at, source_at = c["lo"], c["words"].split(b" "), [i - c["lo"] for i in c["at"]], [i - source_lo for i in c["source_at"]]
+                    if any(a[i : i + k] != b[j : j + k] for i, j in zip(at, source_at, strict=True)):
+                        continue  # the piece of another row with this id
+                    whole = align(a, b, at[0], at[-1] + k, source_at[0], source_at[-1] + k)
+                    if whole[1] - whole[0] < min_words:
+                        continue
+                    good = [whole] if whole[4] >= min_identity else parts(runs_of(a, b, list(zip(at, source_at, strict=True)), k), min_words, min_identity, k)
+                    words[lo, len(a)] = a
+                    alike += [(start + lo, end + lo, from_ + source_lo, to + source_lo, same, (lo, len(a))) for start, end, from_, to, same in good]
+                for start, end, from_, to, same, of in covering(alike):
+                    rows.append((d, start, end, s, from_, to, same, _name(words[of][start - of[0] : end - of[0]])))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, [t, pa.int32(), pa.int32(), t, pa.int32(), pa.int32(), pa.float64(), pa.int64()], strict=True)], OUT)
 
-    FULL = ["doc_id", "source_id", "at", "source_at", "lo", "source_lo", "words", "source_words"]
+    FULL = ["doc_id", "source_id", "source_lo", "source_words", "chains"]
     OUT = ["doc_id", "start_word", "end_word", "source_doc_id", "source_start", "source_end", "identity", "passage_hash"]
-    passages = full.select(*FULL).mapInArrow(settle, f"doc_id {kind}, start_word int, end_word int, source_doc_id {kind}, source_start int, source_end int, identity double, passage_hash bigint")
+    found_type = f"doc_id {kind}, start_word int, end_word int, source_doc_id {kind}, source_start int, source_end int, identity double, passage_hash bigint"
+
+    def settled(rounds: list[DataFrame]) -> DataFrame:
+        """Passages along the chains. The words that the alignments need are cut from the texts once: the grid makes the wanted pieces
+        few. A document's chains that lead to one piece of a source are a row, so that a phrase that is often in both is one row."""
+        chains = reduce(DataFrame.unionByName, rounds).where("size(chains) > 0").groupBy("doc_id").agg(F.flatten(F.collect_list("chains")).alias("chains"))
+        wishes = F.array_distinct(F.transform("chains", lambda c: F.struct(c["source_id"].alias("doc_id"), c["source_lo"].alias("lo"), c["source_hi"].alias("hi"))))
+        asked = chains.select(F.inline(wishes))
+        wanted = written(asked.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("pieces")).join(chains, "doc_id", "full"))
+        # rows that share an id have a piece each; the alignment tells which of them holds the passage
+        pieces = written(likely_among(docs, "doc_id", wanted).join(wanted, "doc_id").mapInArrow(carve, cut_type).distinct())
+        place = ["source_id", "source_lo", "source_hi"]
+        full = pieces.where("doc_id is not null").drop("source_words").join(pieces.where("doc_id is null").select(*place, "source_words"), place)
+        return written(full.select(*FULL).mapInArrow(settle, found_type))
+
+    def unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lists as they came, sorted by place, and each seed's state: 2 if no passage lies over it, 1 if such a seed is near, else 0."""
+        for batch in few_items(batches, "at"):
+            sizes = pa.compute.list_value_length(batch.column("at")).to_numpy(zero_copy_only=False)
+            flat, ends = [batch.column(c).flatten() for c in SEED[:-1]], np.append(0, np.cumsum(sizes))
+            order = np.lexsort((flat[0].to_numpy(), np.repeat(np.arange(len(sizes)), sizes)))
+            places, states = flat[0].to_numpy()[order], []
+            for n, spans in enumerate(batch.column("spans").to_pylist()):
+                at = places[ends[n] : ends[n + 1]]
+                open_ = np.ones(len(at), bool)
+                for s in spans or []:
+                    open_[np.searchsorted(at, s["start_word"]) : np.searchsorted(at, s["end_word"] - k, "right")] = False
+                after, before = np.append(at[open_], 1 << 40), np.append(-(1 << 40), at[open_])
+                near = (after[np.searchsorted(at[open_], at)] - at <= min_words) | (at - before[np.searchsorted(at[open_], at, "right")] <= min_words)
+                states.append(np.where(open_, 2, near.astype(np.int32)))
+            flat = [c.take(pa.array(order)) for c in flat] + [pa.array(np.concatenate([np.zeros(0, np.int32), *states]), i32)]
+            yield pa.record_batch([batch.column("doc_id"), *(pa.ListArray.from_arrays(pa.array(ends, i32), c) for c in flat)], ["doc_id", *SEED])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(code, doc_id, at, more, asks) of a document's pairs; one asks if no passage lies over one of its seeds."""
+        for batch in few_items(batches, "at", 20_000):
+            out: list[list] = [[] for _ in range(4)]
+            ids, t = [], batch.schema.field("doc_id").type
+            for d, *lists in zip(*(batch.column(c).to_pylist() for c in ("doc_id", *SEED)), strict=True):
+                order, number = sorted(range(len(lists[0])), key=lists[0].__getitem__), {}
+                at, codes, place, state = (np.array([lists[c][i] for i in order], np.int64) for c in (0, 1, 3, 4))
+                source = np.array([number.setdefault(lists[2][i], len(number)) for i in order])
+                i, j, code = pairs_of(at, codes, source, place, k, min_words)
+                ids += [d] * len(i)
+                for column, x in zip(out, (code, at[i], at[j] - at[i], np.maximum(state[i], state[j]) == 2), strict=True):
+                    column.append(x)
+            columns = [np.concatenate([np.zeros(0, x), *c]) for c, x in zip(out, (np.int64, np.int64, np.int64, bool), strict=True)]
+            yield pa.record_batch([pa.array(columns[0]), pa.array(ids, t), *(pa.array(c, i32) for c in columns[1:3]), pa.array(columns[3], pa.bool_())], ["code", "doc_id", "at", "more", "asks"])
+
+    SEED = ["at", "code", "source_id", "source_at", "state"]
+    passages = settled(rounds)
+    over = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    lists = f"doc_id {kind}, at array<int>, code array<bigint>, source_id array<{kind}>, source_at array<int>, state array<int>"
+    marked = written(shared.join(over, "doc_id", "left").select("doc_id", *SEED[:-1], "spans").mapInArrow(unsettled, lists))
+    marked = marked.select("doc_id", F.inline(F.arrays_zip(*SEED)).alias(*SEED))
+    asked = cut(marked.where("state > 0").groupBy("code").agg(F.count(F.lit(1)).alias("n")))
+    pairs = gathered(salted_join(marked, asked.drop("n"), "code", hot_keys(asked, "code", "n")), SEED)
+    pairs = written(pairs.mapInArrow(pair, f"code bigint, doc_id {kind}, at int, more int, asks boolean"))
+    passages = passages.unionByName(settled([led(pairs, pairs.where("asks").drop("asks"))]))
     return passages.groupBy(*(c for c in OUT if c not in ("identity", "passage_hash"))).agg(F.max("identity").alias("identity"), F.max("passage_hash").alias("passage_hash"))
 
 

@@ -129,3 +129,31 @@ def test_pairs_of_seeds_go_with_the_nearest_of_equal_ones():
     assert set((at[j] - at[i]).tolist()) == {5} and len(set(code.tolist())) == 2 and len(i) == 11
     one = substring_dedup.pairs_of(np.array([0, 20]), np.array([7, 8]), np.array([1, 1]), np.array([100, 121]), 5, 50)
     assert len(one[0]) == 0
+
+
+def test_new_units_are_coded_in_runs():
+    """Many new units go through the tokenizer as few texts, and each has the ids, parity and round trip that it has by itself."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    draw = random.Random(4)
+    units = sorted({"".join(draw.choice("abehnortüé日<0x>.\n▁") for _ in range(draw.randint(1, 12))) for _ in range(2000)}) + ["", " a", "b  "]
+    ready = sentencepiece_codec.prepared(model)
+    codec, alone = sentencepiece_codec.Codec(model, ready=ready), sentencepiece_codec.Codec(model, ready=ready)
+    asked, tokenizer = [], codec.tokenizer
+
+    class Counted:
+        decode_batch = tokenizer.decode_batch
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **how)
+
+    codec.tokenizer = Counted()
+    plain = [u for u in units if u and " " not in u and "▁" not in u]
+    codec._learn(plain)
+    assert len(asked) == -(-len(plain) // sentencepiece_codec.RUN)
+    got = codec.encode(units)
+    by_one = [alone.encode([u]) for u in units]
+    for column, parts in zip(got, zip(*by_one, strict=True), strict=True):
+        assert column.tolist() == [x for p in parts for x in p.tolist()]
+    assert got[1].tolist() == [len(alone.tokenizer.encode(u, add_special_tokens=False).ids) if u else 0 for u in units]

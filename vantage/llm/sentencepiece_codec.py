@@ -125,21 +125,36 @@ def build_tokenizer(model: dict):
     return tokenizer
 
 
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int32)
+
+
+RUN = 50  # units that are encoded and decoded as one text
+
+
+def prepared(model_bytes: bytes) -> tuple[str, np.ndarray | None]:
+    """What a codec is put together from: the tokenizer as text, and which ids begin a unit (none if texts can't be coded by unit)."""
+    model = parse_model(model_bytes)
+    # Units can be coded apart if the text is taken as it is and no piece has a space mark after another character.
+    by_unit = (
+        not model["charsmap"] and not model["remove_extra_whitespaces"] and model["add_dummy_prefix"]
+        and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in model["pieces"] if kind == NORMAL)
+        and not any(kind == USER_DEFINED for _, _, kind in model["pieces"])
+    )
+    return build_tokenizer(model).to_str(), np.array([p.startswith(MARK) for p, *_ in model["pieces"]]) if by_unit else None
+
+
 class Codec:
-    """Encodes texts; remembers up to ``most_units`` units between batches."""
+    """Encodes texts; remembers up to ``most_units`` units between batches. ``ready``: of ``prepared``, worked out once for all tasks."""
 
-    def __init__(self, model_bytes: bytes, most_units: int = 150_000):
+    def __init__(self, model_bytes: bytes, most_units: int = 150_000, ready: tuple[str, np.ndarray | None] | None = None):
         import sentencepiece
+        from tokenizers import Tokenizer
 
-        self.model = parse_model(model_bytes)
-        self.tokenizer = build_tokenizer(self.model)
+        described, self.begins = ready or prepared(model_bytes)
+        self.tokenizer = Tokenizer.from_str(described)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
-        # Units can be coded apart if the text is taken as it is and no piece has a space mark after another character.
-        self.by_unit = (
-            not self.model["charsmap"] and not self.model["remove_extra_whitespaces"] and self.model["add_dummy_prefix"]
-            and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.model["pieces"] if kind == NORMAL)
-            and not any(kind == USER_DEFINED for _, _, kind in self.model["pieces"])
-        )
+        self.by_unit = self.begins is not None
         self.most_units = most_units
         self._forget()
 
@@ -149,18 +164,42 @@ class Codec:
         self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.good, self.back = np.zeros(0, bool), np.zeros(0, bool)
 
+    def _coded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of new units after each other, how many each has, and whether decoding gives each back: unit by unit."""
+        ours = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        decoded = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
+        return _flat(ours), np.fromiter(map(len, ours), np.int64, len(units)), np.array([a == b for a, b in zip(decoded, units, strict=True)], bool)
+
+    def _coded_in_runs(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of units without spaces and marks, by runs of them with a space between: of each unit the first id, and no other, begins with a mark."""
+        runs = [" ".join(units[i : i + RUN]) for i in range(0, len(units), RUN)]
+        ours = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        ids = _flat(ours)
+        sizes = np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
+        if len(sizes) != len(units) or not self.begins[ids[:1]].all():
+            return self._coded(units)
+        decoded = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
+        back = np.ones(len(units), bool)
+        for i in (i for i, (a, b) in enumerate(zip(decoded, runs, strict=True)) if a != b):
+            back[i * RUN : (i + 1) * RUN] = self._coded(units[i * RUN : (i + 1) * RUN])[2]
+        return ids, sizes, back
+
     def _learn(self, units: list[str]) -> None:
         """Encode new units, decode them, and encode them by the other library for the check."""
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        plain = [u for u in units if u and " " not in u and MARK not in u] if self.by_unit else []
+        other = [u for u in units if not u or " " in u or MARK in u] if self.by_unit else units
+        ids, sizes, back = (np.concatenate(x) for x in zip(self._coded_in_runs(plain), self._coded(other), strict=True))
+        units = plain + other
         theirs = self.reference.encode(units, num_threads=1)
-        decoded = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
+        good, ends = sizes == np.fromiter(map(len, theirs), np.int64, len(units)), np.cumsum(sizes)
+        if good.all():
+            good[np.searchsorted(ends, np.flatnonzero(ids != _flat(theirs)), "right")] = False
+        else:
+            good = np.array([ids[end - n : end].tolist() == b for end, n, b in zip(ends.tolist(), sizes.tolist(), theirs, strict=True)], bool)
         self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
-        sizes = np.fromiter(map(len, ours), np.int64, len(units))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ours), np.int32, int(sizes.sum()))])
-        self.good = np.concatenate([self.good, [a == b for a, b in zip(ours, theirs, strict=True)]])
-        self.back = np.concatenate([self.back, [a == b for a, b in zip(decoded, units, strict=True)]])
+        self.starts = np.concatenate([self.starts, len(self.pool) + ends - sizes])
+        self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
+        self.good, self.back = np.concatenate([self.good, good]), np.concatenate([self.back, back])
 
     def _units(self, text: str) -> list[str]:
         """Parts that each get a mark in front: what follows a space (or the text's start) up to the next space after a non-space."""
@@ -179,7 +218,7 @@ class Codec:
         rows = [self._units(t) for t in texts]
         new = set().union(*rows) - self.known.keys()
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(rows)), np.int64)
         doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         sizes = self.sizes[at]
@@ -199,11 +238,13 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     they are. Empty table: no rows. Other columns are ignored.
     """
     with open(model_path, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        model = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast((model, prepared(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        codec = Codec(shared.value)
+        model, ready = shared.value
+        codec = Codec(model, ready=ready)
         for batch in slices(batches, "text", 2 << 20):
             ids, sizes, same, back = codec.encode([t or "" for t in batch.column("text").to_pylist()])
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)

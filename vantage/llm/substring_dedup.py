@@ -271,16 +271,20 @@ def pairs_of(at: np.ndarray, codes: np.ndarray, source: np.ndarray, place: np.nd
     """(number of the first, number of the second, hash) of two seeds at most ``span`` words apart that no first occurrences hold so.
 
     ``at`` is sorted; ``source`` and ``place`` are where each seed first occurs. Whether two seeds are such a pair depends on
-    that, not on the document, so that all documents that hold both in this order have the pair.
+    that, not on the document, so that all documents that hold both in this order have the pair. Documents after each other
+    are one call, if their places lie more than ``span`` apart.
     """
-    firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    firsts, seconds, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(at))
     for step in range(1, len(at)):
-        gap, ahead = at[step:] - at[:-step], place[step:] - place[:-step]
-        if not (gap <= span).any():
+        near = near[: np.searchsorted(near, len(at) - step)]
+        near = near[at[near + step] - at[near] <= span]  # the seeds that have one ``step`` places on; the others have none farther on either
+        if not len(near):
             break
-        i = np.flatnonzero((gap >= k) & (gap <= span) & (codes[step:] != codes[:-step]) & ~((source[step:] == source[:-step]) & (ahead >= k) & (ahead <= span)))
-        firsts.append(i)
-        seconds.append(i + step)
+        other = near + step
+        gap, ahead = at[other] - at[near], place[other] - place[near]
+        fits = (gap >= k) & (codes[other] != codes[near]) & ~((source[other] == source[near]) & (ahead >= k) & (ahead <= span))
+        firsts.append(near[fits])
+        seconds.append(other[fits])
     i, j = np.concatenate(firsts), np.concatenate(seconds)
     number = np.unique(codes, return_inverse=True)[1]
     for turn in range(2):  # in lines that repeat, a seed goes with the nearest of equal ones only, on both sides; the nearest come first
@@ -468,18 +472,14 @@ def repeated_passages(
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(code, doc_id, at, more, asks) of a document's pairs; one asks if no passage lies over one of its seeds."""
         for batch in few_items(batches, "at", 20_000):
-            out: list[list] = [[] for _ in range(4)]
-            ids, t = [], batch.schema.field("doc_id").type
-            for d, *lists in zip(*(batch.column(c).to_pylist() for c in ("doc_id", *SEED)), strict=True):
-                order, number = sorted(range(len(lists[0])), key=lists[0].__getitem__), {}
-                at, codes, place, state = (np.array([lists[c][i] for i in order], np.int64) for c in (0, 1, 3, 4))
-                source = np.array([number.setdefault(lists[2][i], len(number)) for i in order])
-                i, j, code = pairs_of(at, codes, source, place, k, min_words)
-                ids += [d] * len(i)
-                for column, x in zip(out, (code, at[i], at[j] - at[i], np.maximum(state[i], state[j]) == 2), strict=True):
-                    column.append(x)
-            columns = [np.concatenate([np.zeros(0, x), *c]) for c, x in zip(out, (np.int64, np.int64, np.int64, bool), strict=True)]
-            yield pa.record_batch([pa.array(columns[0]), pa.array(ids, t), *(pa.array(c, i32) for c in columns[1:3]), pa.array(columns[3], pa.bool_())], ["code", "doc_id", "at", "more", "asks"])
+            sizes = pa.compute.list_value_length(batch.column("at")).to_numpy(zero_copy_only=False)
+            flat, doc = [batch.column(c).flatten() for c in SEED], np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat[0].to_numpy(), doc))
+            at, codes, source, place, state = (x.to_numpy()[order] for x in (*flat[:2], flat[2].dictionary_encode().indices, *flat[3:]))
+            doc = doc[order]
+            i, j, code = pairs_of(at + (doc << 40), codes, source, place.astype(np.int64), k, min_words)
+            columns = [pa.array(code), batch.column("doc_id").take(pa.array(doc[i])), pa.array(at[i], i32), pa.array(at[j] - at[i], i32), pa.array(np.maximum(state[i], state[j]) == 2, pa.bool_())]
+            yield pa.record_batch(columns, ["code", "doc_id", "at", "more", "asks"])
 
     SEED = ["at", "code", "source_id", "source_at", "state"]
     passages = settled(rounds)

@@ -157,3 +157,14 @@ def test_new_units_are_coded_in_runs():
     for column, parts in zip(got, zip(*by_one, strict=True), strict=True):
         assert column.tolist() == [x for p in parts for x in p.tolist()]
     assert got[1].tolist() == [len(alone.tokenizer.encode(u, add_special_tokens=False).ids) if u else 0 for u in units]
+
+
+def test_pairs_of_several_documents_at_once():
+    """Documents after each other, their places far apart, have the pairs that each has by itself."""
+    draw = np.random.default_rng(3)
+    docs = [(np.sort(draw.choice(4 * n + 1, n, replace=False)), draw.integers(-40, 40, n), draw.integers(0, 3, n), draw.integers(0, 99, n)) for n in (0, 1, 60, 90, 2)]
+    first = np.cumsum([0, *(len(d[0]) for d in docs)])
+    at, codes, source, place = (np.concatenate(x) for x in zip(*docs, strict=True))
+    got = substring_dedup.pairs_of(at + (np.repeat(np.arange(len(docs)), np.diff(first)) << 40), codes, source, place, 5, 50)
+    want = [(i + n, j + n, c) for n, d in zip(first.tolist(), docs, strict=False) for i, j, c in zip(*(x.tolist() for x in substring_dedup.pairs_of(*d, 5, 50)), strict=True)]
+    assert want and sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)

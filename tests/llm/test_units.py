@@ -5,8 +5,10 @@ from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+import xxhash
 from tokenizers import Tokenizer
 
 from vantage.llm import language_id, lm_scoring, near_dedup, sentencepiece_codec, substring_dedup, token_counts, toxicity
@@ -168,3 +170,37 @@ def test_pairs_of_several_documents_at_once():
     got = substring_dedup.pairs_of(at + (np.repeat(np.arange(len(docs)), np.diff(first)) << 40), codes, source, place, 5, 50)
     want = [(i + n, j + n, c) for n, d in zip(first.tolist(), docs, strict=False) for i, j, c in zip(*(x.tolist() for x in substring_dedup.pairs_of(*d, 5, 50)), strict=True)]
     assert want and sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
+
+
+def test_seeds_of_many_texts_at_once():
+    """Texts of a batch have the seeds that each has by itself, and a word that they share is hashed once."""
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("aAbZ é日\t\n\v\f\r\x1c\x85") for _ in range(draw.randint(0, 400))) for _ in range(300)] + ["", " ", "a", " a"]
+    for least, k, window in ((50, 5, 10), (14, 5, 10), (3, 5, 10), (1, 1, 1)):
+        at, codes = substring_dedup.seeds_in(pa.array(["x " * 60, *texts]).slice(1), least, k, window)
+        for text, a, c in zip(texts, at.to_pylist(), codes.to_pylist(), strict=True):
+            words = [xxhash.xxh3_64_intdigest(w) for w in lm_scoring.words_of(text)]
+            p, q = substring_dedup.seeds_of(np.array(words, np.uint64), k, window)
+            assert (a, c) == ((p.tolist(), q.view(np.int64).tolist()) if len(words) >= least else (None, None))
+    words, ends = substring_dedup.words_in(pa.array(["a b", "", "c\na "]))
+    assert ends.tolist() == [0, 2, 2, 4] and words[0] == words[3] == xxhash.xxh3_64_intdigest(b"a")
+
+
+def test_chains_of_seeds_that_rise_on_both_sides():
+    """Without the tree they are those that it finds: a foreign pair of places far behind all others, which takes part in no chain, brings the tree in."""
+    draw = random.Random(2)
+    for _ in range(200):
+        pos, source = (sorted(draw.sample(range(900), 12)) for _ in range(2))
+        plain = substring_dedup.chained(pos, source, 5, 0.05)
+        assert [c for c in substring_dedup.chained([*pos, 10**6], [*source, -1], 5, 0.05) if c != [12]] == plain
+
+
+def test_stretches_of_several_documents_at_once():
+    draw = np.random.default_rng(5)
+    docs = [(np.sort(draw.choice(3 * n + 1, n, replace=False)), draw.integers(-40, 40, n), draw.integers(0, 2, n), draw.integers(0, 99, n)) for n in (0, 1, 60, 90, 2)]
+    first = np.cumsum([0, *(len(d[0]) for d in docs)])
+    at, codes, source, place = (np.concatenate(x) for x in zip(*docs, strict=True))
+    far = np.repeat(np.arange(len(docs)), np.diff(first)) << 40
+    got = substring_dedup.stretches_of(at + far, codes, source, place + far, 5, 10, 50)
+    want = [(i + n, c, m) for n, d in zip(first.tolist(), docs, strict=False) for i, c, m in zip(*(x.tolist() for x in substring_dedup.stretches_of(*d, 5, 10, 50)), strict=True)]
+    assert want and list(zip(*(x.tolist() for x in got), strict=True)) == want

@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import partial, reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +45,73 @@ def seeds_of(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.nda
     n = len(words) - k + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    code = np.full(n, np.uint64(k))
-    for i in range(k):
-        code = mix(code * _GOLD + words[i : n + i])
+    code = kmers(words, k)
     view = np.lib.stride_tricks.sliding_window_view(code, min(window, n))
     at = np.unique(view.argmin(1) + np.arange(len(view)))
     return at, code[at]
 
 
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
+def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the texts' words (as ``words_of`` gives them) after each other, and where each text's words begin and the last one's end."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    ends, raw = ends - ends[0], bytes(texts.buffers()[2][ends[0] : ends[-1]] if ends[-1] > ends[0] else b"").lower()
+    space = _SPACE[np.frombuffer(raw, np.uint8)]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    own = ends[ends < len(raw)]
+    begins[own] = ~space[own]
+    begins = np.flatnonzero(begins)
+    # a word goes on to the next one's begin: the white space between is taken off where the words are distinct
+    spans = pa.py_buffer(np.append(begins, len(raw)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, spans, pa.py_buffer(raw)]).dictionary_encode()
+    known = np.fromiter((xxhash.xxh3_64_intdigest(w.strip()) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    return known[words.indices.to_numpy()], np.searchsorted(begins, ends)
+
+
+def seeds_in(texts: pa.Array, min_words: int, k: int, window: int) -> tuple[pa.Array, pa.Array]:
+    """Positions and hashes of the minimisers of each text, as ``seeds_of`` finds them; null for texts of fewer than ``min_words`` words."""
+    words, ends = words_in(texts)
+    sizes = np.diff(ends)
+    if min_words < k + window - 1:  # shorter texts than a window
+        found = [seeds_of(words[i : j if j - i >= min_words else i], k, window) for i, j in zip(ends, ends[1:], strict=False)]
+        counts = np.array([len(p) for p, _ in found], np.int64)
+        at, codes = (np.concatenate(x) for x in zip(seeds_of(words[:0], k, window), *found, strict=True))
+    else:
+        left = np.repeat(ends[1:], sizes) - np.arange(len(words))  # words left in the text
+        codes = kmers(words, k)
+        at = least_of(codes, window)
+        at = at[(left[: len(at)] >= k + window - 1) & (np.repeat(sizes, sizes)[: len(at)] >= min_words)]
+        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at  # neighbouring windows often have one in common
+        codes = codes[at]
+        counts = np.diff(np.searchsorted(at, ends))
+        at = at - np.repeat(ends[:-1], counts)
+    lists, short = pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(sizes < min_words)
+    return tuple(pa.ListArray.from_arrays(lists, pa.array(x), mask=short) for x in (at.astype(np.int32), codes.view(np.int64)))
+
+
+def kmers(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each ``k`` words on end."""
+    code = np.full(max(len(words) - k + 1, 0), np.uint64(k))
+    for i in range(k):
+        code = mix(code * _GOLD + words[i : len(code) + i])
+    return code
+
+
+def least_of(code: np.ndarray, window: int) -> np.ndarray:
+    """Where the smallest (of equal ones the first) of each ``window`` hashes on end stands."""
+    least, at, wide = code, np.arange(len(code)), 1
+    while wide < window:
+        step = min(wide, window - wide)  # windows of ``wide``, and those ``step`` on, which go over each other at the last step
+        n = max(len(least) - step, 0)
+        right = least[step:] < least[:n]
+        least, at, wide = np.where(right, least[step:], least[:n]), np.where(right, at[step:], at[:n]), wide + step
+    return at
+
+
 def chain(pos: list[int], source: list[int], k: int, gap_cost: float) -> list[tuple[int, int, int, int]]:
     """Chains of matching seeds (first and last word position on both sides), best first. Positions are of k-mers."""
     return [(pos[c[0]], pos[c[-1]] + k, source[c[0]], source[c[-1]] + k) for c in chained(pos, source, k, gap_cost)]
@@ -59,8 +119,10 @@ def chain(pos: list[int], source: list[int], k: int, gap_cost: float) -> list[tu
 
 def chained(pos: list[int], source: list[int], k: int, gap_cost: float) -> list[list[int]]:
     """The same chains as lists of their seeds' numbers."""
-    order = sorted(range(len(pos)), key=lambda i: (pos[i], -source[i]))
-    place = {s: i + 1 for i, s in enumerate(sorted(set(source)))}
+    rising = all(x < y for x, y in pairwise(pos)) and all(x < y for x, y in pairwise(source))  # the best of all before, no tree
+    top: tuple[float, int] = (-np.inf, -1)
+    order = range(len(pos)) if rising else sorted(range(len(pos)), key=lambda i: (pos[i], -source[i]))
+    place = {} if rising else {s: i + 1 for i, s in enumerate(sorted(set(source)))}
     tree: list[tuple[float, int]] = [(-np.inf, -1)] * (len(place) + 1)  # prefix maxima of score + cost * (pos + source)
     score, before = [0.0] * len(pos), [-1] * len(pos)
     waiting: list[int] = []
@@ -68,7 +130,8 @@ def chained(pos: list[int], source: list[int], k: int, gap_cost: float) -> list[
     for i in [*order, None]:
         if i is None or pos[i] != last:  # seeds at one position can't precede each other
             for j in waiting:
-                entry, t = (score[j] + gap_cost * (pos[j] + source[j]), j), place[source[j]]
+                entry = (score[j] + gap_cost * (pos[j] + source[j]), j)
+                top, t = max(top, entry), len(tree) if rising else place[source[j]]
                 while t < len(tree):
                     if tree[t] < entry:
                         tree[t] = entry
@@ -77,7 +140,7 @@ def chained(pos: list[int], source: list[int], k: int, gap_cost: float) -> list[
         if i is None:
             break
         last = pos[i]
-        t, best = place[source[i]] - 1, (-np.inf, -1)
+        t, best = (0, top) if rising else (place[source[i]] - 1, (-np.inf, -1))
         while t:
             best = max(best, tree[t])
             t -= t & -t
@@ -246,25 +309,21 @@ def covering(found: list[tuple]) -> list[tuple]:
     return out
 
 
-def stretches_of(found: list[tuple], k: int, window: int, min_words: int) -> list[tuple[int, int, int]]:
-    """(position, hash, words to the last seed's position) of stretches of shared seeds that lead to several places.
+def stretches_of(at: np.ndarray, codes: np.ndarray, source: np.ndarray, place: np.ndarray, k: int, window: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the first seed, hash, words to the last seed's position) of stretches of shared seeds that lead to several places.
 
-    ``found`` has (position, hash, source, position in the source), sorted. A stretch begins at a seed and has all seeds of
+    ``at`` is sorted; ``source`` and ``place`` are where each seed first occurs. A stretch begins at a seed and has all seeds of
     the next ``min_words`` - ``window`` words, so that a passage of ``min_words`` holds one. Where all its seeds lead to one
-    place of one source, that source is seen without it.
+    place of one source, that source is seen without it. Documents after each other are one call, if their places lie far apart.
     """
-    if not found:
-        return []
-    at, codes = np.array([f[0] for f in found]), np.array([f[1] for f in found], np.int64)
-    place = [(s, q - p) for p, _, s, q in found]
     last = np.searchsorted(at, at + min_words - window - k, "right") - 1
     gaps = np.append(0, np.cumsum(np.diff(at) > window))  # a wider gap has a seed that no other document has
-    changes = np.append(0, np.cumsum([x != y for x, y in zip(place, place[1:], strict=False)]))
-    fits = (at[last] + k - at >= min_words - 2 * window) & (gaps[last] == gaps) & (changes[last] > changes)
-    return [
-        (int(at[i]), xxhash.xxh3_64_intdigest(codes[i : last[i] + 1].tobytes() + (at[i : last[i] + 1] - at[i]).tobytes()) - (1 << 63), int(at[last[i]] - at[i]))
-        for i in np.flatnonzero(fits).tolist()
-    ]
+    changes = np.append(0, np.cumsum((np.diff(source) != 0) | (np.diff(place - at) != 0)))
+    first = np.flatnonzero((at[last] + k - at >= min_words - 2 * window) & (gaps[last] == gaps) & (changes[last] > changes)) if len(at) else last
+    last = last[first]
+    spans = zip(first.tolist(), (last + 1).tolist(), strict=True)
+    names = [xxhash.xxh3_64_intdigest(codes[i:j].tobytes() + (at[i:j] - at[i]).tobytes()) - (1 << 63) for i, j in spans]
+    return first, np.array(names, np.int64), at[last] - at[first]
 
 
 def pairs_of(at: np.ndarray, codes: np.ndarray, source: np.ndarray, place: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,24 +375,8 @@ def repeated_passages(
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in slices(batches, "text"):
-            if len(known) > 100_000:
-                known.clear()
-            at, codes = [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                if len(words) < min_words:
-                    at.append(None)
-                    codes.append(None)
-                    continue
-                for w in words:
-                    if w not in known:
-                        known[w] = xxhash.xxh3_64_intdigest(w)
-                p, c = seeds_of(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), k, window)
-                at.append(p.astype(np.int32))
-                codes.append(c.view(np.int64))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(at, pa.list_(pa.int32())), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "at", "codes"])
+            yield pa.record_batch([batch.column("doc_id"), *seeds_in(batch.column("text"), min_words, k, window)], ["doc_id", "at", "codes"])
 
     packed = docs.mapInArrow(seed, f"doc_id {kind}, at array<int>, codes array<bigint>")
     # a place, document and position, as one number where ids and texts are small enough: half the bytes to sort and shuffle
@@ -356,29 +399,48 @@ def repeated_passages(
     def link(batches: Iterator[pa.RecordBatch], again: bool) -> Iterator[pa.RecordBatch]:
         """A document's chains, and at first its stretches."""
         for batch in few_items(batches, "at"):
-            rows, t = [], batch.schema.field("doc_id").type
-            for d, *lists in zip(*(batch.column(c).to_pylist() for c in ("doc_id", *LISTS)), strict=True):
-                found = sorted(zip(*lists, strict=True))
-                of: dict = {}
-                for at, _, more, s, source_at, source_more in found:
-                    if s != d:
-                        of.setdefault(s, set()).update({(at, source_at), (at + more, source_at + source_more)})
-                chains = []
-                for s, pairs in of.items():
-                    pos, source = (list(x) for x in zip(*sorted(pairs), strict=True))
-                    for members in chained(pos, source, k, gap_cost):
-                        places, sources = [pos[i] for i in members], [source[i] for i in members]
-                        if len(members) > 1 or k + 2 * (k + window) >= min_words:
-                            chains.append((s, *_grid(places[0], places[-1] + k), *_grid(sources[0], sources[-1] + k), places, sources))
-                seen = [] if again else [(p, c, s, q) for p, c, _, s, q, _ in found]
-                keys = [(c, p, more) for p, c, more in stretches_of(seen, k, window, min_words)]
-                if chains or keys:
-                    rows.append((d, chains, keys))
-            of_chain = pa.struct([("source_id", t), ("lo", i32), ("hi", i32), ("source_lo", i32), ("source_hi", i32), ("at", i32s), ("source_at", i32s)])
-            types = [t, pa.list_(of_chain), pa.list_(pa.struct([("code", pa.int64()), ("at", i32), ("more", i32)]))]
-            named = [(d, [dict(zip(of_chain.names, c, strict=True)) for c in cs], [dict(zip(("code", "at", "more"), x, strict=True)) for x in ks]) for d, cs, ks in rows]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*named, strict=True) if named else [[]] * 3, types, strict=True)], ["doc_id", "chains", "keys"])
-
+            ids, flat = batch.column("doc_id"), {c: batch.column(c).flatten() for c in LISTS}
+            sizes = pa.compute.list_value_length(batch.column("at")).to_numpy(zero_copy_only=False)
+            names = pa.concat_arrays([ids, flat.pop("source_id")]).dictionary_encode()
+            own, source = np.split(names.indices.to_numpy(), [len(ids)])
+            doc, (at, code, more, source_at, source_more) = np.repeat(np.arange(len(ids)), sizes), (x.to_numpy() for x in flat.values())
+            order = np.lexsort((more, code, at, doc))
+            doc, source, at, code, more, source_at, source_more = (x[order] for x in (doc, source, at, code, more, source_at, source_more))
+            # the pairs of places that a document and another have in common, after each other
+            row = np.flatnonzero(source != own[doc])
+            row, right = np.concatenate([row, row if again else row[:0]]), np.arange(len(row) * (1 + again)) >= len(row)
+            pos, there = at[row] + more[row] * right, source_at[row] + source_more[row] * right
+            order = np.lexsort((there, pos, source[row], doc[row]))
+            row, pos, there = row[order], pos[order], there[order]
+            edge = lambda *columns: np.append(np.ones(min(len(row), 1), bool), reduce(np.logical_or, (c[1:] != c[:-1] for c in columns)))
+            groups = np.flatnonzero(edge(doc[row], source[row]))
+            seen = np.minimum.reduceat(row, groups) if len(groups) else groups  # sources in the order in which the document leads to them
+            distinct = edge(doc[row], source[row], pos, there)
+            ends = np.append(np.cumsum(distinct)[groups] - 1, distinct.sum())
+            pos, there = pos[distinct].tolist(), there[distinct].tolist()
+            chains, chained_docs = [], []
+            for g in np.argsort(seen):
+                i, j = ends[g], ends[g + 1]
+                if j - i == 1 and not lone:
+                    continue
+                s, d = int(source[seen[g]]), int(doc[seen[g]])
+                for members in chained(pos[i:j], there[i:j], k, gap_cost):
+                    if len(members) > 1 or lone:
+                        places, sources = [pos[i + m] for m in members], [there[i + m] for m in members]
+                        chains.append((s, *_grid(places[0], places[-1] + k), *_grid(sources[0], sources[-1] + k), places, sources))
+                        chained_docs.append(d)
+            first, keys, reach = (np.zeros(0, np.int64),) * 3 if again else stretches_of(at + (doc << 40), code, source, source_at + (doc << 40), k, window, min_words)
+            columns = list(zip(*chains, strict=True)) or [()] * 7
+            parts_ = [names.dictionary.take(pa.array(columns[0], i32)), *(pa.array(c, t) for c, t in zip(columns[1:], [i32] * 4 + [i32s] * 2, strict=True))]
+            chains = pa.StructArray.from_arrays(parts_, ["source_id", "lo", "hi", "source_lo", "source_hi", "at", "source_at"])
+            keys = pa.StructArray.from_arrays([pa.array(keys), pa.array(at[first], i32), pa.array(reach, i32)], ["code", "at", "more"])
+            listed = [
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(ids) + 1)), i32), x) for of, x in ((np.array(chained_docs, np.int64), chains), (doc[first], keys))
+            ]
+            some = np.isin(np.arange(len(ids)), np.append(doc[first], np.array(chained_docs, np.int64)))
+            yield pa.record_batch([ids, *listed], ["doc_id", "chains", "keys"]).filter(pa.array(some))
+
+    lone = k + 2 * (k + window) >= min_words  # one seed and what is around it can be a passage
     LISTS = ["at", "code", "more", "source_id", "source_at", "source_more"]
     schema = f"doc_id {kind}, chains array<{chain_type}>, keys array<{key_type}>"
     gathered = lambda m, names: m.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in names))

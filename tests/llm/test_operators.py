@@ -387,3 +387,20 @@ def test_pipeline_stages(spark, docs, labels, benchmark, tmp_path):
     kept = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {1, 2, 5, 10}.isdisjoint(kept) and {0, 3, 4, 6, 9, 11, 13, None} <= set(kept)
     assert all(r.parity and r.round_trip for r in kept.values())
+
+
+def test_pipeline_stages_take_small_batches(spark, tmp_path):
+    """After a stage is called no task gets more than 1,000 rows of texts at a time; a smaller setting of the user's own stays."""
+    import corpus_pipeline
+
+    name = corpus_pipeline.BATCH_SETTING
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).coalesce(1)
+    most = lambda: max(r.n for r in docs.mapInPandas(lambda batches: (b.assign(n=len(b))[["n"]][:1] for b in batches), "n long").collect())
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", 1000), ("0", 1000), ("700", 700)):
+            spark.conf.set(name, given)
+            corpus_pipeline.encode(spark, docs, str(tmp_path))
+            assert most() == want
+    finally:
+        spark.conf.set(name, before)

@@ -57,3 +57,17 @@ def test_models_beside_each_other_are_those_fitted_alone(spark):
     got = {(r.kind, r.model): round(r.rmse, 6) for r in learners.compare(rows, rows, {"main": ["m"]}, {"main": ["mean", "linear", "last_value"]}).collect()}
     alone = {("main", n): round(learners.metrics_of(learners.fit_and_score(n, rows, rows, ["m"])[1]).first().rmse, 6) for n in ("mean", "linear", "last_value")}
     assert got == alone
+
+
+def test_a_fit_of_a_forest_holds_few_trees_and_their_mean_is_over_all(spark):
+    """A row's draws and nodes are held for the trees of one fit: 400 trees at once left memory. A part of one tree counts as one tree of 26."""
+    fits = [s for s in learners.build("forest", ["m"], []).getStages() if hasattr(s, "getNumTrees")]
+    assert sum(s.getNumTrees() for s in fits) == 400 and max(s.getNumTrees() for s in fits) <= 25 and len({s.getSeed() for s in fits}) == len(fits)
+    assert all(s.getCacheNodeIds() for s in fits)
+    rows = spark.createDataFrame([(i, float(i % 7), "x" if i % 2 else "y", 0.3 * (i % 7) + (i % 2)) for i in range(120)], "id int, m double, c string, y double")
+    model, scored, _ = learners.fit_and_score("forest", rows, rows, ["m", "c"], {"numTrees": 26})
+    assert [len(m.trees) for m in learners.trees_of(model)] == [25, 1] and scored.columns == [*rows.columns, "y_hat"]
+    got = {r.id: r for r in learners.explain_trees(model, rows, ["m", "c"], ["id"]).collect()}
+    assert len(got) == 120 and all(abs(r.shap_m + r.shap_c + r.base_value - r.y_hat) < 1e-9 for r in got.values())
+    assert {r.id: r.y_hat for r in scored.collect()} == {i: r.y_hat for i, r in got.items()}
+    assert {r.feature for r in learners.gain_importance(model, rows).collect()} == {"m", "c"}

@@ -66,7 +66,11 @@ def tree_paths(tree, weight: float = 1.0) -> list[Path]:
 
 
 def ensemble_paths(model) -> list[Path]:
-    """The paths of a forest (which takes the mean), of boosted trees (a weighted sum) or of a single tree."""
+    """The paths of a forest (which takes the mean), of boosted trees (a weighted sum) or of a single tree; of a list of forests, those of their mean over all trees."""
+    if isinstance(model, list) and len(model) > 1:
+        total = sum(len(m.trees) for m in model)
+        return [p for m in model for tree in m.trees for p in tree_paths(tree, 1 / total)]
+    model = model[0] if isinstance(model, list) else model
     if not hasattr(model, "trees"):
         return tree_paths(model)
     weights = list(model.treeWeights)
@@ -165,7 +169,8 @@ def _contributed(paths, n_features: int, keep: list[str], names: list[str]) -> C
 def total_gain(model) -> dict[int, float]:
     """Each feature's summed gain over all splits of all trees: what a split lowers the impurity by, times its training rows."""
     gains: dict[int, float] = {}
-    waiting = [t._call_java("rootNode") for t in (model.trees if hasattr(model, "trees") else [model])]
+    parts = model if isinstance(model, list) else [model]
+    waiting = [t._call_java("rootNode") for m in parts for t in (m.trees if hasattr(m, "trees") else [m])]
     while waiting:
         node = waiting.pop()
         if node.subtreeDepth() == 0:
